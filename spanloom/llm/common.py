@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +55,34 @@ def ascii_lower(col: Column) -> Column:
     return F.when(pure, F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
+
+
+def map_texts(
+    docs: DataFrame,
+    work: Callable[[list[str | None]], dict[str, Sequence]],
+    schema: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """Apply ``work`` to batches of whole texts; ids and ``carry`` columns pass as they are.
+
+    ``work`` takes the batch's texts and returns a list for each column of ``schema``.
+    """
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *carry)
+    kept = ["doc_id", *carry]
+    head = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in kept)
+    names = [field.split()[0] for field in schema.replace("<", " <").split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = work(batch.column("_text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), *(_array(made[n]) for n in names)], [*kept, *names]
+            )
+
+    return source.mapInArrow(run, f"{head}, {schema}")
+
+
+def _array(values: Sequence) -> pa.Array:
+    return values if isinstance(values, pa.Array) else pa.array(values)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language, toxicity
 from .chat_format import format_preferences
-from .common import table
+from .common import fold, table
 from .line_dedup import line_dedup
+from .secrets import scan_secrets
 from .topk import top_k
 
 
@@ -21,6 +23,30 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def held_out(rest: int):
+    """Whether the id's remainder is ``rest``; false for a NULL id."""
+    return F.coalesce(fold() == rest, F.lit(False))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    labelled = docs.select("doc_id", "text").join(labels, "doc_id").where(fold() != 0)
+    scored = toxicity.score_toxicity(docs, toxicity.train(labelled))
+    return scored.select("doc_id", held_out(0).alias("held_out"), "score", "predicted")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(fold() != 0))
+    found = language.identify(docs, model)
+    return found.select("doc_id", held_out(0).alias("held_out"), "lang_pred", "score", "mixture")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2i (chosen) and 2i + 1 (rejected) make pair i."""
     turns = table(spark, sf_dir, "conversations").select(
@@ -36,6 +62,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_topk_search": op2_topk_search,
+    "op5_toxicity": op5_toxicity,
+    "op6_language_id": op6_language_id,
+    "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
 }
 
