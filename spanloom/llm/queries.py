@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from . import language, toxicity
 from .chat_format import format_preferences
 from .common import fold, table
+from .jaccard import jaccard_components
 from .line_dedup import line_dedup
+from .packing import pack
 from .secrets import scan_secrets
 from .topk import top_k
 
@@ -23,6 +25,10 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), capacity=2048)
+
+
 def held_out(rest: int):
     """Whether the id's remainder is ``rest``; false for a NULL id."""
     return F.coalesce(fold() == rest, F.lit(False))
@@ -43,6 +49,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(0).alias("held_out"), "lang_pred", "score", "mixture")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -62,8 +72,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_topk_search": op2_topk_search,
+    "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
 }

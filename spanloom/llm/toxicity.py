@@ -104,8 +104,8 @@ def fit(
     counterfactuals: list[np.ndarray | None],
     labels: np.ndarray,
     penalty: float = 4.0,
-    min_docs: int = 4,
-    min_z: float = 3.5,
+    min_docs: int = 5,
+    min_z: float = 5.0,
     decay: float = 1e-3,
     rounds: int = 400,
 ) -> Model:
