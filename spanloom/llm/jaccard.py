@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import connected_components
+from .hashing import factors, hashed_words, mix, shingles
 
-#: Bytes of text that are worked on at a time.
-CHUNK = 1 << 22
 #: A shingle is called frequent if tasks that met it at least LOCALLY times in about WINDOW
 #: shingles met it FREQUENT times in all; the FREQUENT_KEPT most frequent are broadcast (8 bytes
 #: each). Frequent shingles come last in prefixes; that saves work and changes no result.
@@ -21,68 +20,19 @@ WINDOW, LOCALLY, FREQUENT, FREQUENT_KEPT = 1 << 20, 4, 48, 500_000
 #: Smallest hashes of a set by which close copies find each other first.
 HEADS = 6
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every bit of the input reaches every bit of the output."""
-    x = np.asarray(x, dtype=np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts ``data[bounds[i]:bounds[i + 1]]``, and each text's first word."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    inside = ~_BLANK[data]
-    opens = np.zeros(len(data), bool)
-    opens[bounds[:-1][bounds[:-1] < len(data)]] = True
-    opens[1:] |= ~inside[:-1]
-    opens[0] = True
-    opens &= inside
-    begins = np.flatnonzero(opens)
-    letters = np.flatnonzero(inside)
-    heads = np.flatnonzero(opens[letters])
-    place = letters - np.repeat(begins, np.diff(np.append(heads, len(letters))))
-    weight = mix((np.arange(int(place.max(initial=0)) + 1, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
-    terms = _BYTE[_LOWER[data[letters]]] * (weight | np.uint64(1))[place]
-    hashes = mix(np.add.reduceat(terms, heads)) if len(heads) else np.zeros(0, np.uint64)
-    return hashes, np.searchsorted(begins, bounds)
-
-
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     """For every text the sorted distinct hashes of its shingles (uint64)."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    _, offsets, values = texts.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
-    factors = mix(np.arange(11, 11 + words, dtype=np.uint64)) | np.uint64(1)
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK, side="right")) - 1)
-        own = bounds[at : to + 1]
-        hashes, first = word_hashes(data[own[0] : own[-1]], own - own[0])
-        grams = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
-        for k in range(words):
-            grams += hashes[k : len(grams) + k] * factors[k]
-        grams = mix(grams)
+    weights = factors(words)
+    for hashes, first in hashed_words(texts):
+        grams = shingles(hashes, words)
         for begin, end in zip(first[:-1], first[1:]):
             if end - begin >= words:
                 yield np.unique(grams[begin : end - words + 1])
             elif end > begin:
-                short = (hashes[begin:end] * factors[: end - begin]).sum(dtype=np.uint64)
+                short = (hashes[begin:end] * weights[: end - begin]).sum(dtype=np.uint64)
                 yield mix(np.array([short + np.uint64(end - begin)]))
             else:
                 yield grams[:0]
-        at = to
 
 
 def set_key(shingles: np.ndarray) -> int:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from . import language, toxicity
 from .chat_format import format_preferences
 from .common import fold, table
+from .decontaminate import find_leaks
 from .jaccard import jaccard_components
 from .line_dedup import line_dedup
+from .lm_score import score_language_model
 from .packing import pack
 from .secrets import scan_secrets
 from .topk import top_k
@@ -25,6 +27,10 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), words=5, least=0.8)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), capacity=2048)
 
@@ -69,15 +75,21 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_preferences(turns)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language_model(table(spark, sf_dir, "documents"), learn=fold() != 1, held_out=fold() == 1)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_topk_search": op2_topk_search,
+    "op3_decontaminate": op3_decontaminate,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE = {
