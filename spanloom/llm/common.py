@@ -43,6 +43,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has ``rows`` rows at most, else as it is.
+
+    For narrow tables that have been cut; beyond the bound Spark joins by shuffling.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def fold(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of the id's text, modulo 5; NULL for a NULL id."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

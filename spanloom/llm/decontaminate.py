@@ -23,6 +23,7 @@ WIDTH = BITS // BLOCKS
 #: Bounds of a block of benchmark items, which is what a task holds at a time.
 BLOCK_ITEMS, BLOCK_WORDS = 1000, 200_000
 
+
 def fingerprint(own: np.ndarray) -> np.ndarray:
     """SimHash of weighted shingles: each occurrence votes on every bit. Returned as BLOCKS 16-bit numbers."""
     both = np.stack([mix(own), mix(own ^ np.uint64(0x5851F42D4C957F2D))], axis=1)
@@ -146,8 +147,8 @@ def find_leaks(
 ) -> DataFrame:
     """Find benchmark items in documents.
 
-    Words are lower-cased runs of letters, digits, underscores and non-ASCII characters. A leak is a window of a document,
-    as many words long as the item, whose ``words``-word shingles reach a weighted Jaccard
+    Words are lower-cased runs of letters, digits, underscores and non-ASCII characters. A
+    leak is a window of a document, as many words long as the item, whose ``words``-word shingles reach a weighted Jaccard
     similarity of ``least`` with the item's (a shingle weighs as often as it occurs; an item
     of fewer words is one shingle; a document shorter than the item is one window). Result:
     doc_id, item_id, start_word, n_words, similarity, a row for each document and item with

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 from .components import connected_components
 from .hashing import factors, hashed_words, mix, shingles
 
@@ -20,6 +20,7 @@ WINDOW, LOCALLY, FREQUENT, FREQUENT_KEPT = 1 << 20, 4, 48, 500_000
 #: Smallest hashes of a set by which close copies find each other first.
 HEADS = 6
 
+
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     """For every text the sorted distinct hashes of its shingles (uint64)."""
     weights = factors(words)
@@ -133,7 +134,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     Sets are made again from the texts of the classes in question, one document each.
     """
     needed = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
-    wanted = needed.join(classes.select("cls", "rep"), "cls")
+    wanted = small(cut(needed.join(classes.select("cls", "rep"), "cls")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,16 +193,16 @@ def product_pairs(profile: DataFrame, groups: DataFrame, percent: int) -> DataFr
     two classes share. A pair stays if that count and the longest suffix that can still match
     reach the overlap which the two sizes need.
     """
-    grouped = profile.join(groups, profile["cls"] == groups["node"], "left").select(
+    grouped = profile.join(small(groups), profile["cls"] == groups["node"], "left").select(
         "cls", "n", F.coalesce("comp", "cls").alias("comp"), F.explode("prefix").alias("shingle")
     )
-    mixed = (
+    mixed = cut(
         grouped.groupBy("shingle")
         .agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
         .where("low <> high")
         .select("shingle")
     )
-    used = cut(grouped.join(mixed, "shingle").distinct())
+    used = cut(grouped.join(small(mixed), "shingle").distinct())
     a = used.select("shingle", F.col("cls").alias("u"), F.col("n").alias("n"), F.col("comp").alias("cu"))
     b = used.select("shingle", F.col("cls").alias("v"), F.col("n").alias("m"), F.col("comp").alias("cv"))
     suffix = F.ceil(F.greatest("n", "m") * percent / 100) - 1
