@@ -75,18 +75,20 @@ def map_texts(
 ) -> DataFrame:
     """Apply ``work`` to batches of whole texts; ids and ``carry`` columns pass as they are.
 
-    ``work`` takes the batch's texts and returns a list for each column of ``schema``.
+    ``carry`` may name the text column. ``work`` takes the batch's texts and returns a list for each column of ``schema``.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *carry)
-    kept = ["doc_id", *carry]
-    head = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in kept)
+    others = [c for c in carry if c != text_col]
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *others)
+    kept = ["doc_id", *("_text" if c == text_col else c for c in carry)]
+    shown = ["doc_id", *carry]
+    head = ", ".join(f"`{c}` {source.schema[k].dataType.simpleString()}" for c, k in zip(shown, kept))
     names = [field.split()[0] for field in schema.replace("<", " <").split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = work(batch.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), *(_array(made[n]) for n in names)], [*kept, *names]
+                [*(batch.column(c) for c in kept), *(_array(made[n]) for n in names)], [*shown, *names]
             )
 
     return source.mapInArrow(run, f"{head}, {schema}")
