@@ -69,7 +69,7 @@ def star_triples(citations: DataFrame, graph: str = "") -> DataFrame:
         triple(shape, "sh:path", path, "iri"),
         triple(shape, "prov:wasDerivedFrom", note, "iri"),
         triple(note, "rdf:type", F.lit(iri("oa:Annotation")), "iri"),
-        triple(note, "gen:contentHash", F.col("content_hash"), "literal"),
+        triple(shape, "gen:contentHash", F.col("content_hash"), "literal"),
         triple(note, "oa:hasTarget", target, "bnode"),
         triple(target, "oa:hasSource", F.col("source_uri"), "iri", s_kind="bnode"),
         triple(target, "oa:hasSelector", selector, "bnode", s_kind="bnode"),

@@ -92,7 +92,7 @@ t AS (SELECT node AS s, '{iri("rdf:type")}' AS p, '{iri("sh:NodeShape")}' AS o F
       SELECT shape, '{iri("sh:path")}', shape || '/path' FROM c UNION
       SELECT shape, '{iri("prov:wasDerivedFrom")}', shape || '/annotation' FROM c UNION
       SELECT shape || '/annotation', '{iri("rdf:type")}', '{iri("oa:Annotation")}' FROM c UNION
-      SELECT shape || '/annotation', '{iri("gen:contentHash")}', h FROM c UNION
+      SELECT shape, '{iri("gen:contentHash")}', h FROM c UNION
       SELECT shape || '/annotation', '{iri("oa:hasTarget")}', '_:' || sha256(shape || '|target') FROM c UNION
       SELECT '_:' || sha256(shape || '|target'), '{iri("oa:hasSource")}', src FROM c UNION
       SELECT '_:' || sha256(shape || '|target'), '{iri("oa:hasSelector")}', '_:' || sha256(shape || '|selector') FROM c UNION
@@ -144,7 +144,7 @@ def bgp_provenance(spark, sf):
     triples = annotate.star_triples(citations(spark, sf))
     wanted = [
         ("?property", "prov:wasDerivedFrom", "?note"),
-        ("?note", "gen:contentHash", "?hash"),
+        ("?property", "gen:contentHash", "?hash"),
         ("?note", "oa:hasTarget", "?target"),
         ("?target", "oa:hasSource", "?source"),
         ("?target", "oa:hasSelector", "?selector"),

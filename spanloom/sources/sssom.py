@@ -16,10 +16,11 @@ OPTIONAL = ("subject_label", "object_label", "author_id")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(src_path, line_num from 1, line) of whole files."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("src_path"), "value")
-    return text.select("src_path", F.posexplode(split_lines(F.col("value"))).alias("pos", "line")).select(
-        "src_path", (F.col("pos") + 1).alias("line_num"), "line"
+    """(src_path, line_num from 1, line) of whole files; an empty file has one NULL line."""
+    files = spark.read.format("binaryFile").load(path)
+    text = files.select(F.col("path").alias("src_path"), F.decode("content", "UTF-8").alias("value"))
+    return text.select("src_path", F.posexplode_outer(split_lines(F.col("value"))).alias("pos", "line")).select(
+        "src_path", (F.coalesce("pos", F.lit(0)) + 1).alias("line_num"), "line"
     )
 
 
@@ -137,7 +138,10 @@ def parse_mappings(lines: DataFrame) -> DataFrame:
 
 def load_mappings(spark: SparkSession, path: str) -> DataFrame:
     """Mappings of the files under ``path``; the first bad line, top to bottom, is raised."""
-    parsed = parse_mappings(read_lines(spark, path))
+    lines = read_lines(spark, path)
+    if lines.isEmpty():
+        raise SssomParseError(path, "the file has no column header")
+    parsed = parse_mappings(lines)
     worst = parsed.where("fault IS NOT NULL").orderBy("src_path", "line_num").limit(1).collect()
     if worst:
         raise SssomParseError(worst[0].src_path, worst[0].fault, worst[0].line_num, worst[0].line)
