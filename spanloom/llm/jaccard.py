@@ -89,7 +89,10 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), cls (key of the set), heads and prefix of every document.
+    """doc_id, n (set size), cls (key of the set), typical, heads and prefix of every document.
+
+    ``typical`` is the share of frequent shingles: within a large group of close copies it is
+    highest for the text that the others were made from.
 
     Two sets can only link if their prefixes meet: the first n - ceil(t n) + 1 shingles in an
     order that all documents share, rare shingles before frequent ones.
@@ -99,7 +102,7 @@ def profiles(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            sizes, keys, heads, prefixes = [], [], [], []
+            sizes, keys, typical, heads, prefixes = [], [], [], [], []
             for found in shingle_sets(batch.column("text"), words):
                 n = len(found)
                 sizes.append(n)
@@ -109,8 +112,10 @@ def profiles(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
                     at = np.minimum(np.searchsorted(often, found), len(often) - 1)
                     common = often[at] == found
                     ordered = np.concatenate([found[~common], found[common]])
+                    typical.append(float(common.mean()))
                 else:
                     ordered = found
+                    typical.append(0.0)
                 prefixes.append(ordered[: n - -(-percent * n // 100) + 1 if n else 0].view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -118,14 +123,15 @@ def profiles(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
                     batch.column("doc_id"),
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, pa.int64()),
+                    pa.array(typical, pa.float64()),
                     pa.array(heads, longs),
                     pa.array(prefixes, longs),
                 ],
-                ["doc_id", "n", "cls", "heads", "prefix"],
+                ["doc_id", "n", "cls", "typical", "heads", "prefix"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, cls long, heads array<long>, prefix array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, cls long, typical double, heads array<long>, prefix array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -172,11 +178,14 @@ def close_sizes(n: str, m: str, percent: int) -> Column:
 
 
 def star_pairs(profile: DataFrame, percent: int) -> DataFrame:
-    """Pairs of every class with the first and the last class that share one of its heads."""
-    heads = profile.select("cls", "n", F.explode("heads").alias("shingle")).distinct()
-    ends = heads.groupBy("shingle").agg(
-        F.min(F.struct("cls", "n")).alias("low"), F.max(F.struct("cls", "n")).alias("high")
-    ).where("low.cls <> high.cls")
+    """Pairs of every class with the most typical and the first class that share one of its heads."""
+    heads = profile.select("cls", "n", "typical", F.explode("heads").alias("shingle")).distinct()
+    ends = (
+        heads.groupBy("shingle")
+        .agg(F.min(F.struct("cls", "n")).alias("low"), F.max(F.struct("typical", "cls", "n")).alias("high"), F.max("cls").alias("last"))
+        .where("low.cls <> last")
+        .select("shingle", "low", F.struct("high.cls", "high.n").alias("high"))
+    )
     met = heads.join(ends, "shingle").select("cls", "n", F.explode(F.array("low", "high")).alias("end"))
     return (
         met.where((F.col("cls") != F.col("end.cls")) & close_sizes("n", "end.n", percent))
