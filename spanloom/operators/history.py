@@ -134,3 +134,31 @@ def leaves(parts: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
 def audit_json(tables: dict[str, Column]) -> Column:
     """One JSON document of named columns, as a run's audit keeps them."""
     return F.to_json(F.struct(*[c.alias(k) for k, c in tables.items()]))
+
+
+def record_reviews(revisions: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Append one revision for each review document, which is cited whole.
+
+    ``reviews`` has fact_key, review_id, reviewer, created_at, document (JSON text); ids and
+    times are the caller's. The revision refers to the document by the hash of its text.
+    """
+    cited = reviews.select(
+        "fact_key",
+        F.col("review_id").alias("revision_id"),
+        F.concat(F.lit("sha256:"), F.sha2("document", 256)).alias("reference"),
+        F.col("reviewer").alias("author"),
+        F.lit("review").alias("comment"),
+        F.lit(False).alias("is_correction"),
+        "created_at",
+    )
+    return revisions.unionByName(cited)
+
+
+def add_citations(revisions: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Append a revision for every candidate that resolves, and return the others with their status.
+
+    ``resolved`` has the columns of ``revisions`` but reference, and status, current_hash; a
+    family that the snapshot lacks is among the rejected as NOT_FOUND.
+    """
+    good = resolved.where("status = 'RESOLVED'").withColumn("reference", F.col("current_hash")).select(*revisions.columns)
+    return revisions.unionByName(good), resolved.where("status <> 'RESOLVED'")

@@ -668,3 +668,80 @@ def structural_cases(spark, sf):
     return types.select(F.col("p_type").alias("root"), (F.col("p_size") % 3).alias("low"), F.explode(F.array(*map(F.lit, first))).alias("first")).withColumn(
         "second", F.explode(F.array(*map(F.lit, second)))
     )
+
+
+# ---------------------------------------------------------------- more of the inventory
+
+
+@query("q_bounding_box", "SELECT vec_id // 50 AS page, min(embedding[1]::DOUBLE) AS x0, min(embedding[2]::DOUBLE) AS top, max(embedding[3]::DOUBLE) AS x1, max(embedding[4]::DOUBLE) AS bottom FROM embeddings GROUP BY 1")
+def bounding_box(spark, sf):
+    words = table(spark, sf, "embeddings").select(
+        F.floor(F.col("vec_id") / 50).alias("page"), *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(("x0", "top", "x1", "bottom"))]
+    )
+    return resolve.bounding_box(words, "page")
+
+
+@query(
+    "q_constraint_sets",
+    "WITH a AS (SELECT p_brand, p_type, p_size FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL), b AS (SELECT p_brand, p_type, p_size FROM part WHERE p_partkey % 2 = 1 GROUP BY ALL), "
+    "d AS (SELECT coalesce(a.p_brand, b.p_brand) AS brand, a.p_brand IS NULL OR b.p_brand IS NULL AS odd FROM a FULL JOIN b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size) "
+    "SELECT brand, NOT bool_or(odd) AS same FROM d GROUP BY brand",
+)
+def constraint_sets(spark, sf):
+    part = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_type").alias("selector"), F.array(F.col("p_size").cast("string")).alias("fields"), F.lit(None).cast("string").alias("refer"))
+    return audit.constraint_sets_equal(part.where("p_partkey % 2 = 0"), part.where("p_partkey % 2 = 1"), "brand")
+
+
+@query("q_snapshot_resolve", "SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 'NOT_FOUND' ELSE 'RESOLVED' END AS location_status FROM documents")
+def snapshot_resolve(spark, sf):
+    from .sources.snapshots import resolve_families
+
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("family"))
+    current = docs.select("family").distinct().where("family NOT IN ('src1', 'src2')").withColumn("rel_path", F.concat("family", F.lit(".xml")))
+    return resolve_families(docs, current).select("doc_id", "location_status")
+
+
+@query("q_provenance_match", "WITH f AS (SELECT p_brand AS name, p_name AS text, min({'page': p_size, 'top': p_partkey}) AS w FROM part GROUP BY ALL) SELECT name, text, w.page AS page, w.top AS top FROM f")
+def provenance_match(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_brand").alias("name"), F.col("p_name").alias("text"), F.col("p_size").alias("page"), F.col("p_partkey").alias("top"), F.lit(0).alias("x0"), F.lit(1).alias("x1"))
+    found = audit.first_occurrence(part.select("name", "text").distinct(), part)
+    return found.select("name", "text", F.col("at.page").alias("page"), F.col("at.top").alias("top"))
+
+
+@query("q_correction_state", "WITH l AS (SELECT user_id, event_type, arg_max(event_id % 2, {'a': ts, 'b': event_id}) AS odd FROM events GROUP BY ALL) SELECT sha256(user_id || '|' || event_type || '|CONTENT|f') AS process FROM l WHERE odd = 1")
+def correction_state(spark, sf):
+    from .streaming.sweep import correction_state as state
+
+    events = table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("fact_key"), F.col("event_type").alias("leaf_ref"), F.lit("CONTENT").alias("drift_kind"), F.lit("f").alias("fingerprint"),
+        F.when(F.col("event_id") % 2 == 1, "REJECTED").otherwise("APPROVED").alias("verdict"), F.struct("ts", "event_id").alias("at"),
+    )
+    return state(events).select("process")
+
+
+@query("q_structure_report", "SELECT p_brand AS space, count(DISTINCT p_type) AS n_types, (SELECT count(*) FROM part b WHERE b.p_brand = a.p_brand) AS n_members FROM part a GROUP BY p_brand")
+def structure_report(spark, sf):
+    parts = table(spark, sf, "part").select(F.col("p_brand").alias("space"), F.col("p_type").alias("type_name"), F.col("p_name").alias("member"), F.lit("element").alias("kind"), F.lit(0).alias("low"), F.col("p_size").alias("high"))
+    members = F.aggregate("types", F.lit(0), lambda n, t: n + F.size(t["members"])).cast("long")
+    return schemas.structure_report(parts).select("space", "n_types", members.alias("n_members"))
+
+
+@query("q_boundary_values", "SELECT p_partkey, v.value, v.valid FROM (SELECT p_partkey, unnest([{'value': '1', 'valid': true}, {'value': p_size::VARCHAR, 'valid': true}, {'value': '0', 'valid': false}, {'value': (p_size + 1)::VARCHAR, 'valid': false}]) AS v FROM part)")
+def boundary_values(spark, sf):
+    none = F.lit(None).cast("int")
+    leaf = F.struct(F.array().cast("array<string>").alias("enumeration"), none.alias("minLength"), none.alias("maxLength"), F.lit(1).alias("minInclusive"), F.col("p_size").alias("maxInclusive"), none.alias("totalDigits"))
+    return table(spark, sf, "part").select("p_partkey", F.explode(schemas.boundary_values(leaf)).alias("v")).select("p_partkey", "v.value", "v.valid")
+
+
+@query("q_display_name", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type ELSE url_encode(p_name || ' ' || p_partkey) END AS name FROM part")
+def display_name(spark, sf):
+    shape = terms.shape_iri(F.col("p_brand"), F.col("p_type"), property_name())
+    return table(spark, sf, "part").select("p_partkey", terms.display_name(F.when(F.col("p_size") % 2 == 0, F.col("p_type")), shape).alias("name"))
+
+
+@query("q_add_citations", f"WITH {_DRIFT} SELECT doc_id, current_status AS status FROM r WHERE current_status <> 'RESOLVED'")
+def add_citations(spark, sf):
+    """What is refused when every document of today is cited anew."""
+    resolved = text_drift(spark, sf).select(F.col("key").alias("doc_id"), F.col("current_status").alias("status"), "current_hash")
+    revisions = resolved.limit(0).select("doc_id", F.lit("").alias("reference"))
+    return history.add_citations(revisions, resolved)[1].select("doc_id", "status")

@@ -82,4 +82,31 @@ def turtle_header() -> str:
     return "".join(f"@prefix {p}: <{NAMESPACES[p]}> .\n" for p in ("sh", "gen", "prov", "oa", "rdf", "dash")) + "\n"
 
 
-__all__ = ["TRIPLES", "load_vocabulary", "triples_of_nodes", "turtle_header", "turtle_lines", "vocabulary_path"]
+#: A statement of the written subset: a subject, then predicates in angle brackets with one object each.
+_STATEMENT = r"(?s)^(<[^>]*>|_:\S+) (.*) \.$"
+_PAIR = r"(?s)<([^>]*)> (<[^>]*>|_:\S+|\"(?:[^\"\\\\]|\\\\.)*\"(?:@[\w-]+|\^\^<[^>]*>)?)"
+
+
+def read_turtle(spark: SparkSession, path: str, graph: str = "") -> DataFrame:
+    """Triples of files in the form that :func:`turtle_lines` writes; other Turtle is not read."""
+    text = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", " \\.\n")).alias("text"))
+    body = F.concat(F.regexp_replace("text", r"(?m)^@prefix .*\.$|^\s+", ""), F.lit(" ."))
+    found = text.select(F.regexp_extract(body, _STATEMENT, 1).alias("subject"), F.regexp_extract(body, _STATEMENT, 2).alias("rest")).where("subject <> ''")
+    pairs = found.select("subject", F.explode(F.arrays_zip(F.regexp_extract_all("rest", F.lit(_PAIR), F.lit(1)).alias("p"), F.regexp_extract_all("rest", F.lit(_PAIR), F.lit(2)).alias("o"))).alias("x"))
+    o = F.col("x.o")
+    literal = o.startswith('"')
+    plain = F.regexp_extract(o, r'(?s)^"(.*)"(?:@[\w-]+|\^\^<[^>]*>)?$', 1)
+    for found_, better in (("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\\\\", "\\")):
+        plain = F.replace(plain, F.lit(found_), F.lit(better))
+    iri_ = F.regexp_replace(o, "^<|>$", "")
+    bare = lambda c: F.when(c.startswith("_:b"), F.concat(F.lit("_:"), F.substr(c, F.lit(4)))).otherwise(F.regexp_replace(c, "^<|>$", ""))
+    return pairs.select(
+        F.lit(graph).alias("graph"), bare(F.col("subject")).alias("s"), F.when(F.col("subject").startswith("_:"), "bnode").otherwise("iri").alias("s_kind"),
+        F.col("x.p").alias("p"), F.when(literal, plain).when(o.startswith("_:"), bare(o)).otherwise(iri_).alias("o"),
+        F.when(literal, "literal").when(o.startswith("_:"), "bnode").otherwise("iri").alias("o_kind"),
+        F.when(literal, F.regexp_extract(o, r'\^\^<([^>]*)>$', 1)).otherwise("").alias("o_dt"),
+        F.when(literal, F.regexp_extract(o, r'"@([\w-]+)$', 1)).otherwise("").alias("o_lang"),
+    ).dropDuplicates()
+
+
+__all__ = ["read_turtle", "TRIPLES", "load_vocabulary", "triples_of_nodes", "turtle_header", "turtle_lines", "vocabulary_path"]

@@ -61,6 +61,11 @@ def test_store(spark, tmp_path, monkeypatch):
     store.export_turtle(str(tmp_path / "out"))
     files = list((tmp_path / "out").rglob("*.ttl"))
     assert len(files) == 2 and all("@prefix sh:" in f.read_text() for f in files)
+    from spanloom.sources.graphs import read_turtle
+
+    wanted = annotate.star_triples(store.read())
+    again = read_turtle(spark, str(tmp_path / "out" / "shapes" / "*" / "*.ttl"))
+    assert unchanged(again, wanted.select(*again.columns)), (again.exceptAll(wanted).collect()[:2], wanted.exceptAll(again).collect()[:2])
     assert git_commit(str(tmp_path / "out"), "shapes", "first") and not git_commit(str(tmp_path / "out"), "shapes", "again")
     with pytest.raises(StoreError, match="git add"):
         git_commit(str(tmp_path / "out"), "nowhere", "x")
