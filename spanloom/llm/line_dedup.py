@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower
+from .common import BLANKS, ascii_lower, cut
 
 
 def line_key(line: Column) -> Column:
@@ -32,9 +32,10 @@ def line_dedup(
     and keeps its lines. An empty table gives an empty result.
 
     Lines travel as 16-byte hashes. The count groups by (hash, id) before it groups by hash,
-    so that a line of a third of all documents reaches its last task as one row per task; the
-    join back to the lines splits such a key by adaptive execution. Positions, not texts, go
-    back to the documents.
+    so that a line of a third of all documents reaches its last task as one row per task. The
+    frequent hashes are cut to the shared folder, so both sides of the join back to the lines
+    come from a shuffle of their own and adaptive execution can split such a key. Positions,
+    not texts, go back to the documents.
     """
     others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -51,7 +52,7 @@ def line_dedup(
         .where(F.char_length("key") >= min_chars)
         .select("id", "rid", "pos", F.unhex(F.md5("key")).alias("h"))
     )
-    frequent = (
+    frequent = cut(
         lines.groupBy("h")
         .agg(F.countDistinct("id").alias("n"), F.max("id").alias("last"))
         .where(F.col("n") >= min_docs)
