@@ -24,7 +24,7 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tiktoken.Encoding:
 class Words(dict):
     """Word to the bytes of its ids (unsigned 32-bit, little-endian), remembered up to a bound."""
 
-    REMEMBER, LONGEST = 600_000, 32
+    REMEMBER, LONGEST = 400_000, 32
 
     def __init__(self, lead: str):
         super().__init__()
