@@ -42,9 +42,8 @@ def held_out(rest: int):
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    labelled = docs.select("doc_id", "text").join(labels, "doc_id").where(fold() != 0)
-    scored = toxicity.score_toxicity(docs, toxicity.train(labelled))
+    labels = table(spark, sf_dir, "labels").where(fold() != 0)
+    scored = toxicity.score_toxicity(docs, toxicity.train(docs, labels))
     return scored.select("doc_id", held_out(0).alias("held_out"), "score", "predicted")
 
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import cut, map_texts
 
 #: Identity terms by group; a term may be swapped for any other of its group.
 IDENTITY_TERMS = (
@@ -30,7 +30,7 @@ SWAPS = {term: tuple(t for t in group if t != term) for group in IDENTITY_TERMS
 WORD = re.compile(r"\w+")
 #: Stems are a word's first characters, of these lengths.
 STEMS = (4, 5, 6, 7)
-BUCKETS = 1 << 22
+BUCKETS = 1 << 21
 
 
 def bucket(feature: str) -> int:
@@ -125,13 +125,12 @@ def fit(
             positive[features] += 1
     n1 = max(1, int(labels.sum()))
     n0 = max(1, n - n1)
-    share1, share0 = positive / n1, (total - positive) / n0
-    pooled = total / n
-    z = (share1 - share0) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n1 + 1 / n0))
-    chosen = (total >= min_docs) & (z >= min_z)
+    often = np.flatnonzero(total >= min_docs)
+    pooled = total[often] / n
+    gap = positive[often] / n1 - (total - positive)[often] / n0
+    z = gap / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n1 + 1 / n0))
     terms = np.unique([bucket(f"={t}") for t in SWAPS])
-    chosen[terms[total[terms] > 0]] = True
-    buckets = np.flatnonzero(chosen)
+    buckets = np.union1d(often[z >= min_z], terms[total[terms] > 0])
     place = np.full(BUCKETS, -1, np.int32)
     place[buckets] = np.arange(len(buckets))
 
@@ -167,15 +166,20 @@ def fit(
     return Model(buckets, w, float(b))
 
 
-def training_rows(labelled: DataFrame, per_class: int) -> DataFrame:
-    """At most ``per_class`` rows of each label, those with the smallest hash of their id."""
+def training_ids(labels: DataFrame, per_class: int) -> DataFrame:
+    """At most ``per_class`` labelled ids of each class, those with the smallest hash; one label for each id."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit("toxicity"))
-    picked = [labelled.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(per_class) for label in (0, 1)]
-    return picked[0].unionByName(picked[1])
+    picked = [known.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(per_class) for label in (0, 1)]
+    return cut(picked[0].unionByName(picked[1]))
 
 
-def train(labelled: DataFrame, per_class: int = 5000) -> Model:
-    """Fit on (doc_id, text, toxic). ``per_class`` bounds the sample of labelled rows of each class."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Model:
+    """Fit on the texts of (doc_id, text) that (doc_id, toxic) labels.
+
+    ``per_class`` bounds the sample of labelled ids of each class. The sample of ids is what is
+    broadcast, so the documents are read where they lie and only the sample's features move.
+    """
 
     def features(texts: list[str | None]) -> dict[str, list]:
         words = [document_words(t) for t in texts]
@@ -185,14 +189,13 @@ def train(labelled: DataFrame, per_class: int = 5000) -> Model:
             "other": [None if o is None else np.array(feature_set(o), np.int32).tobytes() for o in others],
         }
 
-    sample = training_rows(labelled.select("doc_id", "text", "toxic"), per_class)
-    rows = map_texts(sample, features, "own binary, other binary", carry=["toxic"]).collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.own)))
-    if not rows:
+    sample = docs.select("doc_id", "text").join(F.broadcast(training_ids(labels, per_class)), "doc_id")
+    rows = map_texts(sample, features, "own binary, other binary", carry=["toxic"]).toArrow().sort_by([("doc_id", "ascending")])
+    if not rows.num_rows:
         return Model(np.zeros(0, np.int64), np.zeros(0), -2.0)
-    own = [np.frombuffer(r.own, np.int32) for r in rows]
-    other = [None if r.other is None else np.frombuffer(r.other, np.int32) for r in rows]
-    return fit(own, other, np.array([r.toxic for r in rows], dtype=np.int64))
+    own = [np.frombuffer(b.as_buffer(), np.int32) for b in rows.column("own")]
+    other = [np.frombuffer(b.as_buffer(), np.int32) if b.is_valid else None for b in rows.column("other")]
+    return fit(own, other, rows.column("toxic").to_numpy().astype(np.int64))
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
