@@ -148,13 +148,13 @@ def toxic_corpus(n=600):
 
 def test_toxicity_on_held_out_rows_and_swapped_terms(make, spark):
     rows, labels = toxic_corpus()
-    table = make(rows).join(spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"), "doc_id")
-    model = toxicity.train(table.where(fold() != 0))
+    known = spark.createDataFrame([*enumerate(labels), (None, 1), (9999, 1), (1, None)], "doc_id long, toxic int").where(fold() != 0)
+    model = toxicity.train(make(rows), known)
     got = {r.doc_id: r for r in toxicity.score_toxicity(make(rows), model).collect()}
     held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([got[i].predicted == labels[i] for i in held]) > 0.95
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
-    again = toxicity.train(table.where(fold() != 0))
+    again = toxicity.train(make(rows), known)
     assert np.array_equal(model.weights, again.weights)
 
 
@@ -174,8 +174,7 @@ def test_the_penalty_takes_weight_from_identity_terms():
 
 
 def test_toxicity_edges(make, spark):
-    empty = spark.createDataFrame([], "doc_id long, text string, toxic int")
-    prior = toxicity.train(empty)
+    prior = toxicity.train(make([]), spark.createDataFrame([], "doc_id long, toxic int"))
     out = toxicity.score_toxicity(make([(1, None), (2, ""), (None, "x"), (2, "")]).withColumn("score", F.lit(9)), prior).collect()
     assert len(out) == 4 and len({r.score for r in out}) == 1 and toxicity.score_toxicity(make([]), prior).collect() == []
 
