@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,8 @@ SWAPS = {term: tuple(t for t in group if t != term) for group in IDENTITY_TERMS
 WORD = re.compile(r"\w+")
 #: Stems are a word's first characters, of these lengths.
 STEMS = (4, 5, 6, 7)
+#: A feature that so many different words share counts once more.
+SHARED = (2, 4)
 BUCKETS = 1 << 21
 
 
@@ -55,11 +58,20 @@ def swapped(words: set[str]) -> set[str] | None:
     return {SWAPS[w][zlib.crc32(w.encode()) % len(SWAPS[w])] if w in SWAPS else w for w in words}
 
 
+def lifted(feature: int, times: int) -> int:
+    """The feature that at least ``times`` different words of a document share ``feature``."""
+    return (feature * 0x9E3779B1 + times) % BUCKETS
+
+
+def levels(counts: Counter[int]) -> set[int]:
+    """Features of a document from the number of its words with each feature."""
+    found = set(counts)
+    found.update(lifted(f, times) for f, n in counts.items() for times in SHARED if n >= times)
+    return found
+
+
 def feature_set(words: set[str]) -> list[int]:
-    found: set[int] = set()
-    for word in words:
-        found.update(word_features(word))
-    return sorted(found)
+    return sorted(levels(Counter(f for word in words for f in word_features(word))))
 
 
 @dataclass(frozen=True)
@@ -87,15 +99,17 @@ class Scorer:
         if found is None:
             if len(self.seen) >= self.REMEMBER:
                 self.seen.clear()
-            found = self.seen[word] = tuple(f for f in word_features(word) if f in self.weight)
+            found = self.seen[word] = tuple(
+                f for f in word_features(word) if f in self.weight or any(lifted(f, t) in self.weight for t in SHARED)
+            )
         return found
 
     def score(self, text: str | None) -> float:
-        active: set[int] = set()
+        counts: Counter[int] = Counter()
         for word in document_words(text):
             if found := self.active(word):
-                active.update(found)
-        logit = self.bias + sum(self.weight[f] for f in sorted(active))
+                counts.update(found)
+        logit = self.bias + sum(self.weight.get(f, 0.0) for f in sorted(levels(counts)))
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
@@ -105,7 +119,7 @@ def fit(
     labels: np.ndarray,
     penalty: float = 4.0,
     min_docs: int = 5,
-    min_z: float = 5.0,
+    evidence: float = 16.0,
     decay: float = 1e-3,
     rounds: int = 400,
 ) -> Model:
@@ -113,9 +127,9 @@ def fit(
 
     The loss is the mean log loss, each class weighing half, plus ``penalty`` times the mean
     squared change of the logit when identity terms are swapped, plus weight decay. A feature
-    gets a weight if at least ``min_docs`` of the documents hold it and its share among
-    label-1 documents lies ``min_z`` standard errors above that among the others; features of
-    identity terms always do, so that the penalty acts on them.
+    gets a weight if at least ``min_docs`` of the documents hold it and label 1 is so frequent
+    among them that chance would do it once in exp(``evidence``) features (by Chernoff's
+    bound); features of identity terms always do, so that the penalty acts on them.
     """
     n = len(labels)
     positive, total = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
@@ -126,11 +140,11 @@ def fit(
     n1 = max(1, int(labels.sum()))
     n0 = max(1, n - n1)
     often = np.flatnonzero(total >= min_docs)
-    pooled = total[often] / n
-    gap = positive[often] / n1 - (total - positive)[often] / n0
-    z = gap / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n1 + 1 / n0))
+    base, share = n1 / (n1 + n0), np.clip(positive[often] / total[often], 1e-9, 1 - 1e-9)
+    surprise = total[often] * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
+    telling = (share > base) & (surprise >= evidence)
     terms = np.unique([bucket(f"={t}") for t in SWAPS])
-    buckets = np.union1d(often[z >= min_z], terms[total[terms] > 0])
+    buckets = np.union1d(often[telling], terms[total[terms] > 0])
     place = np.full(BUCKETS, -1, np.int32)
     place[buckets] = np.arange(len(buckets))
 
