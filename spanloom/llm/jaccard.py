@@ -199,11 +199,13 @@ def product_pairs(profile: DataFrame, groups: DataFrame, percent: int) -> DataFr
 
     The incidence of classes and prefix shingles is multiplied by itself: a join on the
     shingle, only of columns that more than one group uses, adds up how many prefix shingles
-    two classes share. A pair stays if that count and the longest suffix that can still match
+    two classes share. A shared shingle's places in both orders bound what lies before and
+    behind it: where they bound the overlap below what the sizes need, the pair is none, and
+    the entry is left out. A pair stays if its count and the longest suffix that can still match
     reach the overlap which the two sizes need.
     """
     grouped = profile.join(small(groups), profile["cls"] == groups["node"], "left").select(
-        "cls", "n", F.coalesce("comp", "cls").alias("comp"), F.explode("prefix").alias("shingle")
+        "cls", "n", F.coalesce("comp", "cls").alias("comp"), F.posexplode("prefix").alias("at", "shingle")
     )
     mixed = cut(
         grouped.groupBy("shingle")
@@ -212,12 +214,14 @@ def product_pairs(profile: DataFrame, groups: DataFrame, percent: int) -> DataFr
         .select("shingle")
     )
     used = cut(grouped.join(small(mixed), "shingle").distinct())
-    a = used.select("shingle", F.col("cls").alias("u"), F.col("n").alias("n"), F.col("comp").alias("cu"))
-    b = used.select("shingle", F.col("cls").alias("v"), F.col("n").alias("m"), F.col("comp").alias("cv"))
+    a = used.select("shingle", F.col("cls").alias("u"), "n", F.col("at").alias("i"), F.col("comp").alias("cu"))
+    b = used.select("shingle", F.col("cls").alias("v"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("comp").alias("cv"))
+    reach = F.least("i", "j") + 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
     suffix = F.ceil(F.greatest("n", "m") * percent / 100) - 1
     return (
         a.join(b, "shingle")
         .where((F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & close_sizes("n", "m", percent))
+        .where(reach >= least_overlap(F.col("n"), F.col("m"), percent))
         .groupBy("u", "v", "n", "m")
         .agg(F.count("*").alias("shared"))
         .where(F.col("shared") + suffix >= least_overlap(F.col("n"), F.col("m"), percent))
