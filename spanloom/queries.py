@@ -244,7 +244,7 @@ def xpath_nodes(spark, sf):
         F.col("page_id").cast("string").alias("doc_uri"),
         F.when(F.col("k") == 3, "/page/item/@ref").otherwise("/page/item").alias("selector_value"),
     )
-    found = resolve.resolve_xpath(wanted, parse_documents(documents))
+    found = resolve.resolve_xpath(wanted, parse_documents(documents).cache())
     return found.select(F.col("property_shape_iri").cast("long").alias("page_id"), "status")
 
 
