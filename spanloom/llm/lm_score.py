@@ -22,9 +22,10 @@ STRIDE, CONTEXT = 8, 8
 WINDOW = STRIDE + CONTEXT
 #: Width of the model, input embeddings (the most frequent ids have their own), output classes.
 WIDTH, INPUTS, CLASSES, OWN_CLASS = 16, 1024, 64, 40
-#: Of all training windows, one in SAMPLE is trained on, whatever the corpus's size; a shard
-#: of about SHARD windows is one task's share, and the models of all shards are averaged.
-SAMPLE, SHARD = 256, 40_000
+#: All training windows are trained on (SAMPLE is more than 1 in a test only). They travel in
+#: pieces of PIECE windows; a shard of about SHARD windows is one task's share, and the models
+#: of all shards are averaged.
+SAMPLE, SHARD, PIECE = 1, 40_000, 64
 #: Words with their own count on every executor, at most; other words' counts come by a join.
 HEAD_WORDS = 1 << 20
 #: Words that a task counts before it passes counts on.
@@ -137,14 +138,15 @@ def train_shard(rows: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds
     return p
 
 
-def windows_of(ids: np.ndarray) -> np.ndarray:
+def windows_of(ids: np.ndarray, lead: int = 0) -> np.ndarray:
     """Overlapping windows of one text's ids: each token is among the last STRIDE of exactly one.
 
-    Places before the text and behind its end hold -1.
+    Places before the text and behind its end hold -1. The first ``lead`` ids, CONTEXT at most,
+    are context only.
     """
-    n = -(-len(ids) // STRIDE)
+    n = -(-(len(ids) - lead) // STRIDE)
     padded = np.full(CONTEXT + n * STRIDE, -1, np.int32)
-    padded[CONTEXT : CONTEXT + len(ids)] = ids
+    padded[CONTEXT - lead : CONTEXT - lead + len(ids)] = ids
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
 
 
@@ -282,34 +284,50 @@ def subword_counts(texts: DataFrame) -> np.ndarray:
     return counts
 
 
-def train(texts: DataFrame, u: Units) -> dict[str, np.ndarray]:
-    """Attention weights from one training window in SAMPLE, trained by shards and averaged."""
+def pieces(texts: DataFrame) -> DataFrame:
+    """(place, lead, ids) of all windows: the ids of PIECE windows, behind ``lead`` ids of context.
+
+    Places are spread evenly, those of copies of one text too.
+    """
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            picked: list[bytes] = []
             places: list[int] = []
-            for rid, blob in zip(batch.column("rid").to_numpy(), batch.column("ids")):
-                windows = windows_of(np.frombuffer(blob.as_buffer(), "<u2").astype(np.int32))
-                chance = mix(np.arange(len(windows), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(int(rid) % (1 << 64)))
-                for i in np.flatnonzero(chance % np.uint64(SAMPLE) == 0):
-                    picked.append(windows[i].tobytes())
-                    places.append(int(chance[i] >> np.uint64(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(picked, pa.binary())], ["place", "ids"])
+            leads: list[int] = []
+            parts: list[bytes] = []
+            for row, blob in zip(batch.column("row").to_numpy(), batch.column("ids")):
+                ids = np.frombuffer(blob.as_buffer(), "<u2")
+                starts = np.arange(0, len(ids), PIECE * STRIDE)
+                chance = mix(starts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(int(row) % (1 << 64)))
+                for at, c in zip(starts.tolist(), chance.tolist()):
+                    if c % SAMPLE == 0:
+                        lead = min(at, CONTEXT)
+                        places.append(c >> 1)
+                        leads.append(lead)
+                        parts.append(ids[at - lead : at + PIECE * STRIDE].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(leads, pa.int32()), pa.array(parts, pa.binary())], ["place", "lead", "ids"])
 
-    sample = cut(texts.select("rid", "ids").mapInArrow(pick, "place long, ids binary"))
-    shards = -(-sample.count() // SHARD) or 1
+    rows = texts.select(F.xxhash64("rid", F.monotonically_increasing_id()).alias("row"), "ids")
+    return rows.mapInArrow(split, "place long, lead int, ids binary")
+
+
+def train(texts: DataFrame, u: Units) -> dict[str, np.ndarray]:
+    """Attention weights from all training windows, trained by shards and averaged."""
+    n = texts.agg(F.sum(F.ceil(F.octet_length("ids") / (2 * STRIDE)))).first()[0] or 0
+    shards = -(-n // (SHARD * SAMPLE)) or 1
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["place", "ids"])
-        windows = np.stack([np.frombuffer(b, np.int32) for b in group["ids"]])
+        group = group.sort_values(["place", "lead", "ids"])
+        windows = np.concatenate([windows_of(np.frombuffer(b, "<u2"), k) for k, b in zip(group["lead"], group["ids"])])
+        windows = windows[np.random.default_rng(7).permutation(len(windows))]
         rows, target, weight = prepared(windows, u)
         model = train_shard(rows, u.class_of[target], weight)
         flat = np.concatenate([model[k].ravel() for k in SHAPES])
         return pd.DataFrame({"at": np.arange(len(flat)), "value": flat.astype(np.float64), "size": len(windows)})
 
     averaged = (
-        sample.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)))
+        pieces(texts)
+        .withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)))
         .groupBy("shard")
         .applyInPandas(fit, "at int, value double, size long")
         .groupBy("at")

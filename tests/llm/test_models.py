@@ -292,3 +292,19 @@ def test_gradients_match_differences():
         down = loss()
         p[k][i] = old
         assert np.isclose((up - down) / 2e-5, g[k][i], atol=1e-6, rtol=1e-3), k
+
+
+def test_all_windows_of_all_texts_are_trained_on(spark):
+    """At the sample as it is set, each token is predicted once; copies of a text have places of their own."""
+    lengths = [1, 7, 8, 512, 513, 1500, 1500]
+    blobs = [np.arange(n).astype("<u2").tobytes() for n in lengths]
+    texts = spark.createDataFrame([(n, bytearray(b)) for n, b in zip(lengths, blobs)], "rid long, ids binary")
+    got = lm_score.pieces(texts).collect()
+    seen = Counter()
+    for r in got:
+        windows = lm_score.windows_of(np.frombuffer(r.ids, "<u2"), r.lead)
+        given, wanted = windows[:, : lm_score.CONTEXT], windows[:, lm_score.CONTEXT :]
+        seen.update(wanted[wanted >= 0].tolist())
+        before = wanted[:, :1] - np.arange(lm_score.CONTEXT, 0, -1)
+        assert (given == np.maximum(before, -1)).all()
+    assert seen == Counter(i for n in lengths for i in range(n)) and len({r.place for r in got}) == len(got)
