@@ -18,20 +18,21 @@ from .subword import encode
 #: The id that ends a text, free in the vocabulary of 50,256 ids.
 END, VOCABULARY = 50_256, 50_257
 #: A window predicts STRIDE tokens from the CONTEXT tokens before each of them.
-STRIDE, CONTEXT = 8, 8
+STRIDE, CONTEXT = 64, 64
 WINDOW = STRIDE + CONTEXT
-#: Width of the model, input embeddings (the most frequent ids have their own), output classes.
-WIDTH, INPUTS, CLASSES, OWN_CLASS = 16, 1024, 64, 40
+#: Width of the model, input embeddings (each id has its own, one stands before a text), output
+#: classes (the most frequent ids have their own; inside the others ids are predicted too).
+WIDTH, INPUTS, CLASSES, OWN_CLASS = 16, VOCABULARY + 1, 256, 128
 #: All training windows are trained on (SAMPLE is more than 1 in a test only). They travel in
 #: pieces of PIECE windows; a shard of about SHARD windows is one task's share, and the models
 #: of all shards are averaged.
-SAMPLE, SHARD, PIECE = 1, 40_000, 64
+SAMPLE, SHARD, PIECE = 1, 5_000, 8
 #: Words with their own count on every executor, at most; other words' counts come by a join.
 HEAD_WORDS = 1 << 20
 #: Words that a task counts before it passes counts on.
 COUNTED = 2 << 20
-#: Windows in a batch of attention.
-BATCH = 4096
+#: Windows in a batch of attention, and in a training step.
+BATCH, STEP = 128, 32
 #: Stands for the end of a text among the hashes of words.
 END_WORD = np.uint64(0x0E0DE0DE0DE0DE0D)
 
@@ -41,27 +42,39 @@ END_WORD = np.uint64(0x0E0DE0DE0DE0DE0D)
 
 @dataclass(frozen=True)
 class Units:
-    """What corpus counts say of the subword ids: input row, class and in-class log10 probability."""
+    """What corpus counts say of the subword ids: input row, class and in-class log10 probability.
+
+    ``members`` are the ids by class, those of class c from ``first[c]`` to ``first[c + 1]``.
+    """
 
     row: np.ndarray
     class_of: np.ndarray
     inside: np.ndarray
+    members: np.ndarray
+    first: np.ndarray
 
 
 def units(counts: np.ndarray) -> Units:
-    """The most frequent ids get rows and classes of their own; the other classes hold equal mass."""
+    """Each id gets a row, the most frequent ids classes of their own; the other classes hold much the same mass, or number of ids."""
     smooth = counts + 0.5
     order = np.lexsort((np.arange(VOCABULARY), -counts))
     rank = np.empty(VOCABULARY, np.int64)
     rank[order] = np.arange(VOCABULARY)
-    row = np.minimum(rank + 1, INPUTS - 1).astype(np.int16)  # row 0 stands before a text
+    row = (rank + 1).astype(np.int32)  # row 0 stands before a text
     rest = smooth[order][OWN_CLASS:]
-    share = np.cumsum(rest) / rest.sum()
+    share = (np.cumsum(rest) / rest.sum() + np.arange(1, len(rest) + 1) / len(rest)) / 2  # neither much mass nor many ids
     class_of = np.empty(VOCABULARY, np.int64)
     class_of[order[:OWN_CLASS]] = np.arange(OWN_CLASS)
-    class_of[order[OWN_CLASS:]] = OWN_CLASS + np.minimum((share * (CLASSES - OWN_CLASS)).astype(int), CLASSES - OWN_CLASS - 1)
+    # no class is skipped, however much mass one id has, so that no probability goes to an empty class
+    tail, n = CLASSES - OWN_CLASS, len(rest)
+    begins = np.searchsorted(share, np.arange(tail) / tail)
+    begins = np.maximum.accumulate(begins - np.arange(tail)) + np.arange(tail)
+    begins = np.minimum(begins, n - tail + np.arange(tail))
+    class_of[order[OWN_CLASS:]] = OWN_CLASS + np.searchsorted(begins, np.arange(n), side="right") - 1
     mass = np.bincount(class_of, weights=smooth, minlength=CLASSES)
-    return Units(row, class_of, np.log10(smooth / mass[class_of]))
+    members = np.argsort(class_of, kind="stable")
+    first = np.searchsorted(class_of[members], np.arange(CLASSES + 1))
+    return Units(row, class_of, np.log10(smooth / mass[class_of]), members, first)
 
 
 SHAPES = {
@@ -72,13 +85,18 @@ SHAPES = {
     "value": (WIDTH, WIDTH),
     "out": (WIDTH, CLASSES),
     "bias": (1, CLASSES),
+    "within": (VOCABULARY, WIDTH),
 }
+#: One row for each id: a step changes, and an average counts, the rows that texts use.
+SPARSE = ("embed", "within")
 _MASK = np.where(np.arange(WINDOW - 1)[None, :] <= np.arange(CONTEXT - 1, WINDOW - 1)[:, None], 0, -1e9).astype(np.float32)
 
 
 def start() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(7)
-    return {k: (rng.normal(0, 0.1 if k in ("embed", "place", "out") else WIDTH**-0.5, s)).astype(np.float32) for k, s in SHAPES.items()}
+    p = {k: (rng.normal(0, 0.1 if k in ("embed", "place", "out") else WIDTH**-0.5, s)).astype(np.float32) for k, s in SHAPES.items()}
+    p["within"][:] = 0  # inside a class: the corpus share, to begin with
+    return p
 
 
 def forward(p: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]:
@@ -88,12 +106,31 @@ def forward(p: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]
     q = asking @ (p["query"] * np.float32(WIDTH**-0.5))
     k, v = x @ p["key"], x @ p["value"]
     a = np.exp(np.clip(q @ k.transpose(0, 2, 1), -30, 30) + _MASK)
+    before = rows == 0
+    before[:, CONTEXT - 1] = False  # of the places before a text, only the last is looked at
+    if before.any():
+        a *= ~before[:, None, :]
     a /= a.sum(axis=2, keepdims=True)
     h = asking + a @ v
     return {"x": x, "q": q, "k": k, "v": v, "a": a, "h": h, "scores": h @ p["out"] + p["bias"]}
 
 
-def gradients(p: dict[str, np.ndarray], rows: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+def inside_class(p: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, u: Units) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each class of more than one id: places in ``ids``, the ids of the class, their probabilities, the column of each own id."""
+    classes = u.class_of[ids]
+    order = np.argsort(classes, kind="stable")
+    cuts = np.flatnonzero(np.diff(classes[order], prepend=-1))
+    for at in np.split(order, cuts[1:]) if len(order) else []:
+        c = classes[at[0]]
+        own = u.members[u.first[c] : u.first[c + 1]]
+        if len(own) > 1:
+            scores = h[at] @ p["within"][own].T + (u.inside[own] * np.log(10)).astype(h.dtype)
+            chance = np.exp(scores - scores.max(axis=1, keepdims=True))
+            yield at, own, chance / chance.sum(axis=1, keepdims=True), np.searchsorted(own, ids[at])
+
+
+def gradients(p: dict[str, np.ndarray], rows: np.ndarray, target: np.ndarray, weight: np.ndarray, ids: np.ndarray | None = None, u: Units | None = None) -> dict:
+    """Of the mean loss; those of SPARSE are pairs of rows and their gradients. Without ``ids`` only classes are learned."""
     f = forward(p, rows)
     chance = np.exp(f["scores"] - f["scores"].max(axis=2, keepdims=True))
     chance /= chance.sum(axis=2, keepdims=True)
@@ -101,6 +138,18 @@ def gradients(p: dict[str, np.ndarray], rows: np.ndarray, target: np.ndarray, we
     d = chance * (weight / max(1.0, float(weight.sum())))[:, :, None]
     g = {"out": np.einsum("nth,ntc->hc", f["h"], d, optimize=True), "bias": d.sum(axis=(0, 1))[None]}
     dh = d @ p["out"].T
+    g["within"] = (np.zeros(0, np.int64), np.zeros((0, WIDTH), np.float32))
+    if ids is not None:
+        real = np.flatnonzero(weight.ravel() > 0)
+        h, back, parts = f["h"].reshape(-1, WIDTH)[real], np.zeros((weight.size, WIDTH), f["h"].dtype), []
+        for at, own, chance, column in inside_class(p, h, ids.ravel()[real], u):
+            chance[np.arange(len(at)), column] -= 1
+            chance /= max(1.0, float(weight.sum()))
+            back[real[at]] = chance @ p["within"][own]
+            parts.append((own, chance.T @ h[at]))
+        dh = dh + back.reshape(dh.shape)
+        if parts:
+            g["within"] = tuple(map(np.concatenate, zip(*parts)))
     da = dh @ f["v"].transpose(0, 2, 1)
     dv = f["a"].transpose(0, 2, 1) @ dh
     ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True))
@@ -113,28 +162,29 @@ def gradients(p: dict[str, np.ndarray], rows: np.ndarray, target: np.ndarray, we
     dx = dk @ p["key"].T + dv @ p["value"].T
     dx[:, CONTEXT - 1 :] += dh + dq @ p["query"].T
     g["place"] = dx.sum(axis=0)
-    embed = np.zeros(SHAPES["embed"], np.float32)
-    np.add.at(embed, rows.ravel(), dx.reshape(-1, WIDTH))
-    g["embed"] = embed
+    order = np.argsort(rows.ravel(), kind="stable")
+    used, begin = np.unique(rows.ravel()[order], return_index=True)
+    g["embed"] = (used, np.add.reduceat(dx.reshape(-1, WIDTH)[order], begin, axis=0))
     return g
 
 
-def train_shard(rows: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 3) -> dict[str, np.ndarray]:
+def train_shard(rows: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 3, ids: np.ndarray | None = None, u: Units | None = None) -> dict[str, np.ndarray]:
     """Adam over the shard's windows, in the order given, ``rounds`` times (more on small shards)."""
     p = start()
     mass = np.bincount(target[weight > 0], minlength=CLASSES) + 1.0
     p["bias"] = np.log(mass / mass.sum()).astype(np.float32)[None]
     m, v = ({k: np.zeros(s, np.float32) for k, s in SHAPES.items()} for _ in range(2))
-    size = 256
-    steps = max(rounds * -(-len(rows) // size), 300)
+    steps = max(rounds * -(-len(rows) // STEP), 300)
     for t in range(1, steps + 1):
-        at = ((t - 1) * size) % max(1, len(rows))
-        g = gradients(p, rows[at : at + size], target[at : at + size], weight[at : at + size])
+        at = ((t - 1) * STEP) % (-(-len(rows) // STEP) * STEP or 1)
+        part = slice(at, at + STEP)
+        g = gradients(p, rows[part], target[part], weight[part], None if ids is None else ids[part], u)
         rate = np.float32(0.01 * (1 - 0.9 * t / steps))
         for k in SHAPES:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-            p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+            i, d = g[k] if k in SPARSE else (slice(None), g[k])
+            m[k][i] = 0.9 * m[k][i] + 0.1 * d
+            v[k][i] = 0.99 * v[k][i] + 0.01 * d**2
+            p[k][i] -= rate * (m[k][i] / (1 - 0.9**t)) / (np.sqrt(v[k][i] / (1 - 0.99**t)) + 1e-8)
     return p
 
 
@@ -161,10 +211,14 @@ def log_probabilities(p: dict[str, np.ndarray], windows: np.ndarray, u: Units) -
     out = np.empty(len(windows))
     for at in range(0, len(windows), BATCH):
         rows, target, weight = prepared(windows[at : at + BATCH], u)
-        scores = forward(p, rows)["scores"]
+        f = forward(p, rows)
+        scores = f["scores"]
         total = np.log(np.exp(np.clip(scores, -60, 60)).sum(axis=2))
         own = np.take_along_axis(scores, u.class_of[target][:, :, None], 2)[:, :, 0]
-        out[at : at + BATCH] = (((own - total) * np.float32(1 / np.log(10)) + u.inside[target]) * weight).sum(axis=1)
+        value, real = ((own - total) * (1 / np.log(10))).astype(np.float64).ravel(), np.flatnonzero(weight.ravel() > 0)
+        for places, _, chance, column in inside_class(p, f["h"].reshape(-1, WIDTH)[real], target.ravel()[real], u):
+            value[real[places]] += np.log10(chance[np.arange(len(places)), column] + 1e-30)
+        out[at : at + BATCH] = (value.reshape(weight.shape) * weight).sum(axis=1)
     return out
 
 
@@ -321,9 +375,15 @@ def train(texts: DataFrame, u: Units) -> dict[str, np.ndarray]:
         windows = np.concatenate([windows_of(np.frombuffer(b, "<u2"), k) for k, b in zip(group["lead"], group["ids"])])
         windows = windows[np.random.default_rng(7).permutation(len(windows))]
         rows, target, weight = prepared(windows, u)
-        model = train_shard(rows, u.class_of[target], weight)
+        model = train_shard(rows, u.class_of[target], weight, ids=target, u=u)
+        # a shard counts by its tokens; in an id's own row, by how often it has the id
+        counts = {k: np.full(s[0], weight.sum()) for k, s in SHAPES.items()}
+        counts["embed"] = np.bincount(rows.ravel(), minlength=INPUTS)
+        counts["within"] = np.bincount(target[weight > 0], minlength=VOCABULARY)
+        size = np.concatenate([np.repeat(counts[k], SHAPES[k][1]) for k in SHAPES]).astype(np.int64)
         flat = np.concatenate([model[k].ravel() for k in SHAPES])
-        return pd.DataFrame({"at": np.arange(len(flat)), "value": flat.astype(np.float64), "size": len(windows)})
+        at = np.flatnonzero(size)
+        return pd.DataFrame({"at": at, "value": flat[at].astype(np.float64), "size": size[at]})
 
     averaged = (
         pieces(texts)
@@ -336,7 +396,7 @@ def train(texts: DataFrame, u: Units) -> dict[str, np.ndarray]:
     )
     model = start()
     if averaged.num_rows:
-        flat = np.empty(averaged.num_rows, np.float32)
+        flat = np.concatenate([model[k].ravel() for k in SHAPES])
         flat[averaged.column("at").to_numpy()] = averaged.column("value").to_numpy()
         cuts = np.cumsum([int(np.prod(s)) for s in SHAPES.values()])[:-1]
         model = {k: part.reshape(SHAPES[k]) for k, part in zip(SHAPES, np.split(flat, cuts))}
@@ -349,9 +409,8 @@ def score_language_model(docs: DataFrame, learn: Column, held_out: Column, id_co
     Words are runs of non-blank characters with A-Z in lower case, closed by one end token.
     ``base_score`` sums log10((c + 0.5) / (N + 0.5 (V + 1))) over a text's tokens, with counts
     over all rows where ``learn`` holds. ``score`` is the log10 probability that the attention
-    model gives to the text's subword ids and their end: a class by attention over the tokens
-    before, times the id's share of its class in the corpus. Windows overlap by CONTEXT tokens
-    and score each token once.
+    model gives to the text's subword ids and their end: a class, and an id of the class, by
+    attention over the tokens before. Windows overlap by CONTEXT tokens and score each token once.
 
     Result: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, a row per
     input row. NULL and empty texts are the end alone. Rows with a NULL id are scored; they
@@ -392,7 +451,7 @@ def score_language_model(docs: DataFrame, learn: Column, held_out: Column, id_co
             for blob in batch.column("ids"):
                 pending.append(windows_of(np.frombuffer(blob.as_buffer(), "<u2").astype(np.int32)))
                 held += len(pending[-1])
-                if held >= 8 * BATCH:
+                if held >= 32 * BATCH:
                     flush()
                     held = 0
             flush()

@@ -308,3 +308,60 @@ def test_all_windows_of_all_texts_are_trained_on(spark):
         before = wanted[:, :1] - np.arange(lm_score.CONTEXT, 0, -1)
         assert (given == np.maximum(before, -1)).all()
     assert seen == Counter(i for n in lengths for i in range(n)) and len({r.place for r in got}) == len(got)
+
+
+def test_scores_depend_on_less_frequent_ids_and_on_far_context():
+    """Rows of their own, a probability inside the class, and more than 15 ids of context."""
+    counts = np.zeros(lm_score.VOCABULARY)
+    counts[:2000] = 10_000 / np.arange(1, 2001)
+    u = lm_score.units(counts)
+    assert len(np.unique(u.row)) == lm_score.VOCABULARY and np.bincount(u.class_of, minlength=lm_score.CLASSES).min() > 0
+    big = np.flatnonzero(np.bincount(u.class_of[:2000], minlength=lm_score.CLASSES) > 3)[-1]
+    first, second = np.flatnonzero(u.class_of[:2000] == big)[:2]
+    # after id 1500 comes one id of a class, after id 1501 another
+    pairs = np.array([[1500, first], [1501, second]])
+    texts = [pairs[np.random.default_rng(k).integers(0, 2, 30)].ravel() for k in range(200)]
+    rows, target, weight = lm_score.prepared(np.concatenate([lm_score.windows_of(t) for t in texts]), u)
+    model = lm_score.train_shard(rows, u.class_of[target], weight, ids=target, u=u)
+
+    def score(*ids):
+        return lm_score.log_probabilities(model, lm_score.windows_of(np.array(ids)), u).sum()
+
+    assert score(1500, first) > score(1500, second) + 0.5 and score(1501, second) > score(1501, first) + 0.5
+    far = rows[:1].copy()
+    far[0, lm_score.CONTEXT + 20] = u.row[1990]
+    a, b = (lm_score.forward(lm_score.start(), r)["scores"][0, 50] for r in (rows[:1], far))
+    assert not np.allclose(a, b, atol=1e-6)
+
+
+def test_gradients_inside_classes_match_differences():
+    rng = np.random.default_rng(10)
+    u = lm_score.units(10_000 / np.arange(1, lm_score.VOCABULARY + 1))
+    p = {k: v.astype(np.float64) for k, v in lm_score.start().items()}
+    p["within"] += rng.normal(0, 0.3, p["within"].shape)
+    ids = rng.integers(100, 3000, (2, lm_score.STRIDE))
+    rows = rng.integers(0, 3000, (2, lm_score.WINDOW - 1))
+
+    def loss():
+        f = lm_score.forward(p, rows)
+        scores, h = f["scores"].reshape(-1, lm_score.CLASSES), f["h"].reshape(-1, lm_score.WIDTH)
+        total = 0.0
+        for s, hidden, i in zip(scores, h, ids.ravel()):
+            c = u.class_of[i]
+            own = np.flatnonzero(u.class_of == c)
+            inside = hidden @ p["within"][own].T + u.inside[own] * np.log(10)
+            total += s[c] - np.log(np.exp(s).sum()) + inside[np.searchsorted(own, i)] - np.log(np.exp(inside).sum())
+        return -total / ids.size
+
+    g = lm_score.gradients(p, rows, u.class_of[ids], np.ones(ids.shape), ids, u)
+    dense = {k: np.zeros(lm_score.SHAPES[k]) for k in lm_score.SPARSE}
+    for k in dense:
+        dense[k][g[k][0]] = g[k][1]
+    for k, i in (("within", (ids[1, 5], 3)), ("within", (u.members[u.first[u.class_of[ids[0, 0]]]], 1)), ("embed", (rows[0, 80], 2)), ("query", (1, 2)), ("value", (3, 4))):
+        old = p[k][i]
+        p[k][i] = old + 1e-5
+        up = loss()
+        p[k][i] = old - 1e-5
+        down = loss()
+        p[k][i] = old
+        assert np.isclose((up - down) / 2e-5, dense.get(k, g.get(k))[i], atol=1e-7, rtol=1e-3), k
