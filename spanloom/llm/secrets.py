@@ -20,6 +20,13 @@ KINDS = ("assign", "access", "hex", "token")
 
 #: A candidate of the token test: an unbroken run of credential characters.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Those with separators around them, inside a run.
+KNOWN_PART = re.compile(
+    r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{128}|[0-9a-fA-F]{96}"
+    r"|[0-9a-fA-F]{64}|[0-9a-fA-F]{56}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})(?![A-Za-z0-9])"
+)
+#: The fewest characters of a token span, and what separators leave of a run.
+LEAST, PART = 20, re.compile(r"[A-Za-z0-9+]+")
 #: Digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512 in hex) and identifiers (UUIDs, numbers, dates) are known.
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
@@ -31,11 +38,34 @@ _IS_RUN = bytes(1 if re.fullmatch(r"[A-Za-z0-9+/_=-]", chr(b)) else 0 for b in r
 
 
 def looks_random(run: str, max_ratio: float) -> bool:
-    """Mixed letters and digits that take many tokens for their length, and no known digest or identifier."""
-    mixed = any(c.isdigit() for c in run) and any(c.islower() for c in run) and any(c.isupper() for c in run)
-    if not mixed or KNOWN.fullmatch(run):
-        return False
-    return len(run) / len(vocabulary().encode_ordinary(run)) <= max_ratio
+    """Takes many tokens for its length, and is no known digest or identifier; one letter in five is no number or time."""
+    return not KNOWN.fullmatch(run) and 5 * sum(map(str.isalpha, run)) >= len(run) and len(run) / len(vocabulary().encode_ordinary(run)) <= max_ratio
+
+
+def random_parts(run: str, max_ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of what looks random in a run: all of it, parts between separators, or their stretches.
+
+    If not the whole is a span, a part of LEAST characters or more that looks random is; in other
+    parts, stretches of LEAST characters that look random are joined.
+    """
+    if len(run) < LEAST or KNOWN.fullmatch(run):
+        return []
+    if m := KNOWN_PART.search(run):
+        after = [(m.end() + a, m.end() + b) for a, b in random_parts(run[m.end() :], max_ratio)]
+        return random_parts(run[: m.start()], max_ratio) + after
+    if looks_random(run, max_ratio):
+        return [(0, len(run))]
+    parts = [(m.start(), m.end()) for m in PART.finditer(run)]
+    found = [(a, b) for a, b in parts if b - a >= LEAST and looks_random(run[a:b], max_ratio)]
+    for a, b in parts:
+        if b - a > LEAST and (a, b) not in found and not KNOWN.fullmatch(run[a:b]):
+            for at in range(a, b - LEAST + 1):
+                if looks_random(run[at : at + LEAST], max_ratio):
+                    if found and found[-1][0] >= a and at <= found[-1][1]:
+                        found[-1] = (found[-1][0], at + LEAST)
+                    else:
+                        found.append((at, at + LEAST))
+    return sorted(found)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -57,11 +87,14 @@ def token_spans(text: str, base: list[tuple[int, int, int]], max_ratio: float) -
     raw = text.encode("utf-8", "surrogatepass")
     if b"\x01" * 20 not in raw.translate(_IS_RUN):
         return []
-    return [
-        (m.start(), 3, m.end())
-        for m in RUN.finditer(text)
-        if not any(start < m.end() and m.start() < end for start, _, end in base) and looks_random(m[0], max_ratio)
-    ]
+    found = []
+    for m in RUN.finditer(text):
+        at = m.start()
+        for start, _, end in [*base, (m.end(), 3, m.end())]:  # base spans are cut out of the run
+            if end > at and start <= m.end():
+                found += [(at + a, 3, at + b) for a, b in random_parts(text[at : max(at, start)], max_ratio)]
+                at = max(at, end)
+    return found
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
@@ -73,10 +106,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Base spans are matches of three patterns: ``assign`` (a key word, an assignment and six or
     more characters), ``access`` (an access key id of 20 or more), ``hex`` (24 or more hex
-    digits). The token test adds ``token`` spans: unbroken runs of 20 or more credential
-    characters with digits, small and capital letters that come out at ``max_ratio`` or fewer
-    characters per token of a public vocabulary, that overlap no base span and are no known
-    digest or identifier.
+    digits). The token test adds ``token`` spans: 20 or more credential characters, whatever their
+    kinds, that come out at ``max_ratio`` or fewer characters per token of a public vocabulary: of
+    a run without the base spans in it, the whole, parts between separators, or stretches of a
+    part; known digests and identifiers are none.
 
     Result: doc_id, n_assign, n_access, n_hex, n_token, base_sha256 (lower hex of the base
     spans as ``kind:start:end``, joined by commas), spans (all spans, written likewise);

@@ -365,3 +365,21 @@ def test_gradients_inside_classes_match_differences():
         down = loss()
         p[k][i] = old
         assert np.isclose((up - down) / 2e-5, dense.get(k, g.get(k))[i], atol=1e-7, rtol=1e-3), k
+
+
+def test_secrets_of_few_kinds_of_characters_and_within_longer_runs(make):
+    rng = random.Random(11)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    small, large, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    base32, base36, letters, key = draw(large + "234567", 32), draw(small + digits, 32), draw(small + large, 32), draw(small + large + digits, 24)
+    path, sha = "/service/session/identifier/production/", draw("0123456789abcdef", 24)
+    texts = [f"a {base32} b", f"a {base36} b", f"a {letters} b", f"see {path}{key}", f"x {sha}/{key} y", f"{path}configuration/description", "id=123E4567-e89b-12d3-a456-426614174000 2026-11-28T06-22-00Z"]
+    got = {r.doc_id: r.spans.split(",") for r in secrets.scan_secrets(make(list(enumerate(texts)))).collect()}
+    for i in range(3):
+        assert got[i] == ["token:2:34"], texts[i]
+
+    def covered(i):  # a key that holds its own stretches is found whole or nearly so
+        at = texts[i].index(key)
+        return any(s.startswith("token") and max(at, int(s.split(":")[1])) + 20 <= min(at + 24, int(s.split(":")[2])) for s in got[i])
+
+    assert covered(3) and covered(4) and "hex:2:26" in got[4] and got[5] == got[6] == [""]
