@@ -670,6 +670,17 @@ def structural_cases(spark, sf):
     )
 
 
+@query(
+    "q_structural_cases_bounds",
+    "WITH b AS (SELECT p_partkey, p_size % 3 AS low, CASE WHEN p_size % 10 <> 0 THEN p_size END AS high, CASE WHEN p_size % 10 <> 0 THEN p_size ELSE 5 END AS top FROM part) "
+    "SELECT p_partkey, unnest(list_distinct([low, least(low + 1, top), top])) AS n, true AS valid FROM b UNION ALL SELECT p_partkey, high + 1, false FROM b WHERE high > 1",
+)
+def structural_cases_bounds(spark, sf):
+    """Options of a particle for every part, between bounds of its own; sizes that end in 0 are unbounded."""
+    options = schemas.option_column(F.col("p_size") % 3, F.when(F.col("p_size") % 10 != 0, F.col("p_size")))
+    return table(spark, sf, "part").select("p_partkey", F.explode(options).alias("o")).select("p_partkey", "o.n", "o.valid")
+
+
 # ---------------------------------------------------------------- more of the inventory
 
 

@@ -181,3 +181,15 @@ def test_drift_stream(spark, tmp_path):
     assert [r.property_shape_iri for r in spark.read.parquet(out).collect()] == ["pb"]
     events = spark.createDataFrame([("k", "l", "CONTENT", "f", "REJECTED", 1), ("k", "l", "CONTENT", "f", "APPROVED", 2), ("k", "m", "CONTENT", "f", "REJECTED", 1)], "fact_key string, leaf_ref string, drift_kind string, fingerprint string, verdict string, at int")
     assert sweep.correction_state(events).count() == 1
+
+
+def test_cases_at_finite_bounds(spark):
+    assert schemas.occurrence_options(0, 10) == [0, 1, 10] and schemas.occurrence_options(10, 20) == [10, 11, 20]
+    bounds = [(0, 10), (10, 20), (0, 1), (1, 1), (2, None), (7, None), (2, 2)]
+    given = spark.createDataFrame([(i, *b) for i, b in enumerate(bounds)], "i int, low int, high int")
+    found = given.select("i", F.explode(schemas.option_column(F.col("low"), F.col("high"))).alias("o")).select("i", "o.n", "o.valid")
+    assert rows(found) == sorted((i, n, v) for i, b in enumerate(bounds) for n, v in schemas.marked_options(*b))
+    cases = schemas.structural_cases(spark, [("a", 0, 10), ("b", 1, 1)], beyond=True).collect()
+    assert {(r.case["a"], r.should_be_valid) for r in cases} == {(0, True), (1, True), (10, True), (11, False)}
+    many = schemas.structural_cases(spark, [(f"p{i}", 0, 2) for i in range(8)], beyond=True).collect()
+    assert all(r.should_be_valid == (max(r.case.values()) <= 2) for r in many) and any(not r.should_be_valid for r in many)
