@@ -744,6 +744,20 @@ def boundary_values(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.explode(schemas.boundary_values(leaf)).alias("v")).select("p_partkey", "v.value", "v.valid")
 
 
+@query(
+    "q_boundary_families",
+    "SELECT p_partkey, v.value, v.valid FROM (SELECT p_partkey, unnest(CASE p_size % 3 WHEN 0 THEN [{'value': repeat('a', p_size), 'valid': true}, {'value': repeat('a', p_size + 1), 'valid': false}, {'value': repeat('a', p_size - 1), 'valid': false}] "
+    "WHEN 1 THEN [{'value': 'AA0', 'valid': true}, {'value': 'AA0' || chr(1), 'valid': false}] "
+    "ELSE [{'value': repeat('1', p_size) || '.11', 'valid': true}, {'value': repeat('1', p_size) || '.111', 'valid': false}, {'value': repeat('1', p_size + 1) || '.11', 'valid': false}] END) AS v FROM part)",
+)
+def boundary_families(spark, sf):
+    """Exact lengths, patterns and fraction digits, by the size of a part."""
+    none, size = F.lit(None).cast("int"), F.col("p_size")
+    leaf = F.struct(F.array().cast("array<string>").alias("enumeration"), *[none.alias(n) for n in ("minLength", "maxLength", "minInclusive", "maxInclusive")], (size + 2).alias("totalDigits"))
+    more = F.when(size % 3 == 0, size), F.when(size % 3 == 1, F.lit("[A-Z]{2}[0-9]+")), F.when(size % 3 == 2, F.lit(2))
+    return table(spark, sf, "part").select("p_partkey", F.explode(schemas.boundary_values(leaf, *more)).alias("v")).select("p_partkey", "v.value", "v.valid")
+
+
 @query("q_display_name", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type ELSE url_encode(p_name || ' ' || p_partkey) END AS name FROM part")
 def display_name(spark, sf):
     shape = terms.shape_iri(F.col("p_brand"), F.col("p_type"), property_name())

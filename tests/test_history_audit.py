@@ -193,3 +193,19 @@ def test_cases_at_finite_bounds(spark):
     assert {(r.case["a"], r.should_be_valid) for r in cases} == {(0, True), (1, True), (10, True), (11, False)}
     many = schemas.structural_cases(spark, [(f"p{i}", 0, 2) for i in range(8)], beyond=True).collect()
     assert all(r.should_be_valid == (max(r.case.values()) <= 2) for r in many) and any(not r.should_be_valid for r in many)
+
+
+def test_boundary_values_of_lengths_patterns_and_fractions(spark):
+    null = "cast(NULL AS int)"
+    leaf = f"struct(cast(array() AS array<string>) AS enumeration, {null} AS minLength, {null} AS maxLength, least AS minInclusive, {null} AS maxInclusive, total AS totalDigits)"
+    given = spark.createDataFrame(
+        [(0, 2, None, None, None, None), (1, None, "[A-Z]{2}(x|y)+", None, 1, None), (2, None, r"\p{Lu}", None, None, None), (3, None, None, 2, None, 5), (4, None, None, 2, None, 2), (5, None, None, None, None, None), (6, None, None, 1, None, None)],
+        "i int, length int, pattern string, fraction int, least int, total int",
+    )
+    values = schemas.boundary_values(F.expr(leaf), F.col("length"), F.col("pattern"), F.col("fraction"))
+    found = rows(given.select("i", F.explode(values).alias("v")).select("i", "v.value", "v.valid"))
+    of = lambda i: [(v, valid) for n, v, valid in found if n == i]
+    assert of(0) == [("a", False), ("aa", True), ("aaa", False)]
+    assert of(1) == [("AAx", True), ("AAx\x01", False)] and of(2) == []
+    assert of(3) == [("111.11", True), ("111.111", False), ("1111.11", False)] and of(4) == [("0.11", True), ("0.111", False), ("1.11", False)]
+    assert of(5) == [("value", True)] and of(6) == [("1" * 17 + ".1", True), ("1" * 17 + ".11", False)]
