@@ -29,7 +29,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents in which a language is recognised; the model learns as op6 does."""
     model = language.train(docs.where(fold() != 0))
     found = language.identify(docs, model, carry=[c for c in docs.columns if c != "doc_id"])
-    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
+    return found.where(F.col("score") > 0).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,9 @@ def test_every_query_runs(spark, tmp_path):
 def test_stages_take_empty_tables(spark, sf, docs, name):
     stage = dict(corpus_pipeline.STAGES)[name]
     assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_texts_stay_where_no_language_can_be_learned(spark, sf, make):
+    rows = [(1, "a plain text", None), (2, "another one", None), (3, "12 34", None), (4, None, None)]
+    kept = corpus_pipeline.keep_languages(spark, make(rows), sf)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
