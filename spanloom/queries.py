@@ -770,3 +770,16 @@ def add_citations(spark, sf):
     resolved = text_drift(spark, sf).select(F.col("key").alias("doc_id"), F.col("current_status").alias("status"), "current_hash")
     revisions = resolved.limit(0).select("doc_id", F.lit("").alias("reference"))
     return history.add_citations(revisions, resolved)[1].select("doc_id", "status")
+
+
+@query(
+    "q_add_citations_appended",
+    f"WITH {_DRIFT} SELECT doc_id, stored AS reference, 'STORED' AS status FROM r UNION ALL SELECT doc_id, h, 'RESOLVED' FROM r WHERE current_status = 'RESOLVED' "
+    "UNION ALL SELECT doc_id, NULL, current_status FROM r WHERE current_status <> 'RESOLVED'",
+)
+def add_citations_appended(spark, sf):
+    """Stored revisions with those that today's documents append, and what is refused beside them."""
+    resolved = text_drift(spark, sf).select(F.col("key").alias("doc_id"), F.col("current_status").alias("status"), "current_hash")
+    stored = table(spark, sf, "documents").select("doc_id", terms.text_hash(F.col("text")).alias("reference"), F.lit("STORED").alias("status"))
+    appended, refused = history.add_citations(stored, resolved)
+    return appended.unionByName(refused.select("doc_id", F.lit(None).cast("string").alias("reference"), "status"))

@@ -209,3 +209,16 @@ def test_boundary_values_of_lengths_patterns_and_fractions(spark):
     assert of(1) == [("AAx", True), ("AAx\x01", False)] and of(2) == []
     assert of(3) == [("111.11", True), ("111.111", False), ("1111.11", False)] and of(4) == [("0.11", True), ("0.111", False), ("1.11", False)]
     assert of(5) == [("value", True)] and of(6) == [("1" * 17 + ".1", True), ("1" * 17 + ".11", False)]
+
+
+def test_add_citations_appends_what_resolves(spark, tmp_path):
+    from spanloom import queries
+
+    stored = spark.createDataFrame([("a", "h0")], "doc_id string, reference string")
+    resolved = spark.createDataFrame([("a", "RESOLVED", "h1"), ("b", "AMBIGUOUS", None), ("c", "NOT_FOUND", None)], "doc_id string, status string, current_hash string")
+    appended, refused = history.add_citations(stored, resolved)
+    assert rows(appended) == [("a", "h0"), ("a", "h1")] and rows(refused, "doc_id", "status") == [("b", "AMBIGUOUS"), ("c", "NOT_FOUND")]
+    spark.createDataFrame([(i, f"text {i}", "src1") for i in range(60)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.QUERIES["q_add_citations_appended"](spark, str(tmp_path)).groupBy("status").count().collect()
+    counts = {r["status"]: r["count"] for r in out}
+    assert counts["STORED"] == 60 and counts["RESOLVED"] > 0 and sum(counts.values()) == 120
