@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at a time.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 #: Bytes between words: white space; or all of ASCII but letters, digits and the underscore.
 BLANK = np.zeros(256, bool)
