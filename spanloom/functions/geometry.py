@@ -13,10 +13,15 @@ def wrap_points(points: Column) -> Column:
     return F.concat(F.lit("<svg:polygon points='"), points, F.lit("' xmlns:svg='http://www.w3.org/2000/svg'/>"))
 
 
+def points_of(selector: Column) -> Column:
+    """The points of the first polygon in a selector; NULL if there are none."""
+    return F.nullif(F.regexp_extract(selector, _POINTS, 1), F.lit(""))
+
+
 def extract_points(selector: Column) -> Column:
     """The points of the first polygon in a selector; an error if there are none."""
-    found = F.regexp_extract(selector, _POINTS, 1)
-    return F.when(found != "", found).otherwise(F.raise_error(F.concat(F.lit("no polygon points in "), selector)))
+    found = points_of(selector)
+    return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("no polygon points in "), selector)))
 
 
 def parse_points(points: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import EmptyInstitutionalGraphError, UnresolvedObjectError, UnresolvedSubjectError
+from ..errors import EmptyVocabularyError, UnresolvedObjectError, UnresolvedSubjectError
 from ..model import iri
 from ..sources.sssom import load_mappings
 
@@ -45,7 +45,7 @@ def validate_mappings(mappings: DataFrame, graph: DataFrame, vocabulary: DataFra
 
     refuse(unresolved_subjects(mappings, graph), "subject_id", UnresolvedSubjectError)
     if vocabulary_terms(vocabulary).isEmpty():
-        raise EmptyInstitutionalGraphError("the vocabulary holds neither classes nor individuals")
+        raise EmptyVocabularyError("the vocabulary holds neither classes nor individuals")
     refuse(unresolved_objects(mappings, vocabulary), "object_id", UnresolvedObjectError)
 
 

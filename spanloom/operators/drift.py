@@ -90,7 +90,7 @@ def sweep(references: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFra
     """
     asked = references.select("family").distinct()
     failed = asked.join(current.select("family").distinct(), "family", "left_anti")
-    excluded = references.join(F.broadcast(failed), "family", "left_semi").select("fact_key").distinct()
+    excluded = references.join(failed, "family", "left_semi").select("fact_key").distinct()
     return references.join(excluded, "fact_key", "left_anti"), excluded
 
 

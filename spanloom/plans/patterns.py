@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import bnode
 from ..model import NAMESPACES, iri
+from .lineage import cut
 
 Pattern = tuple[str, str, str]
 
@@ -116,12 +117,13 @@ def values(rows: DataFrame, column: str, allowed: list) -> DataFrame:
 
 
 def path_closure(triples: DataFrame, predicate: str, depth: int = 64) -> DataFrame:
-    """(start, end) over one or more steps of a predicate, doubling the path length each round."""
+    """(start, end) over one or more steps of a predicate, doubling the path length each round; rounds are cut."""
     step = triples.where(F.col("p") == term(predicate)).select(F.col("s").alias("start"), F.col("o").alias("end")).distinct()
     reached, n = step, step.count()
     for _ in range(depth):
         longer = reached.join(reached.withColumnRenamed("start", "mid").withColumnRenamed("end", "far"), F.col("end") == F.col("mid"))
-        reached = reached.union(longer.select("start", F.col("far").alias("end"))).distinct().cache()
+        reached = reached.union(longer.select("start", F.col("far").alias("end"))).distinct()
+        reached = cut(reached)
         more = reached.count()
         if more == n:
             break

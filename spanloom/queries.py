@@ -19,6 +19,7 @@ from .functions import geometry, pointer, terms
 from .model import NAMESPACES, iri
 from .operators import align, annotate, audit, drift, history, resolve, schemas
 from .plans import patterns
+from .plans.lineage import cut
 from .plans.store import unchanged
 from .sources.xml_nodes import parse_documents
 
@@ -244,7 +245,7 @@ def xpath_nodes(spark, sf):
         F.col("page_id").cast("string").alias("doc_uri"),
         F.when(F.col("k") == 3, "/page/item/@ref").otherwise("/page/item").alias("selector_value"),
     )
-    found = resolve.resolve_xpath(wanted, parse_documents(documents).cache())
+    found = resolve.resolve_xpath(wanted, cut(parse_documents(documents)))
     return found.select(F.col("property_shape_iri").cast("long").alias("page_id"), "status")
 
 
@@ -341,7 +342,7 @@ def alignment_traverse(spark, sf):
     """Properties mapped to one concept: citations and mappings in one graph, joined through a constant."""
     shape = terms.shape_iri(F.col("p_brand"), F.col("p_type"), property_name())
     regions = table(spark, sf, "region").withColumnRenamed("r_regionkey", "k")
-    mapped = table(spark, sf, "part").withColumn("k", F.col("p_size") % 5).join(F.broadcast(regions), "k").select(
+    mapped = table(spark, sf, "part").withColumn("k", F.col("p_size") % 5).join(regions, "k").select(
         shape.alias("subject_id"), F.lit(iri("skos:exactMatch")).alias("predicate_id"), F.concat(F.lit("urn:region:"), F.col("k").cast("string")).alias("object_id")
     )
     graph = annotate.union_graphs(annotate.star_triples(citations(spark, sf)), align.mapping_triples(mapped))

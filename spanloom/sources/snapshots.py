@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CorpusIntegrityError, ReviewLoadError
+from ..plans.lineage import cut
 
 REVIEW = (
     "fact_key string, family string, drift_kind string, reviewed_fingerprint string, reviewer string, "
@@ -56,7 +57,7 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
 
 def resolve_families(references: DataFrame, current: DataFrame) -> DataFrame:
     """References with the place of their family now; status NOT_FOUND where the snapshot lacks it."""
-    placed = references.join(F.broadcast(current), "family", "left")
+    placed = references.join(current, "family", "left")
     return placed.withColumn("location_status", F.when(F.col("rel_path").isNull(), "NOT_FOUND").otherwise("RESOLVED"))
 
 
@@ -94,9 +95,9 @@ def read_reviews(spark: SparkSession, folder: str) -> DataFrame:
     files = sorted(str(p) for p in Path(folder).glob("*.json")) if Path(folder).is_dir() else []
     if not files:
         return spark.createDataFrame([], REVIEW)
-    rows = spark.read.schema(REVIEW + ", _corrupt_record string").json(files, multiLine=True, mode="PERMISSIVE").cache()
-    bad = rows.where("_corrupt_record IS NOT NULL OR fact_key IS NULL OR verdict IS NULL").limit(1).count()
-    if bad:
+    rows = spark.read.schema(REVIEW + ", _corrupt_record string").json(files, multiLine=True, mode="PERMISSIVE")
+    rows = cut(rows)
+    if not rows.where("_corrupt_record IS NOT NULL OR fact_key IS NULL OR verdict IS NULL").isEmpty():
         raise ReviewLoadError(f"a review in {folder} is malformed")
     return rows.drop("_corrupt_record")
 

@@ -1,6 +1,6 @@
 import pytest
 
-from spanloom.errors import EmptyInstitutionalGraphError, SssomParseError, UnresolvedObjectError, UnresolvedSubjectError
+from spanloom.errors import EmptyVocabularyError, SssomParseError, UnresolvedObjectError, UnresolvedSubjectError
 from spanloom.model import NAMESPACES, iri
 from spanloom.operators import align
 from spanloom.sources import graphs, sssom
@@ -70,9 +70,9 @@ def test_validation_checks_in_order_and_lists_all(spark, tmp_path):
     empty = terms.limit(0)
     with pytest.raises(UnresolvedSubjectError, match="urn:a#x.*; .*urn:a#z"):
         align.validate_mappings(mappings, empty, empty)
-    with pytest.raises(EmptyInstitutionalGraphError):
+    with pytest.raises(EmptyVocabularyError):
         align.validate_mappings(mappings, shapes, shapes)
-    with pytest.raises(EmptyInstitutionalGraphError):
+    with pytest.raises(EmptyVocabularyError):
         align.validate_mappings(mappings.limit(0), shapes, empty)
     with pytest.raises(UnresolvedObjectError, match="urn:b#w"):
         align.validate_mappings(mappings, shapes, terms.limit(1))
