@@ -29,10 +29,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, between: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts ``data[bounds[i]:bounds[i + 1]]``, and each text's first word."""
+def words_of(data: np.ndarray, bounds: np.ndarray, between: np.ndarray = BLANK, same: np.ndarray = _LOWER) -> tuple[np.ndarray, ...]:
+    """All words of the texts ``data[bounds[i]:bounds[i + 1]]``: hashes, where they begin and end, and each text's first word.
+
+    Bytes with one value in ``same`` count as equal.
+    """
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, np.zeros(len(bounds), np.int64)
     inside = ~between[data]
     opens = np.zeros(len(data), bool)
     opens[bounds[:-1][bounds[:-1] < len(data)]] = True
@@ -42,15 +46,16 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, between: np.ndarray = BLAN
     begins = np.flatnonzero(opens)
     letters = np.flatnonzero(inside)
     heads = np.flatnonzero(opens[letters])
-    place = letters - np.repeat(begins, np.diff(np.append(heads, len(letters))))
+    sizes = np.diff(np.append(heads, len(letters)))
+    place = letters - np.repeat(begins, sizes)
     weight = mix((np.arange(int(place.max(initial=0)) + 1, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
-    terms = _BYTE[_LOWER[data[letters]]] * (weight | np.uint64(1))[place]
+    terms = _BYTE[same[data[letters]]] * (weight | np.uint64(1))[place]
     hashes = mix(np.add.reduceat(terms, heads)) if len(heads) else np.zeros(0, np.uint64)
-    return hashes, np.searchsorted(begins, bounds)
+    return hashes, begins, begins + sizes, np.searchsorted(begins, bounds)
 
 
-def hashed_words(texts: pa.Array, between: np.ndarray = BLANK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Chunk by chunk: hashes of all words, and where each text's words begin (one more than texts)."""
+def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and bounds of about CHUNK bytes of texts at a time, one text at least; NULL is an empty text."""
     texts = texts.cast(pa.large_string()).fill_null("")
     _, offsets, values = texts.buffers()
     bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -59,10 +64,17 @@ def hashed_words(texts: pa.Array, between: np.ndarray = BLANK) -> Iterator[tuple
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK, side="right")) - 1)
         own = bounds[at : to + 1]
-        yield word_hashes(data[own[0] : own[-1]], own - own[0], between)
+        yield data[own[0] : own[-1]], own - own[0]
         at = to
 
 
+def hashed_words(texts: pa.Array, between: np.ndarray = BLANK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chunk by chunk: hashes of all words, and where each text's words begin (one more than texts)."""
+    for data, bounds in chunks(texts):
+        hashes, _, _, first = words_of(data, bounds, between)
+        yield hashes, first
+
+
 def factors(words: int) -> np.ndarray:
     return mix(np.arange(11, 11 + words, dtype=np.uint64)) | np.uint64(1)
 

@@ -2,37 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .hashing import hashed_words, mix
-from .subword import encode
+from .hashing import hashed_words
+from .subword import encoder
 
 #: The id that ends a text, free in the vocabulary of 50,256 ids.
 END, VOCABULARY = 50_256, 50_257
-#: A window predicts STRIDE tokens from the CONTEXT tokens before each of them.
-STRIDE, CONTEXT = 64, 64
-WINDOW = STRIDE + CONTEXT
-#: Width of the model, input embeddings (each id has its own, one stands before a text), output
-#: classes (the most frequent ids have their own; inside the others ids are predicted too).
-WIDTH, INPUTS, CLASSES, OWN_CLASS = 16, VOCABULARY + 1, 256, 128
-#: All training windows are trained on (SAMPLE is more than 1 in a test only). They travel in
-#: pieces of PIECE windows; a shard of about SHARD windows is one task's share, and the models
-#: of all shards are averaged.
-SAMPLE, SHARD, PIECE = 1, 5_000, 8
+#: A window predicts STRIDE tokens, each from the STRIDE to 2 STRIDE - 1 tokens before it.
+STRIDE = 16
+REACH = 2 * STRIDE - 1
+#: Width of the model, rows of its input (each id has its own, row 0 stands before a text), output
+#: classes (the most frequent ids have their own).
+WIDTH, INPUTS, CLASSES, OWN_CLASS = 16, VOCABULARY + 1, 64, 48
+#: Training texts are dealt into ROUNDS parts; a round trains on one of them. After all have had
+#: their round, more follow, up to PASSES times all, while one gains GAIN (log10 a token, on texts held back).
+ROUNDS, GAIN, PASSES = 4, 0.002, 6
+#: One training text in HELD_BACK is left out of successor counts and training, to choose by.
+HELD_BACK = 64
+#: Weights of the model in its mixture with the unigram; the one best on texts held back is taken.
+MIXTURES = np.array([0, 0.5, 0.8, 0.9, 0.95, 0.98, 1.0])
+#: Pseudo-counts of the unigram among an id's successors, and among those inside a class.
+SUCCESSORS, INSIDE = 8.0, 64.0
+#: Windows in a batch of attention, ids put in line at a time, ids of one task's share of a round at least.
+BATCH, LINE, SHARE = 256, 1 << 16, 1 << 18
 #: Words with their own count on every executor, at most; other words' counts come by a join.
 HEAD_WORDS = 1 << 20
 #: Words that a task counts before it passes counts on.
 COUNTED = 2 << 20
-#: Windows in a batch of attention, and in a training step.
-BATCH, STEP = 128, 32
 #: Stands for the end of a text among the hashes of words.
 END_WORD = np.uint64(0x0E0DE0DE0DE0DE0D)
 
@@ -42,184 +47,229 @@ END_WORD = np.uint64(0x0E0DE0DE0DE0DE0D)
 
 @dataclass(frozen=True)
 class Units:
-    """What corpus counts say of the subword ids: input row, class and in-class log10 probability.
+    """What corpus counts say of the subword ids.
 
-    ``members`` are the ids by class, those of class c from ``first[c]`` to ``first[c + 1]``.
+    ``class_of`` an id, ``share`` of an id in its class, ``mass`` of a class (probabilities).
     """
 
-    row: np.ndarray
     class_of: np.ndarray
-    inside: np.ndarray
-    members: np.ndarray
-    first: np.ndarray
+    share: np.ndarray
+    mass: np.ndarray
 
 
 def units(counts: np.ndarray) -> Units:
-    """Each id gets a row, the most frequent ids classes of their own; the other classes hold much the same mass, or number of ids."""
+    """The most frequent ids get classes of their own; the other classes hold much the same mass, or number of ids."""
     smooth = counts + 0.5
     order = np.lexsort((np.arange(VOCABULARY), -counts))
-    rank = np.empty(VOCABULARY, np.int64)
-    rank[order] = np.arange(VOCABULARY)
-    row = (rank + 1).astype(np.int32)  # row 0 stands before a text
     rest = smooth[order][OWN_CLASS:]
-    share = (np.cumsum(rest) / rest.sum() + np.arange(1, len(rest) + 1) / len(rest)) / 2  # neither much mass nor many ids
+    part = (np.cumsum(rest) / rest.sum() + np.arange(1, len(rest) + 1) / len(rest)) / 2  # neither much mass nor many ids
     class_of = np.empty(VOCABULARY, np.int64)
     class_of[order[:OWN_CLASS]] = np.arange(OWN_CLASS)
     # no class is skipped, however much mass one id has, so that no probability goes to an empty class
     tail, n = CLASSES - OWN_CLASS, len(rest)
-    begins = np.searchsorted(share, np.arange(tail) / tail)
+    begins = np.searchsorted(part, np.arange(tail) / tail)
     begins = np.maximum.accumulate(begins - np.arange(tail)) + np.arange(tail)
     begins = np.minimum(begins, n - tail + np.arange(tail))
     class_of[order[OWN_CLASS:]] = OWN_CLASS + np.searchsorted(begins, np.arange(n), side="right") - 1
     mass = np.bincount(class_of, weights=smooth, minlength=CLASSES)
-    members = np.argsort(class_of, kind="stable")
-    first = np.searchsorted(class_of[members], np.arange(CLASSES + 1))
-    return Units(row, class_of, np.log10(smooth / mass[class_of]), members, first)
-
-
-SHAPES = {
-    "embed": (INPUTS, WIDTH),
-    "place": (WINDOW - 1, WIDTH),
-    "query": (WIDTH, WIDTH),
-    "key": (WIDTH, WIDTH),
-    "value": (WIDTH, WIDTH),
-    "out": (WIDTH, CLASSES),
-    "bias": (1, CLASSES),
-    "within": (VOCABULARY, WIDTH),
-}
-#: One row for each id: a step changes, and an average counts, the rows that texts use.
-SPARSE = ("embed", "within")
-_MASK = np.where(np.arange(WINDOW - 1)[None, :] <= np.arange(CONTEXT - 1, WINDOW - 1)[:, None], 0, -1e9).astype(np.float32)
+    return Units(class_of, smooth / mass[class_of], mass / mass.sum())
+
+
+@dataclass(frozen=True)
+class Tables:
+    """What is fixed before training, from counts over the training texts; float32.
+
+    ``embed`` is each input row's vector; ``successor`` its log probabilities of the next
+    class; ``inside[c, i]`` the log probability of id i in its class after an id of class c
+    (the last class row stands for the place before a text). ``embed`` has the directions in
+    which the rows' successors differ most, by their counts.
+    """
+
+    embed: np.ndarray
+    successor: np.ndarray
+    inside: np.ndarray
+    axes: np.ndarray
+
+
+def tables(u: Units, successors: np.ndarray, insides: np.ndarray) -> Tables:
+    """From counts of (input row, next class) and of (class before, id)."""
+    seen = successors.sum(axis=1)
+    chance = (successors + SUCCESSORS * u.mass) / (seen + SUCCESSORS)[:, None]
+    lift = np.log(chance / u.mass)
+    _, directions = np.linalg.eigh((lift * np.sqrt(seen)[:, None]).T @ (lift * np.sqrt(seen)[:, None]))
+    axes = directions[:, ::-1][:, :WIDTH]
+    embed = lift @ axes
+    embed /= np.sqrt((embed**2 * seen[:, None]).sum() / max(1.0, seen.sum()) / WIDTH) + 1e-6
+    by_class = np.stack([np.bincount(u.class_of, weights=row, minlength=CLASSES) for row in insides])
+    inside = (insides + INSIDE * u.share) / (by_class[:, u.class_of] + INSIDE)
+    return Tables(*(x.astype(np.float32) for x in (embed, np.log(chance), np.log(inside), axes)))
+
+
+#: Query, key and value of an embedding; a weight for each distance; classes from what is attended to, and a bias.
+SHAPES = {"attend": (WIDTH, 3 * WIDTH), "near": (1, REACH), "out": (WIDTH + 1, CLASSES)}
+#: Distance of each of a window's places (rows) from the place that asks (columns), and where it lies behind.
+_DISTANCE = np.arange(STRIDE - 1, REACH)[None, :] - np.arange(REACH)[:, None]
+_MASK = np.where(_DISTANCE < 0, np.float32(-1e9), np.float32(0))
 
 
 def start() -> dict[str, np.ndarray]:
+    """A model that predicts classes by their successor counts alone; training adds attention to it."""
     rng = np.random.default_rng(7)
-    p = {k: (rng.normal(0, 0.1 if k in ("embed", "place", "out") else WIDTH**-0.5, s)).astype(np.float32) for k, s in SHAPES.items()}
-    p["within"][:] = 0  # inside a class: the corpus share, to begin with
+    p = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
+    p["attend"][:] = rng.normal(0, 0.3 * WIDTH**-0.5, SHAPES["attend"])
+    p["attend"][:, 2 * WIDTH :] += np.eye(WIDTH, dtype=np.float32)
+    p["near"][:] = -0.2 * np.arange(REACH)
     return p
 
 
-def forward(p: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]:
-    """Class scores for the last STRIDE positions of each window; ``rows`` is windows x (WINDOW - 1)."""
-    x = p["embed"][rows] + p["place"]
-    asking = x[:, CONTEXT - 1 :]
-    q = asking @ (p["query"] * np.float32(WIDTH**-0.5))
-    k, v = x @ p["key"], x @ p["value"]
-    a = np.exp(np.clip(q @ k.transpose(0, 2, 1), -30, 30) + _MASK)
-    before = rows == 0
-    before[:, CONTEXT - 1] = False  # of the places before a text, only the last is looked at
-    if before.any():
-        a *= ~before[:, None, :]
-    a /= a.sum(axis=2, keepdims=True)
-    h = asking + a @ v
-    return {"x": x, "q": q, "k": k, "v": v, "a": a, "h": h, "scores": h @ p["out"] + p["bias"]}
-
-
-def inside_class(p: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, u: Units) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each class of more than one id: places in ``ids``, the ids of the class, their probabilities, the column of each own id."""
-    classes = u.class_of[ids]
-    order = np.argsort(classes, kind="stable")
-    cuts = np.flatnonzero(np.diff(classes[order], prepend=-1))
-    for at in np.split(order, cuts[1:]) if len(order) else []:
-        c = classes[at[0]]
-        own = u.members[u.first[c] : u.first[c + 1]]
-        if len(own) > 1:
-            scores = h[at] @ p["within"][own].T + (u.inside[own] * np.log(10)).astype(h.dtype)
-            chance = np.exp(scores - scores.max(axis=1, keepdims=True))
-            yield at, own, chance / chance.sum(axis=1, keepdims=True), np.searchsorted(own, ids[at])
-
-
-def gradients(p: dict[str, np.ndarray], rows: np.ndarray, target: np.ndarray, weight: np.ndarray, ids: np.ndarray | None = None, u: Units | None = None) -> dict:
-    """Of the mean loss; those of SPARSE are pairs of rows and their gradients. Without ``ids`` only classes are learned."""
-    f = forward(p, rows)
-    chance = np.exp(f["scores"] - f["scores"].max(axis=2, keepdims=True))
-    chance /= chance.sum(axis=2, keepdims=True)
-    np.put_along_axis(chance, target[:, :, None], np.take_along_axis(chance, target[:, :, None], 2) - 1, 2)
-    d = chance * (weight / max(1.0, float(weight.sum())))[:, :, None]
-    g = {"out": np.einsum("nth,ntc->hc", f["h"], d, optimize=True), "bias": d.sum(axis=(0, 1))[None]}
-    dh = d @ p["out"].T
-    g["within"] = (np.zeros(0, np.int64), np.zeros((0, WIDTH), np.float32))
-    if ids is not None:
-        real = np.flatnonzero(weight.ravel() > 0)
-        h, back, parts = f["h"].reshape(-1, WIDTH)[real], np.zeros((weight.size, WIDTH), f["h"].dtype), []
-        for at, own, chance, column in inside_class(p, h, ids.ravel()[real], u):
-            chance[np.arange(len(at)), column] -= 1
-            chance /= max(1.0, float(weight.sum()))
-            back[real[at]] = chance @ p["within"][own]
-            parts.append((own, chance.T @ h[at]))
-        dh = dh + back.reshape(dh.shape)
-        if parts:
-            g["within"] = tuple(map(np.concatenate, zip(*parts)))
-    da = dh @ f["v"].transpose(0, 2, 1)
-    dv = f["a"].transpose(0, 2, 1) @ dh
-    ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True))
-    dq = ds @ f["k"] * np.float32(WIDTH**-0.5)
-    dk = ds.transpose(0, 2, 1) @ f["q"]
-    asking = f["x"][:, CONTEXT - 1 :]
-    g["query"] = np.einsum("nth,ntc->hc", asking, dq, optimize=True)
-    g["key"] = np.einsum("nth,ntc->hc", f["x"], dk, optimize=True)
-    g["value"] = np.einsum("nth,ntc->hc", f["x"], dv, optimize=True)
-    dx = dk @ p["key"].T + dv @ p["value"].T
-    dx[:, CONTEXT - 1 :] += dh + dq @ p["query"].T
-    g["place"] = dx.sum(axis=0)
-    order = np.argsort(rows.ravel(), kind="stable")
-    used, begin = np.unique(rows.ravel()[order], return_index=True)
-    g["embed"] = (used, np.add.reduceat(dx.reshape(-1, WIDTH)[order], begin, axis=0))
+def windows(line: np.ndarray) -> np.ndarray:
+    """Overlapping windows over the rows of ``line`` (whole strides), as a view: windows x REACH x columns."""
+    step, item = line.strides
+    return np.lib.stride_tricks.as_strided(line, (len(line) // STRIDE - 1, REACH, line.shape[1]), (STRIDE * step, step, item), writeable=False)
+
+
+def forward(p: dict[str, np.ndarray], x: np.ndarray, known: np.ndarray) -> dict[str, np.ndarray]:
+    """Class scores behind each place of a line but those of its first stride.
+
+    ``x`` are the embeddings of the line's places (or, if three times as wide, their query, key
+    and value); ``known`` the successor log probabilities of the places that ask. Attention
+    scores are kept transposed: places by place that asks.
+    """
+    parts = x if x.shape[1] == 3 * WIDTH else x @ p["attend"]
+    n = len(x) // STRIDE - 1
+    q = parts[STRIDE - 1 : -1, :WIDTH].reshape(n, STRIDE, WIDTH) * x.dtype.type(WIDTH**-0.5)
+    k = windows(np.ascontiguousarray(parts[:, WIDTH : 2 * WIDTH]))
+    v = np.ones((len(x), WIDTH + 1), x.dtype)  # the last column adds up the weights
+    v[:, :WIDTH] = parts[:, 2 * WIDTH :]
+    v = windows(v)
+    a = k @ np.ascontiguousarray(q.transpose(0, 2, 1))
+    a += p["near"][0][np.maximum(_DISTANCE, 0)] + _MASK
+    largest = a.max()
+    if largest > 60:
+        a -= np.maximum(a.max(axis=1, keepdims=True), 0)
+    np.exp(a, out=a)
+    o = (a.transpose(0, 2, 1) @ v).reshape(-1, WIDTH + 1)
+    total = o[:, WIDTH:].copy()
+    o /= total  # its last column is 1 and meets the bias
+    scores = o @ p["out"]
+    scores += known
+    return {"q": q, "k": k, "v": v, "a": a, "o": o, "total": total, "scores": scores}
+
+
+def chances(scores: np.ndarray) -> np.ndarray:
+    """Exponentials of scores, in place, and their sums; of shifted ones where they would overflow."""
+    if scores.max() > 60:
+        scores -= np.maximum(scores.max(axis=1, keepdims=True) - 60, 0)
+    np.exp(scores, out=scores)
+    return scores @ np.ones(CLASSES, scores.dtype)
+
+
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, known: np.ndarray, target: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean loss over the places where ``real``; ``target`` are the next classes."""
+    f = forward(p, x, known)
+    d, n = f["scores"], len(x) // STRIDE - 1
+    scale = (real / max(1, int(real.sum()))).astype(d.dtype)
+    d *= (scale / chances(d))[:, None]
+    d[np.arange(len(d)), target] -= scale
+    g = {"out": f["o"].T @ d}
+    do = d @ p["out"].T
+    do /= f["total"]
+    do[:, WIDTH] = -np.einsum("nd,nd->n", do[:, :WIDTH], f["o"][:, :WIDTH])  # meets the ones beside the values
+    do = do.reshape(n, STRIDE, WIDTH + 1)
+    da = f["v"] @ np.ascontiguousarray(do.transpose(0, 2, 1))
+    da *= f["a"]
+    dv, dk = f["a"] @ do, da @ f["q"]
+    back = np.zeros((len(x), 3 * WIDTH), x.dtype)
+    back[STRIDE - 1 : -1, :WIDTH] = (da.transpose(0, 2, 1) @ f["k"]).reshape(-1, WIDTH) * x.dtype.type(WIDTH**-0.5)
+    for at, part in ((WIDTH, dk), (2 * WIDTH, dv[:, :, :WIDTH])):
+        to = back[:, at : at + WIDTH].reshape(n + 1, STRIDE, WIDTH)
+        to[:-1] += part[:, :STRIDE]
+        to[1:, : STRIDE - 1] += part[:, STRIDE:]
+    g["attend"] = x.T @ back
+    near = da.sum(axis=0)
+    g["near"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), weights=near.ravel(), minlength=REACH)[None]
     return g
 
 
-def train_shard(rows: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 3, ids: np.ndarray | None = None, u: Units | None = None) -> dict[str, np.ndarray]:
-    """Adam over the shard's windows, in the order given, ``rounds`` times (more on small shards)."""
-    p = start()
-    mass = np.bincount(target[weight > 0], minlength=CLASSES) + 1.0
-    p["bias"] = np.log(mass / mass.sum()).astype(np.float32)[None]
-    m, v = ({k: np.zeros(s, np.float32) for k, s in SHAPES.items()} for _ in range(2))
-    steps = max(rounds * -(-len(rows) // STEP), 300)
-    for t in range(1, steps + 1):
-        at = ((t - 1) * STEP) % (-(-len(rows) // STEP) * STEP or 1)
-        part = slice(at, at + STEP)
-        g = gradients(p, rows[part], target[part], weight[part], None if ids is None else ids[part], u)
-        rate = np.float32(0.01 * (1 - 0.9 * t / steps))
+class Adam:
+    """Steps of decreasing size along the gradients' running mean over their running scale."""
+
+    def __init__(self, rate: float):
+        self.rate, self.t = rate, 0
+        self.mean, self.square = ({k: np.zeros(s) for k, s in SHAPES.items()} for _ in range(2))
+
+    def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> None:
+        self.t += 1
         for k in SHAPES:
-            i, d = g[k] if k in SPARSE else (slice(None), g[k])
-            m[k][i] = 0.9 * m[k][i] + 0.1 * d
-            v[k][i] = 0.99 * v[k][i] + 0.01 * d**2
-            p[k][i] -= rate * (m[k][i] / (1 - 0.9**t)) / (np.sqrt(v[k][i] / (1 - 0.99**t)) + 1e-8)
-    return p
+            self.mean[k] += 0.1 * (g[k] - self.mean[k])
+            self.square[k] += 0.02 * (g[k] ** 2 - self.square[k])
+            mean, square = self.mean[k] / (1 - 0.9**self.t), self.square[k] / (1 - 0.98**self.t)
+            p[k] -= (self.rate / (1 + self.t / 200) ** 0.5 * mean / (np.sqrt(square) + 1e-8)).astype(np.float32)
+
+
+def in_line(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Input rows of all texts one after the other, each behind a stride of row 0 and filled up to whole strides; where texts begin."""
+    lengths = np.array([STRIDE + len(t) + -len(t) % STRIDE for t in texts])
+    begins = np.append(0, np.cumsum(lengths))
+    rows = np.zeros(begins[-1], np.int32)
+    for at, text in zip(begins.tolist(), texts):
+        rows[at + STRIDE : at + STRIDE + len(text)] = text
+        rows[at + STRIDE : at + STRIDE + len(text)] += 1
+    return rows, begins[:-1]
+
 
+def batches_of(rows: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of a line of BATCH windows at most: the places predicted, the part's input rows, those of the places that ask, which are real."""
+    for at in range(0, len(rows) - STRIDE, BATCH * STRIDE):
+        part = rows[at : at + (BATCH + 1) * STRIDE]
+        yield slice(at + STRIDE, at + len(part)), part, part[STRIDE - 1 : -1], part[STRIDE:] > 0
 
-def windows_of(ids: np.ndarray, lead: int = 0) -> np.ndarray:
-    """Overlapping windows of one text's ids: each token is among the last STRIDE of exactly one.
 
-    Places before the text and behind its end hold -1. The first ``lead`` ids, CONTEXT at most,
-    are context only.
+def log_probabilities(
+    p: dict[str, np.ndarray], texts: list[np.ndarray], u: Units, t: Tables, weights: np.ndarray = MIXTURES[-1:], parts: np.ndarray | None = None
+) -> np.ndarray:
+    """log10 probability of each text (rows) under the model mixed with the unigram by each weight (columns).
+
+    ``parts`` are query, key and value of all input rows, if they are at hand.
     """
-    n = -(-(len(ids) - lead) // STRIDE)
-    padded = np.full(CONTEXT + n * STRIDE, -1, np.int32)
-    padded[CONTEXT - lead : CONTEXT - lead + len(ids)] = ids
-    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
-
-
-def prepared(windows: np.ndarray, u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Input rows, target ids and weights (0 behind the text's end) of windows."""
-    given, wanted = windows[:, :-1], windows[:, CONTEXT:]
-    return np.where(given >= 0, u.row[given], 0), np.maximum(wanted, 0), (wanted >= 0).astype(np.float32)
-
-
-def log_probabilities(p: dict[str, np.ndarray], windows: np.ndarray, u: Units) -> np.ndarray:
-    """log10 probability of the tokens that each window predicts, summed."""
-    out = np.empty(len(windows))
-    for at in range(0, len(windows), BATCH):
-        rows, target, weight = prepared(windows[at : at + BATCH], u)
-        f = forward(p, rows)
-        scores = f["scores"]
-        total = np.log(np.exp(np.clip(scores, -60, 60)).sum(axis=2))
-        own = np.take_along_axis(scores, u.class_of[target][:, :, None], 2)[:, :, 0]
-        value, real = ((own - total) * (1 / np.log(10))).astype(np.float64).ravel(), np.flatnonzero(weight.ravel() > 0)
-        for places, _, chance, column in inside_class(p, f["h"].reshape(-1, WIDTH)[real], target.ravel()[real], u):
-            value[real[places]] += np.log10(chance[np.arange(len(places)), column] + 1e-30)
-        out[at : at + BATCH] = (value.reshape(weight.shape) * weight).sum(axis=1)
-    return out
+    rows, begins = in_line(texts)
+    parts = t.embed @ p["attend"] if parts is None else parts
+    class_before = np.append(CLASSES, u.class_of)
+    line = np.zeros((len(rows), len(weights)))
+    for to, part, asking, real in batches_of(rows):
+        scores = forward(p, parts.take(part, axis=0), t.successor.take(asking, axis=0))["scores"]
+        ids = np.maximum(part[STRIDE:] - 1, 0)
+        target = u.class_of[ids]
+        total = chances(scores)
+        chance = scores[np.arange(len(scores)), target] / total
+        inside = t.inside[class_before[asking], ids]
+        for j, w in enumerate(weights):
+            line[to, j] = (np.log(w * chance + (1 - w) * u.mass[target]) + inside) * real
+    return np.add.reduceat(line, begins, axis=0) / np.log(10) if len(texts) else np.zeros((0, len(weights)))
+
+
+def train_on(p: dict[str, np.ndarray], texts: list[np.ndarray], u: Units, t: Tables, steps: Adam) -> int:
+    """Train ``p`` on every token of the texts once; how many there are."""
+    rows, _ = in_line(texts)
+    for _, part, asking, real in batches_of(rows):
+        target = u.class_of[np.maximum(part[STRIDE:] - 1, 0)]
+        steps.step(p, gradients(p, t.embed.take(part, axis=0), t.successor.take(asking, axis=0), target, real))
+    return sum(map(len, texts))
+
+
+def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The ids of texts, about LINE at a time."""
+    held: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        for blob in batch.column("ids"):
+            held.append(np.frombuffer(blob.as_buffer(), "<u2"))
+            size += len(held[-1])
+            if size >= LINE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 # ---------------------------------------------------------------- the corpus's counts
@@ -267,47 +317,56 @@ def head_of(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return words[order], rows.column("c").to_numpy()[order].astype(np.float64)
 
 
-def subwords(text: str | None) -> np.ndarray:
-    """Ids of the text with A-Z in lower case, and the end."""
-    low = (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-    return np.append(np.frombuffer(encode(low), "<u4"), END).astype("<u2")
-
-
 def read_once(docs: DataFrame, head: tuple[np.ndarray, np.ndarray], total: int, distinct: int) -> DataFrame:
-    """What scoring needs of each text: its ids, its sums over head words, its other words with counts."""
+    """What scoring needs of each text: its ids and their end, its sums over head words, its other words with counts."""
     shared = docs.sparkSession.sparkContext.broadcast(head)
     below = total + 0.5 * (distinct + 1)
+    names = ("doc_id", "rid", "learn", "held_out")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = shared.value
-        logs = np.log10((counts + 0.5) / below)
+        logs = np.append(np.log10((counts + 0.5) / below), 0.0)
+
+        def look_up(hashes: np.ndarray) -> np.ndarray:
+            """Places among the head words; the one behind them for others."""
+            at = np.minimum(np.searchsorted(words, hashes), max(0, len(words) - 1))
+            return np.where(words[at] == hashes, at, len(words)) if len(words) else np.zeros(len(hashes), np.int64)
+
+        (end,) = look_up(np.array([END_WORD]))
         for batch in batches:
-            n, known, base, rare, times, ids = [], [], [], [], [], []
-            for hashes, first in hashed_words(batch.column("text")):
-                for begin, end in zip(first[:-1], first[1:]):
-                    own, often = np.unique(np.append(hashes[begin:end], END_WORD), return_counts=True)
-                    at = np.minimum(np.searchsorted(words, own), max(0, len(words) - 1))
-                    found = words[at] == own if len(words) else np.zeros(len(own), bool)
-                    n.append(int(end - begin) + 1)
-                    known.append(int(often[found].sum()))
-                    base.append(float(often[found] @ logs[at[found]]) if found.any() else 0.0)
-                    rare.append(own[~found].view(np.int64))
-                    times.append(often[~found].astype(np.int64))
-            for text in batch.column("text").to_pylist():
-                ids.append(subwords(text).tobytes())
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in ("doc_id", "rid", "learn", "held_out")),
-                    pa.array(n, pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()),
-                    pa.array(rare, longs),
-                    pa.array(times, longs),
-                    pa.array(ids, pa.binary()),
-                ],
-                ["doc_id", "rid", "learn", "held_out", "n_tokens", "known", "base", "rare", "times", "ids"],
-            )
+            done = 0
+            for part in encoder(lower=True)(batch.column("text")):
+                n = len(part.first) - 1
+                at = look_up(part.words)[part.inverse]
+                known, sums = (np.append(0, np.cumsum(x)) for x in (at < len(words), logs[at]))
+                per_text = [s[part.first[1:]] - s[part.first[:-1]] for s in (known, sums)]
+                text, other = np.repeat(np.arange(n), np.diff(part.first)), part.words[part.inverse]
+                text, other = text[at == len(words)], other[at == len(words)]
+                if end == len(words):
+                    text, other = np.append(text, np.arange(n)), np.append(other, np.full(n, END_WORD))
+                order = np.lexsort((other, text))
+                text, other = text[order], other[order]
+                opens = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.append(True, other[1:] != other[:-1])[: len(other)]))
+                listed = pa.array(np.searchsorted(text[opens], np.arange(n + 1)), pa.int32())
+                times = np.diff(np.append(opens, len(text)))
+                ids = np.empty(len(part.ids) + n, "<u2")
+                ends = part.bounds[1:] + np.arange(n)
+                ids[ends] = END
+                ids[np.arange(len(part.ids)) + np.repeat(np.arange(n), np.diff(part.bounds))] = part.ids
+                cuts = pa.py_buffer(np.append(0, 2 * (ends + 1)).astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(c).slice(done, n) for c in names),
+                        pa.array(np.diff(part.first) + 1, pa.int64()),
+                        pa.array(per_text[0] + (end < len(words)), pa.int64()),
+                        pa.array(per_text[1] + logs[end], pa.float64()),
+                        pa.ListArray.from_arrays(listed, pa.array(other[opens].view(np.int64))),
+                        pa.ListArray.from_arrays(listed, pa.array(times, pa.int64())),
+                        pa.Array.from_buffers(pa.binary(), n, [None, cuts, pa.py_buffer(ids.tobytes())]),
+                    ],
+                    [*names, "n_tokens", "known", "base", "rare", "times", "ids"],
+                )
+                done += n
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(
@@ -317,90 +376,111 @@ def read_once(docs: DataFrame, head: tuple[np.ndarray, np.ndarray], total: int,
     )
 
 
-def subword_counts(texts: DataFrame) -> np.ndarray:
-    """How often each id occurs in all training texts."""
+def summed(texts: DataFrame, cells: int, places: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """How often each of ``cells`` cells is met; ``places`` gives the cells of some lines of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(VOCABULARY, np.int64)
-        for batch in batches:
-            for blob in batch.column("ids"):
-                ids = np.frombuffer(blob.as_buffer(), "<u2")
-                if len(ids) > 2048:
-                    counts += np.bincount(ids, minlength=VOCABULARY)
-                else:
-                    np.add.at(counts, ids, 1)
+        counts = np.zeros(cells, np.int32)
+        for held in lines(batches):
+            np.add.at(counts, places(in_line(held)[0]), 1)
         found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found].astype(np.int64))], ["at", "n"])
 
-    rows = texts.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(VOCABULARY)
-    counts[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
-    return counts
+    rows = texts.select("ids").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(cells)
+    out[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+    return out
 
 
-def pieces(texts: DataFrame) -> DataFrame:
-    """(place, lead, ids) of all windows: the ids of PIECE windows, behind ``lead`` ids of context.
+def successor_tables(texts: DataFrame, u: Units) -> Tables:
+    """Tables from all pairs of neighbours in the texts."""
+    first = INPUTS * CLASSES
+    class_before = np.append(CLASSES, u.class_of)
 
-    Places are spread evenly, those of copies of one text too.
-    """
+    def places(rows: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(rows[1:]) + 1
+        before, ids = rows[at - 1].astype(np.int64), rows[at].astype(np.int64) - 1
+        return np.append(before * CLASSES + u.class_of[ids], first + class_before[before] * VOCABULARY + ids)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places: list[int] = []
-            leads: list[int] = []
-            parts: list[bytes] = []
-            for row, blob in zip(batch.column("row").to_numpy(), batch.column("ids")):
-                ids = np.frombuffer(blob.as_buffer(), "<u2")
-                starts = np.arange(0, len(ids), PIECE * STRIDE)
-                chance = mix(starts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(int(row) % (1 << 64)))
-                for at, c in zip(starts.tolist(), chance.tolist()):
-                    if c % SAMPLE == 0:
-                        lead = min(at, CONTEXT)
-                        places.append(c >> 1)
-                        leads.append(lead)
-                        parts.append(ids[at - lead : at + PIECE * STRIDE].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(leads, pa.int32()), pa.array(parts, pa.binary())], ["place", "lead", "ids"])
-
-    rows = texts.select(F.xxhash64("rid", F.monotonically_increasing_id()).alias("row"), "ids")
-    return rows.mapInArrow(split, "place long, lead int, ids binary")
-
-
-def train(texts: DataFrame, u: Units) -> dict[str, np.ndarray]:
-    """Attention weights from all training windows, trained by shards and averaged."""
-    n = texts.agg(F.sum(F.ceil(F.octet_length("ids") / (2 * STRIDE)))).first()[0] or 0
-    shards = -(-n // (SHARD * SAMPLE)) or 1
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["place", "lead", "ids"])
-        windows = np.concatenate([windows_of(np.frombuffer(b, "<u2"), k) for k, b in zip(group["lead"], group["ids"])])
-        windows = windows[np.random.default_rng(7).permutation(len(windows))]
-        rows, target, weight = prepared(windows, u)
-        model = train_shard(rows, u.class_of[target], weight, ids=target, u=u)
-        # a shard counts by its tokens; in an id's own row, by how often it has the id
-        counts = {k: np.full(s[0], weight.sum()) for k, s in SHAPES.items()}
-        counts["embed"] = np.bincount(rows.ravel(), minlength=INPUTS)
-        counts["within"] = np.bincount(target[weight > 0], minlength=VOCABULARY)
-        size = np.concatenate([np.repeat(counts[k], SHAPES[k][1]) for k in SHAPES]).astype(np.int64)
-        flat = np.concatenate([model[k].ravel() for k in SHAPES])
-        at = np.flatnonzero(size)
-        return pd.DataFrame({"at": at, "value": flat[at].astype(np.float64), "size": size[at]})
-
-    averaged = (
-        pieces(texts)
-        .withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)))
-        .groupBy("shard")
-        .applyInPandas(fit, "at int, value double, size long")
-        .groupBy("at")
-        .agg((F.sum(F.col("value") * F.col("size")) / F.sum("size")).alias("value"))
+    counts = summed(texts, first + (CLASSES + 1) * VOCABULARY, places)
+    return tables(u, counts[:first].reshape(INPUTS, CLASSES), counts[first:].reshape(CLASSES + 1, VOCABULARY))
+
+
+def train_round(texts: DataFrame, model: dict[str, np.ndarray], shared: Broadcast, rate: float) -> dict[str, np.ndarray]:
+    """The mean, by tokens, of what each task makes of ``model`` over its share of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, t = shared.value
+        own, steps = {k: v.copy() for k, v in model.items()}, Adam(rate)
+        size = sum(train_on(own, held, u, t, steps) for held in lines(batches))
+        flat = np.concatenate([own[k].ravel() for k in SHAPES]).astype(np.float64)
+        if size:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * size), pa.array(np.full(len(flat), size))], ["at", "value", "size"]
+            )
+
+    rows = (
+        texts.select("ids").mapInArrow(run, "at int, value double, size long")
+        .groupBy("at").agg((F.sum("value") / F.sum("size")).alias("value"))
         .toArrow()
-    )
+    )
+    if not rows.num_rows:
+        return model
+    flat = np.empty(rows.num_rows, np.float32)
+    flat[rows.column("at").to_numpy()] = rows.column("value").to_numpy()
+    cuts = np.cumsum([int(np.prod(s)) for s in SHAPES.values()])[:-1]
+    return {k: part.reshape(SHAPES[k]) for k, part in zip(SHAPES, np.split(flat, cuts))}
+
+
+def judge(texts: DataFrame, model: dict[str, np.ndarray], shared: Broadcast) -> np.ndarray:
+    """Mean log10 probability of a token, for each of MIXTURES."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, t = shared.value
+        parts = t.embed @ model["attend"]
+        for held in lines(batches):
+            total = log_probabilities(model, held, u, t, MIXTURES, parts).sum(axis=0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(np.full(len(total), sum(map(len, held))))], ["at", "value", "size"]
+            )
+
+    rows = (
+        texts.select("ids").mapInArrow(run, "at int, value double, size long")
+        .groupBy("at").agg((F.sum("value") / F.sum("size")).alias("value"))
+        .toArrow()
+    )
+    out = np.zeros(len(MIXTURES))
+    out[rows.column("at").to_numpy()] = rows.column("value").to_numpy()
+    return out
+
+
+def train(texts: DataFrame, u: Units, tokens: int) -> tuple[Broadcast, dict[str, np.ndarray], float]:
+    """Units and tables (shared), attention weights, and the model's weight in the mixture.
+
+    Every token of the training texts but those held back is trained on in the first ROUNDS
+    rounds; further rounds follow while one gains GAIN on the texts held back. Of the models
+    after each round and of the untrained one, and of MIXTURES, those best on these texts are taken.
+    """
+    held_back = F.pmod("rid", F.lit(HELD_BACK)) == 0
+    validation = cut(texts.where(held_back).select("ids"))
+    if validation.isEmpty():
+        validation, held_back = cut(texts.select("ids")), F.lit(False)
+    rest = texts.where(~held_back)
+    shared = texts.sparkSession.sparkContext.broadcast((u, successor_tables(rest, u)))
+    rest = rest.coalesce(max(1, tokens // (ROUNDS * SHARE)))
+    part = F.pmod(F.xxhash64("rid"), F.lit(ROUNDS))
     model = start()
-    if averaged.num_rows:
-        flat = np.concatenate([model[k].ravel() for k in SHAPES])
-        flat[averaged.column("at").to_numpy()] = averaged.column("value").to_numpy()
-        cuts = np.cumsum([int(np.prod(s)) for s in SHAPES.values()])[:-1]
-        model = {k: part.reshape(SHAPES[k]) for k, part in zip(SHAPES, np.split(flat, cuts))}
-    return model
+    found = judge(validation, model, shared)
+    best, before = (found.max(), model, float(MIXTURES[found.argmax()])), found.max()
+    for k in range(ROUNDS * PASSES if tokens else 0):
+        model = train_round(rest.where(part == k % ROUNDS), model, shared, 0.03 / (1 + k) ** 0.5)
+        found = judge(validation, model, shared)
+        if found.max() > best[0]:
+            best = (found.max(), model, float(MIXTURES[found.argmax()]))
+        if k + 1 >= ROUNDS and found.max() < before + GAIN:
+            break
+        before = found.max()
+    return shared, *best[1:]
 
 
 def score_language_model(docs: DataFrame, learn: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -409,17 +489,21 @@ def score_language_model(docs: DataFrame, learn: Column, held_out: Column, id_co
     Words are runs of non-blank characters with A-Z in lower case, closed by one end token.
     ``base_score`` sums log10((c + 0.5) / (N + 0.5 (V + 1))) over a text's tokens, with counts
     over all rows where ``learn`` holds. ``score`` is the log10 probability that the attention
-    model gives to the text's subword ids and their end: a class, and an id of the class, by
-    attention over the tokens before. Windows overlap by CONTEXT tokens and score each token once.
+    model gives to the text's subword ids and their end: that of the id's class, by the counted
+    successors of the id before and by attention over the ids before, mixed with the unigram,
+    times that of the id inside its class after an id of the class before. Windows overlap and
+    score each token once.
 
     Result: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, a row per
     input row. NULL and empty texts are the end alone. Rows with a NULL id are scored; they
-    are neither learned from nor held out. Other columns are ignored; an empty table gives an
-    empty result; without training rows all words are unknown and the model is as it starts.
+    are neither learned from nor held out. Other columns are ignored, whatever their names; an
+    empty table gives an empty result; without training rows all words are unknown and the
+    model is as it starts. Repeated rows are scored, and learned from, each.
 
     Counts cover all training rows. Frequent words' counts, up to HEAD_WORDS, go to the
     executors; other words are joined by their hash. Texts are encoded once, and the ids
-    written to the shared folder serve the id counts, the training sample and the scores.
+    written to the shared folder serve the id counts, the training and the scores. The driver
+    holds counts of ids and neighbours, and the model, all of fixed size.
     """
     source = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -432,31 +516,17 @@ def score_language_model(docs: DataFrame, learn: Column, held_out: Column, id_co
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     read = cut(read_once(source, head_of(counts), total, distinct))
     training = read.where("learn")
-    u = units(subword_counts(training))
-    model = train(training, u)
+    of_ids = summed(training, INPUTS, lambda rows: rows[rows > 0])[1:]
+    shared, model, weight = train(training, units(of_ids), int(of_ids.sum()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, t = shared.value
+        parts = t.embed @ model["attend"]
+        names = ["doc_id", "rid", "held_out", "n_tokens", "known", "base"]
         for batch in batches:
-            values: list[float] = []
-            pending: list[np.ndarray] = []
-
-            def flush() -> None:
-                if pending:
-                    sums = log_probabilities(model, np.concatenate(pending), u)
-                    ends = np.cumsum([len(w) for w in pending])
-                    values.extend(np.add.reduceat(sums, np.append(0, ends[:-1])).tolist())
-                    pending.clear()
-
-            held = 0
-            for blob in batch.column("ids"):
-                pending.append(windows_of(np.frombuffer(blob.as_buffer(), "<u2").astype(np.int32)))
-                held += len(pending[-1])
-                if held >= 32 * BATCH:
-                    flush()
-                    held = 0
-            flush()
-            names = ["doc_id", "rid", "held_out", "n_tokens", "known", "base"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(values, pa.float64())], [*names, "score"])
+            sums = [log_probabilities(model, held, u, t, np.array([weight]), parts)[:, 0] for held in lines(iter([batch]))]
+            values = pa.array(np.concatenate([*sums, np.zeros(0)]), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), values], [*names, "score"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
     scored = read.select("doc_id", "rid", "held_out", "n_tokens", "known", "base", "ids").mapInArrow(

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .subword import encode
+from .subword import encoder
 
 #: The id that ends every document.
-END = (1).to_bytes(4, "little")
+END = 1
 #: Tokens in a unit of length; the linear program has a row for each number of units.
 UNIT = 8
 #: Pieces of one length and one salt that are ranked together, about.
@@ -29,79 +29,114 @@ def tokenised(docs: DataFrame, capacity: int, with_ids: bool, id_col: str, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            origin, rows, ids = [], [], []
-            for i, text in enumerate(batch.column("_text").to_pylist()):
-                raw = (encode(text) if text else b"") + END
-                total = len(raw) // 4
-                for start in range(0, total, capacity):
-                    piece = raw[4 * start : 4 * (start + capacity)]
-                    origin.append(i)
-                    rows.append((start, len(piece) // 4, zlib.crc32(piece), total))
-                    if with_ids:
-                        ids.append(np.frombuffer(piece, "<u4").astype(np.int32))
-            columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([],) * 4)]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            columns.insert(0, batch.column("doc_id").take(pa.array(origin, pa.int64())))
-            if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            done = 0
+            for part in encoder(lower=False)(batch.column("_text")):
+                origin, rows, ids = [], [], []
+                for i, (begin, end) in enumerate(zip(part.bounds[:-1].tolist(), part.bounds[1:].tolist())):
+                    own = np.append(part.ids[begin:end], END).astype("<u4")
+                    for start in range(0, len(own), capacity):
+                        piece = own[start : start + capacity]
+                        origin.append(done + i)
+                        rows.append((start, len(piece), zlib.crc32(piece), len(own)))
+                        if with_ids:
+                            ids.append(piece.astype(np.int32))
+                columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                columns.insert(0, batch.column("doc_id").take(pa.array(origin, pa.int64())))
+                if with_ids:
+                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
+                done += len(part.bounds) - 1
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, {PIECES}" + ", ids array<int>" * with_ids)
 
 
-def price(duals: np.ndarray, widths: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """The pattern of the largest worth that fits: an unbounded knapsack by dynamic programming."""
+def knapsack(duals: np.ndarray, widths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest worth that fits each size up to ``room``, and the width taken last there (-1: none).
+
+    An unbounded knapsack by dynamic programming; ``widths`` are sorted.
+    """
     worth, choice = np.zeros(room + 1), np.full(room + 1, -1)
-    order = np.argsort(widths, kind="stable")
-    sorted_widths, sorted_duals = widths[order], duals[order]
-    for size in range(1, room + 1):
-        fitting = np.searchsorted(sorted_widths, size, side="right")
+    for size in range(int(widths[0]), room + 1):
+        fitting = np.searchsorted(widths, size, side="right")
+        values = worth[size - widths[:fitting]] + duals[:fitting]
+        best = int(values.argmax())
         worth[size] = worth[size - 1]
-        if fitting:
-            values = worth[size - sorted_widths[:fitting]] + sorted_duals[:fitting]
-            best = int(np.argmax(values))
-            if values[best] > worth[size] + 1e-12:
-                worth[size], choice[size] = values[best], order[best]
-    pattern, size = np.zeros(len(widths)), room
-    while size > 0:
-        if choice[size] < 0:
-            size -= 1
-        else:
-            pattern[choice[size]] += 1
-            size -= widths[choice[size]]
-    return float(worth[room]), pattern
-
-
-def column_generation(demand: dict[int, int], room: int, rounds: int = 4000) -> list[tuple[dict[int, int], float]]:
+        if values[best] > worth[size] + 1e-12:
+            worth[size], choice[size] = values[best], best
+    return worth, choice
+
+
+def priced(duals: np.ndarray, widths: np.ndarray, room: int) -> tuple[float, np.ndarray]:
+    """The largest worth of a pattern, and for each width the pattern (row) of largest worth that holds it."""
+    worth, choice = knapsack(duals, widths, room)
+    patterns = np.eye(len(widths))
+    size = room - widths
+    rows = np.arange(len(widths))
+    while len(rows):
+        taken = choice[size]
+        step = np.where(taken < 0, 1, widths[taken])
+        np.add.at(patterns, (rows[taken >= 0], taken[taken >= 0]), 1)
+        size = size - step
+        rows, size = rows[size > 0], size[size > 0]
+    return float(worth[room]), patterns
+
+
+#: How far the duals that price patterns stay with the best ones so far.
+STEADY = 0.5
+
+
+def column_generation(demand: dict[int, int], room: int) -> list[tuple[dict[int, int], float]]:
     """Patterns and how often each is used in the linear program's optimum.
 
     The rows of the program are the widths, its columns patterns of widths that fit ``room``.
-    It starts from patterns of one width; the duals of each basis price a new pattern, which
-    enters by a simplex step, until none is worth more than the sequence it takes.
+    It starts from patterns of one width. Duals, smoothed towards those of the best bound so
+    far, price new patterns; those worth more than the sequence they take enter by simplex steps.
+    The program is done when no pattern is worth more than a sequence, or when its value
+    rounds up to the same whole number as a lower bound: the area, or the value over the
+    largest worth. Either is a proof that no better patterns would save a sequence.
     """
     widths = np.array(sorted(demand))
     need = np.array([demand[w] for w in widths], dtype=np.float64)
     columns = np.diag((room // widths).astype(np.float64))
     inverse = np.diag(1 / np.diag(columns))
     amount = inverse @ need
-    for _ in range(rounds):
-        value, pattern = price(inverse.sum(axis=0), widths, room)
-        if value <= 1 + 1e-7:
-            break
-        direction = inverse @ pattern
-        moving = direction > 1e-9
-        ratios = np.where(moving, amount / np.where(moving, direction, 1), np.inf)
-        leaving = int(np.argmin(ratios))
-        step = ratios[leaving]
-        amount = np.maximum(amount - step * direction, 0)
-        amount[leaving] = step
-        pivot = inverse[leaving] / direction[leaving]
-        inverse -= np.outer(direction, pivot)
-        inverse[leaving] = pivot
-        columns[:, leaving] = pattern
+    lower = float(widths @ need) / room
+    steady, pool, bound = None, np.zeros((0, len(widths))), -np.inf
+    while np.ceil(amount.sum() - 1e-6) > np.ceil(lower - 1e-6):
+        duals = inverse.sum(axis=0)
+        asked = duals if steady is None else STEADY * steady + (1 - STEADY) * duals
+        value, found = priced(asked, widths, room)
+        if float(asked @ need) / value > bound:
+            bound, steady = float(asked @ need) / value, asked / value
+        lower = max(lower, bound)
+        if (found @ duals).max() <= 1 + 1e-7 and steady is not None:
+            value, found = priced(duals, widths, room)
+            lower = max(lower, float(duals @ need) / value)
+            if value <= 1 + 1e-7:
+                break
+            steady, bound = None, -np.inf
+        pool = np.unique(np.concatenate([pool, found]), axis=0)
+        while True:
+            worth = pool @ inverse.sum(axis=0)
+            entering = int(worth.argmax())
+            if worth[entering] <= 1 + 1e-7:
+                break
+            direction = inverse @ pool[entering]
+            moving = direction > 1e-9
+            ratios = np.where(moving, amount / np.where(moving, direction, 1), np.inf)
+            leaving = int(ratios.argmin())
+            step = ratios[leaving]
+            amount = np.maximum(amount - step * direction, 0)
+            amount[leaving] = step
+            pivot = inverse[leaving] / direction[leaving]
+            inverse -= np.outer(direction, pivot)
+            inverse[leaving] = pivot
+            columns[:, leaving] = pool[entering]
+        pool = pool[worth > 1 - 0.05]
     return [
         ({int(w): int(n) for w, n in zip(widths, columns[:, j]) if n}, float(amount[j]))
         for j in range(len(widths))

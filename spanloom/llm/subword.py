@@ -1,16 +1,28 @@
-"""Subword ids of a public byte-level vocabulary, quick on texts whose words recur."""
+"""Subword ids of a public byte-level vocabulary, a column of texts at a time."""
 
 from __future__ import annotations
 
 import base64
-import re
-from array import array
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
-_TWO_BLANKS = re.compile(r"\s\s")
+from .hashing import BLANK, chunks, words_of
+
+#: Words that a Python worker remembers the ids of, at most.
+REMEMBER = 1 << 20
+_BLANK, _FEED = 0x20, 0x0A
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_AS_IS = np.arange(256, dtype=np.uint8)
+#: How a word stands in its text: behind a blank, at the start, or behind a line feed; and what tells their keys apart.
+_BEHIND, _START, _NEXT_LINE = 0, 1, 2
+_KIND = np.array([0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A], np.uint64)
 
 
 @cache
@@ -21,43 +33,146 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tiktoken.Encoding:
     return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class Words(dict):
-    """Word to the bytes of its ids (unsigned 32-bit, little-endian), remembered up to a bound."""
+@cache
+def _begins_with_blank() -> np.ndarray:
+    return np.array([vocabulary().decode_single_token_bytes(i)[:1] == b" " for i in range(vocabulary().n_vocab)])
+
 
-    REMEMBER, LONGEST = 400_000, 32
+def plain_ids(text: str) -> np.ndarray:
+    """Ids of a text as the vocabulary gives them."""
+    return np.array(vocabulary().encode_ordinary(text), np.uint16)
 
-    def __init__(self, lead: str):
-        super().__init__()
-        self.lead = lead
 
-    def __missing__(self, word: str) -> bytes:
-        ids = array("I", vocabulary().encode_ordinary(self.lead + word)).tobytes()
-        if len(word) <= self.LONGEST:
-            if len(self) >= self.REMEMBER:
-                self.clear()
-            self[word] = ids
-        return ids
+@dataclass(frozen=True)
+class Encoded:
+    """Some texts: the ids of text i are ``ids[bounds[i]:bounds[i + 1]]``.
 
+    Their words have hashes ``words[inverse]`` (a hash can stand in ``words`` more than once);
+    text i has the words from ``first[i]`` to ``first[i + 1]``.
+    """
 
-_AFTER_BLANK, _AT_START = Words(" "), Words("")
+    ids: np.ndarray
+    bounds: np.ndarray
+    words: np.ndarray
+    inverse: np.ndarray
+    first: np.ndarray
 
 
-def encode(text: str) -> bytes:
-    """Ids of a text, as ``encode_ordinary`` of the vocabulary gives them.
+class Encoder:
+    """Encodes each distinct word once and remembers its ids, as the vocabulary gives them for whole texts.
 
-    The vocabulary's pattern joins at most one blank to the word behind it, so where no two
-    white-space characters meet, pieces between blanks and line feeds are encoded one by one.
+    The vocabulary's pattern joins at most one blank to the word behind it. So in a text whose
+    white space is single blanks and line feeds, each word's ids depend on the word and on what
+    stands before it alone. Other texts are encoded whole.
     """
-    if _TWO_BLANKS.search(text):
-        return array("I", vocabulary().encode_ordinary(text)).tobytes()
-    pieces = []
-    lines = text.split("\n")
-    feed = _AT_START["\n"]
-    for number, line in enumerate(lines):
-        if number:
-            pieces.append(feed)
-        first, *rest = line.split(" ")
-        if first:
-            pieces.append(_AT_START[first])
-        pieces += [_AFTER_BLANK[word] for word in rest]
-    return b"".join(pieces)
+
+    def __init__(self, lower: bool, remember: int = REMEMBER):
+        self.same, self.remember = _LOWER if lower else _AS_IS, remember
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.starts, self.sizes, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+
+    def learn(self, keys: np.ndarray, kinds: np.ndarray, words: list[bytes]) -> None:
+        """Remember the ids of words (bytes): words of one kind are encoded as one text and cut where words begin."""
+        if len(self.keys) + len(keys) > self.remember:
+            self.forget()
+        starts, sizes, pools = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), [self.pool]
+        at = len(self.pool)
+        for kind in (_BEHIND, _START, _NEXT_LINE):
+            own = np.flatnonzero(kinds == kind)
+            if not len(own):
+                continue
+            lead = b" " if kind == _BEHIND else b"\n"
+            ids = plain_ids((lead + lead.join(words[i] for i in own)).decode())
+            cuts = np.flatnonzero(_begins_with_blank()[ids] if kind == _BEHIND else ids == plain_ids("\n")[0])
+            ends = np.append(cuts[1:], len(ids))
+            skip = kind == _START
+            starts[own], sizes[own] = at + cuts + skip, ends - cuts - skip
+            pools.append(ids)
+            at += len(ids)
+        order = np.argsort(np.append(self.keys, keys), kind="stable")
+        self.keys, self.starts, self.sizes = (np.append(a, b)[order] for a, b in ((self.keys, keys), (self.starts, starts), (self.sizes, sizes)))
+        self.pool = np.concatenate(pools)
+
+    def __call__(self, texts: pa.Array) -> Iterator[Encoded]:
+        for data, bounds in chunks(texts):
+            yield self.chunk(self.same[data], bounds)
+
+    def chunk(self, data: np.ndarray, bounds: np.ndarray) -> Encoded:
+        hashes, begins, ends, first = words_of(data, bounds, BLANK, _AS_IS)
+        count = np.diff(first)
+        text_of = np.repeat(np.arange(len(count)), count)
+        before = np.where(begins == bounds[text_of], 0, data[begins - 1]) if len(begins) else begins
+        kinds = np.select([before == _BLANK, before == _FEED], [_BEHIND, _NEXT_LINE], _START)
+        keys, index, inverse = np.unique(hashes ^ _KIND[kinds], return_index=True, return_inverse=True)
+        odd = self.odd(data, bounds)
+        usual = np.zeros(len(keys), bool)
+        usual[inverse[~odd[text_of]]] = True
+        at = self.find(keys)
+        new = np.flatnonzero((at < 0) & usual)
+        if len(new):
+            whole = data.tobytes()
+            # a usual text has the word: of its places, one in a usual text
+            place = index.copy()
+            place[inverse[~odd[text_of]][::-1]] = np.flatnonzero(~odd[text_of])[::-1]
+            self.learn(keys[new], kinds[place[new]], [whole[b:e] for b, e in zip(begins[place[new]].tolist(), ends[place[new]].tolist())])
+            at = self.find(keys)
+            if (at[usual] < 0).any():  # what was remembered before had to go
+                lost = np.flatnonzero((at < 0) & usual)
+                self.learn(keys[lost], kinds[place[lost]], [whole[b:e] for b, e in zip(begins[place[lost]].tolist(), ends[place[lost]].tolist())])
+                at = self.find(keys)
+        size = np.where(at >= 0, self.sizes[at] if len(self.keys) else 0, 0)
+        start = np.where(at >= 0, self.starts[at] if len(self.keys) else 0, 0)
+        words = size[inverse]
+        words[odd[text_of]] = 0
+        so_far = np.append(0, np.cumsum(words))
+        last = np.where(np.diff(bounds) > 0, data[np.maximum(bounds[1:] - 1, 0)] if len(data) else 0, 0)
+        tail = ((last == _BLANK) | (last == _FEED)) & ~odd
+        apart = {int(i): plain_ids(data[bounds[i] : bounds[i + 1]].tobytes().decode()) for i in np.flatnonzero(odd)}
+        lengths = np.diff(so_far[first]) + tail
+        for i, ids in apart.items():
+            lengths[i] = len(ids)
+        cuts = np.append(0, np.cumsum(lengths))
+        ids = np.empty(cuts[-1], np.uint16)
+        shift = np.repeat(cuts[:-1] - so_far[first[:-1]], count)
+        to = np.repeat(shift, words) + np.arange(so_far[-1])
+        ids[to] = self.pool[np.repeat(start[inverse] - so_far[:-1], words) + np.arange(so_far[-1])]
+        blank, feed = (plain_ids(c)[0] for c in " \n")
+        ids[cuts[1:][tail] - 1] = np.where(last[tail] == _BLANK, blank, feed)
+        for i, own in apart.items():
+            ids[cuts[i] : cuts[i + 1]] = own
+        return Encoded(ids, cuts, hashes[index], inverse, first)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is remembered; -1 if it isn't."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def odd(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Which texts may hold white space other than single blanks and line feeds (ASCII separators and first bytes of others tell)."""
+        strange = np.zeros(len(data) + 1, np.int32)
+        space = BLANK[data]
+        strange[1:] = (space & (data != _BLANK) & (data != _FEED)) | ((data >= 0x1C) & (data <= 0x1F))
+        inner = np.flatnonzero(space[1:] & space[:-1]) if len(data) else np.zeros(0, np.int64)
+        strange[inner + 1] = 1
+        wide = np.flatnonzero((data[:-1] == 0xC2) | ((data[:-1] >= 0xE1) & (data[:-1] <= 0xE3))) if len(data) else inner
+        following = data[wide + 1]
+        first = data[wide]
+        other = (
+            ((first == 0xC2) & ((following == 0x85) | (following == 0xA0)))
+            | ((first == 0xE1) & (following == 0x9A))
+            | ((first == 0xE2) & ((following == 0x80) | (following == 0x81)))
+            | ((first == 0xE3) & (following == 0x80))
+        )
+        strange[wide[other] + 1] = 1
+        total = np.cumsum(strange)
+        return total[bounds[1:]] > total[bounds[:-1]]
+
+
+@cache
+def encoder(lower: bool) -> Encoder:
+    """This Python worker's encoder."""
+    return Encoder(lower)
