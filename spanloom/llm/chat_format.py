@@ -75,3 +75,32 @@ def format_preferences(turns: DataFrame) -> DataFrame:
             F.when((F.col("p.part") != "prompt") & (role == "assistant"), 1).otherwise(0).alias("loss"),
         )
     )
+
+
+def pair_records(parts: DataFrame) -> DataFrame:
+    """A training record of each pair from the turns of :func:`format_preferences`.
+
+    Result: pair_id, prompt, chosen, rejected (texts), chosen_spans and rejected_spans: the
+    (begin, end) code points of a completion that the loss counts, in order. A side without
+    turns is an empty text without spans. A record holds its pair's turns, as the texts do.
+    """
+    turn = F.struct("turn", "rendered", "body_start", "body_end", "loss")
+
+    def text(turns: Column) -> Column:
+        return F.array_join(F.transform(turns, lambda t: t["rendered"]), "")
+
+    def spans(turns: Column) -> Column:
+        def add(done: Column, t: Column) -> Column:
+            span = F.struct((done["at"] + t["body_start"]).alias("begin"), (done["at"] + t["body_end"]).alias("end"))
+            found = F.when(t["loss"] == 1, F.concat(done["spans"], F.array(span))).otherwise(done["spans"])
+            return F.struct((done["at"] + F.char_length(t["rendered"])).alias("at"), found.alias("spans"))
+
+        start = F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<struct<begin:int,end:int>>").alias("spans"))
+        return F.aggregate(turns, start, add, lambda done: done["spans"])
+
+    sides = {name: F.array_sort(F.collect_list(F.when(F.col("part") == name, turn))).alias(name) for name in ("prompt", "chosen", "rejected")}
+    return parts.groupBy("pair_id").agg(*sides.values()).select(
+        "pair_id",
+        *(text(F.col(name)).alias(name) for name in sides),
+        *(spans(F.col(name)).alias(f"{name}_spans") for name in ("chosen", "rejected")),
+    )

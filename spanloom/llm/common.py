@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -11,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, shared_folder
+
+__all__ = ["ascii_lower", "cut", "fold", "map_texts", "shared_folder", "slices", "small", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: The white space of the word and line rules: blank, tab, LF, VT, FF, CR.
@@ -21,30 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a temporary one is made.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the files.
-
-    What follows reads these files, so a lost executor costs no more than its own tasks.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """``df`` with a broadcast hint if it has ``rows`` rows at most, else as it is.
 
@@ -85,23 +64,26 @@ def map_texts(
     text_col: str = "text",
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Apply ``work`` to batches of whole texts; ids and ``carry`` columns pass as they are.
+    """Apply ``work`` to some whole texts at a time; doc_id and ``carry`` columns pass as they are.
 
-    ``carry`` may name the text column. ``work`` takes the batch's texts and returns a list for each column of ``schema``.
+    ``work`` takes texts and returns a list for each column of ``schema``. ``carry`` may name
+    the text column; a carried column may not have a name of ``schema`` (pass such columns in
+    one struct). Other columns are ignored, whatever their names. Memory is bounded by the
+    bytes of the texts, a few megabytes at a time beside the batch itself.
     """
-    others = [c for c in carry if c != text_col]
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *others)
-    kept = ["doc_id", *("_text" if c == text_col else c for c in carry)]
     shown = ["doc_id", *carry]
+    source = docs.select(F.col(f"`{id_col}`").alias("c0"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry, 1)), F.col(f"`{text_col}`").alias("text"))
+    kept = [f"c{i}" for i in range(len(shown))]
     head = ", ".join(f"`{c}` {source.schema[k].dataType.simpleString()}" for c, k in zip(shown, kept))
     names = [field.split()[0] for field in schema.replace("<", " <").split(", ")]
+    if len({*shown, *names}) < len(shown) + len(names):
+        raise ValueError(f"a carried column has the name of a result column: {shown}, {names}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = work(batch.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), *(_array(made[n]) for n in names)], [*shown, *names]
-            )
+            for part in slices(batch, "text"):
+                made = work(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(_array(made[n]) for n in names)], [*shown, *names])
 
     return source.mapInArrow(run, f"{head}, {schema}")
 

@@ -122,7 +122,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[li
     """The benchmark as hashed words, in blocks of bounded size, one at a time."""
     rows: list[tuple[object, np.ndarray]] = []
     held = 0
-    for row in benchmark.select(id_col, text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
+    for row in benchmark.select(F.col(id_col).cast("string"), text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
         words = np.concatenate([h for h, _ in hashed_words(pc.utf8_lower(pa.array([row[1]])), PUNCTUATION)])
         if not len(words):
             continue
@@ -164,7 +164,7 @@ def find_leaks(
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kinds = (source.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString())
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, start_word long, n_words long, similarity double"
+    schema = f"doc_id {kinds[0]}, item_id string, start_word long, n_words long, similarity double"
 
     def passed(items: Items) -> DataFrame:
         shared = spark.sparkContext.broadcast(items)
@@ -179,7 +179,7 @@ def find_leaks(
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(pa.array(origin, pa.int64())),
-                        pa.array(item, item_type),
+                        pa.array(item, pa.string()),
                         pa.array(start, pa.int64()),
                         pa.array(n, pa.int64()),
                         pa.array(value, pa.float64()),
@@ -189,10 +189,9 @@ def find_leaks(
 
         return source.mapInArrow(run, schema)
 
-    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
     passes = [passed(Items(rows, words)) for rows in item_blocks(benchmark, item_col, item_text_col)]
     if not passes:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema).withColumn("item_id", F.col("item_id").cast(kinds[1]))
     best = F.max(F.struct("similarity", (-F.col("start_word")).alias("back"), "n_words")).alias("best")
     return (
         reduce(DataFrame.unionByName, passes)
@@ -200,7 +199,7 @@ def find_leaks(
         .agg(best)
         .select(
             "doc_id",
-            "item_id",
+            F.col("item_id").cast(kinds[1]).alias("item_id"),
             (-F.col("best.back")).alias("start_word"),
             F.col("best.n_words").alias("n_words"),
             F.col("best.similarity").alias("similarity"),

@@ -16,8 +16,6 @@ from .common import map_texts
 CELLS = 1 << 15
 #: The n-gram's length in characters.
 N = 3
-#: Characters of a chunk of texts that is worked on at a time.
-CHUNK = 1 << 20
 
 
 def grams(text: str) -> np.ndarray:
@@ -98,7 +96,8 @@ def train(labelled: DataFrame) -> LanguageModel:
     """n-gram likelihoods of each language from all of (text, lang); rows without either are left out.
 
     Every task counts its own texts into one array for each language; Spark adds the counts
-    by (language, cell). What reaches the driver is languages x CELLS at most.
+    by (language, cell). What reaches the driver is languages x CELLS at most. Repeated rows
+    count each; other columns are ignored; an empty table gives the one language 'und'.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +138,10 @@ def identify(docs: DataFrame, model: LanguageModel, carry: list[str] | None = No
     """doc_id, lang_pred, score and the whole mixture of every text.
 
     ``lang_pred`` is the language with the largest proportion and ``score`` that proportion;
-    a text that is NULL or holds no letter gets 'und' and 0. ``mixture`` lists language:share
-    of the chosen set, largest first. One row per input row.
+    a text that is NULL or holds no letter gets 'und' and 0. Of equal proportions the first
+    name counts. ``mixture`` lists language:share of the chosen set, largest first. One row
+    per input row, repeated rows and an empty table included; ``carry`` columns pass, under
+    other names than the three results; other columns are ignored, whatever their names.
     """
 
     def predict(texts: list[str | None]) -> dict[str, list]:

@@ -32,6 +32,8 @@ HELD_BACK = 64
 MIXTURES = np.array([0, 0.5, 0.8, 0.9, 0.95, 0.98, 1.0])
 #: Pseudo-counts of the unigram among an id's successors, and among those inside a class.
 SUCCESSORS, INSIDE = 8.0, 64.0
+#: Size of a row's random mark beside its successors' directions, which are of size 1.
+OWN_MARK = 0.3
 #: Windows in a batch of attention, ids put in line at a time, ids of one task's share of a round at least.
 BATCH, LINE, SHARE = 256, 1 << 16, 1 << 18
 #: Words with their own count on every executor, at most; other words' counts come by a join.
@@ -82,7 +84,8 @@ class Tables:
     ``embed`` is each input row's vector; ``successor`` its log probabilities of the next
     class; ``inside[c, i]`` the log probability of id i in its class after an id of class c
     (the last class row stands for the place before a text). ``embed`` has the directions in
-    which the rows' successors differ most, by their counts.
+    which the rows' successors differ most, by their counts, and a random mark of each row, so
+    that attention can tell ids with the same successors apart.
     """
 
     embed: np.ndarray
@@ -100,6 +103,7 @@ def tables(u: Units, successors: np.ndarray, insides: np.ndarray) -> Tables:
     axes = directions[:, ::-1][:, :WIDTH]
     embed = lift @ axes
     embed /= np.sqrt((embed**2 * seen[:, None]).sum() / max(1.0, seen.sum()) / WIDTH) + 1e-6
+    embed += np.random.default_rng(5).normal(0, OWN_MARK, embed.shape)
     by_class = np.stack([np.bincount(u.class_of, weights=row, minlength=CLASSES) for row in insides])
     inside = (insides + INSIDE * u.share) / (by_class[:, u.class_of] + INSIDE)
     return Tables(*(x.astype(np.float32) for x in (embed, np.log(chance), np.log(inside), axes)))
@@ -209,7 +213,7 @@ class Adam:
 
 def in_line(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Input rows of all texts one after the other, each behind a stride of row 0 and filled up to whole strides; where texts begin."""
-    lengths = np.array([STRIDE + len(t) + -len(t) % STRIDE for t in texts])
+    lengths = np.array([STRIDE + len(t) + -len(t) % STRIDE for t in texts], np.int64)
     begins = np.append(0, np.cumsum(lengths))
     rows = np.zeros(begins[-1], np.int32)
     for at, text in zip(begins.tolist(), texts):

@@ -115,8 +115,10 @@ def top_k(
         mine, each = F.pmod(tile, F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
         return rows.select(*((mine.alias("qt"), each.alias("vt")) if first else (each.alias("qt"), mine.alias("vt"))), "vec_id", "v")
 
-    left = dealt(vectors.where("q"), down, across, True)
-    right = dealt(vectors, across, down, False)
+    # tiles are much work for few bytes, so their number says into how many tasks they go
+    tasks = 4 * across * down
+    left = dealt(vectors.where("q"), down, across, True).repartition(tasks, "qt", "vt")
+    right = dealt(vectors, across, down, False).repartition(tasks, "qt", "vt")
 
     def joined(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or rows.empty:

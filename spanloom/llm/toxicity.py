@@ -191,8 +191,11 @@ def training_ids(labels: DataFrame, per_class: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Model:
     """Fit on the texts of (doc_id, text) that (doc_id, toxic) labels.
 
-    ``per_class`` bounds the sample of labelled ids of each class. The sample of ids is what is
-    broadcast, so the documents are read where they lie and only the sample's features move.
+    ``per_class`` bounds the sample of labelled ids of each class; which ids are in it depends
+    on their hash alone. The sample of ids is what is broadcast, so the documents are read
+    where they lie and only the sample's features move. An id with both labels counts as
+    toxic; all rows of a sampled id are learned from; other columns are ignored; without
+    labelled rows the model is its prior.
     """
 
     def features(texts: list[str | None]) -> dict[str, list]:
@@ -215,8 +218,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Model:
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 if score >= 0.5) of every whole text.
 
-    One row per input row; NULL and empty texts get the model's prior. The model goes to the
-    executors with the task: its size is bounded by the features that the sample supports.
+    One row per input row, repeated rows and an empty table included; NULL and empty texts
+    get the model's prior; long texts are read whole. Other columns are ignored, whatever
+    their names. The model goes to the executors with the task: its size is bounded by the
+    features that the sample supports.
     """
     holder: list[Scorer] = []
 

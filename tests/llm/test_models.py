@@ -6,9 +6,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -29,9 +31,20 @@ def reference():
 ODD = ["", " ", "a ", "  a", " \nfoo", "foo\n bar", "x  y", "\n\n", "a\nb ", "end \n", "tab\tx y", "it's we'll 's", "<|endoftext|> x", "a \x1c b", "　x y", "é" * 50, "1234567 89", "a\r\nb", "👍 ok"]
 
 
-def test_ids_are_those_of_the_tokenizer(reference):
-    for text in ODD:
-        assert np.frombuffer(subword.encode(text), "<u4").tolist() == reference(text), text
+def encoded(encoder, texts):
+    return [c.ids[a:b].tolist() for c in encoder(pa.array(texts, pa.string())) for a, b in zip(c.bounds[:-1], c.bounds[1:])]
+
+
+@pytest.mark.parametrize("remember", [1 << 20, 30])
+def test_ids_are_those_of_the_tokenizer(reference, remember):
+    rng = random.Random(4)
+    pieces = ["a", "b", "The", "é", "—", "\u00a0", "\u2003", ".", "'s", "12", "\n", " ", " ", "  ", "\t", "\x1f", "日本", "👍"]
+    texts = [*ODD, None, *("".join(rng.choices(pieces, k=rng.randint(0, 14))) for _ in range(1500))]
+    plain, lower = subword.Encoder(False, remember), subword.Encoder(True, remember)
+    for _ in range(2):
+        assert encoded(plain, texts) == [reference(t or "") for t in texts]
+        assert encoded(lower, texts) == [reference((t or "").translate(LOWER)) for t in texts]
+    assert encoded(plain, []) == []
 
 
 # ---------------------------------------------------------------- packing
@@ -99,6 +112,32 @@ def test_patterns_hold_the_demand_and_come_close_to_the_bound():
     assert packing.whole_patterns({128: 3}, 128) == [({128: 3 // 3}, 3)] and packing.whole_patterns({}, 8) == []
 
 
+@pytest.mark.parametrize(
+    ("demand", "room", "least"),
+    [({70: 10, 65: 7}, 128, 17), ({50: 9}, 128, 4.5), ({43: 30, 42: 31}, 128, 61 / 3), ({3: 4, 5: 4, 7: 4}, 15, 4), ({6: 3, 5: 4}, 10, 5), ({64: 10, 33: 1}, 128, 5.26)],
+)
+def test_the_program_ends_at_its_optimum_or_at_a_proof(demand, room, least):
+    """Where the area bound can't be had, the value rounds up to the true optimum all the same."""
+    found = packing.column_generation(demand, room)
+    held = Counter()
+    for pattern, amount in found:
+        assert sum(w * n for w, n in pattern.items()) <= room
+        for w, n in pattern.items():
+            held[w] += n * amount
+    assert all(abs(held[w] - n) < 1e-6 for w, n in demand.items())
+    value = sum(amount for _, amount in found)
+    assert value > least - 0.02 and math.ceil(value - 1e-6) == math.ceil(least - 1e-6)
+
+
+def test_many_widths_come_within_one_sequence_of_the_area():
+    rng = random.Random(6)
+    for _ in range(3):
+        demand = {w: rng.randint(1, 300) for w in rng.sample(range(1, 128), 90)}
+        value = sum(amount for _, amount in packing.column_generation(demand, 256))
+        area = sum(w * n for w, n in demand.items()) / 256
+        assert area - 1e-6 <= value < math.ceil(area - 1e-6) + 1
+
+
 # ---------------------------------------------------------------- language
 
 SYLLABLES = {"aa": "th er on an re he in ed".split(), "bb": "der sch ung ein ich keit ver".split(), "cc": "que ción os as el la ie".split()}
@@ -233,8 +272,9 @@ def check_base(rows, got, learn):
 @pytest.mark.parametrize("head", [1 << 20, 40])
 def test_base_scores(docs, monkeypatch, head):
     monkeypatch.setattr(lm_score, "HEAD_WORDS", head)
-    monkeypatch.setattr(lm_score, "SAMPLE", 4)
-    got = lm_score.score_language_model(docs.withColumn("score", F.lit(1)), fold() != 1, fold() == 1).collect()
+    monkeypatch.setattr(lm_score, "PASSES", 1)
+    clashing = docs.withColumns({c: F.lit(1) for c in ("score", "learn", "rid", "ids", "word", "c")})
+    got = lm_score.score_language_model(clashing, fold() != 1, fold() == 1).collect()
     rest = lambda doc: None if doc is None else zlib.crc32(str(doc).encode()) % 5
     check_base([(r.doc_id, r.text) for r in docs.collect()], got, lambda d: d is not None and rest(d) != 1)
     assert all(r.held_out == (rest(r.doc_id) == 1) and r.score < 0 for r in got)
@@ -246,125 +286,154 @@ def test_scores_of_an_empty_table_and_without_training(make):
     assert (row.n_tokens, row.n_known, row.train_tokens) == (1, 0, 0) and row.score < 0
 
 
-def test_windows_score_each_token_once():
-    for n in (1, 7, 8, 9, 40):
-        ids = np.arange(n)
-        windows = lm_score.windows_of(ids)
-        assert windows[:, lm_score.CONTEXT :].ravel()[:n].tolist() == ids.tolist()
-        assert (windows[:, lm_score.CONTEXT :].ravel()[n:] == -1).all()
-
-
-def test_the_model_is_causal_normalised_and_learns():
-    rng = np.random.default_rng(8)
+def some_model(seed, dtype=np.float32, of=400):
+    """Units, tables and a model of made-up counts and weights."""
+    rng = np.random.default_rng(seed)
     counts = np.zeros(lm_score.VOCABULARY)
-    counts[:6] = 100
+    counts[:of] = 20_000 // np.arange(1, of + 1)
     u = lm_score.units(counts)
-    assert np.isclose(sum((10 ** u.inside[u.class_of == c]).sum() for c in range(lm_score.CLASSES)), lm_score.CLASSES)
-    text = np.tile(np.arange(6), 400)
-    windows = lm_score.windows_of(text)
-    rows, target, weight = lm_score.prepared(windows, u)
-    model = lm_score.train_shard(rows, u.class_of[target], weight)
-    trained = lm_score.log_probabilities(model, windows, u).sum()
-    assert trained > 0.2 * lm_score.log_probabilities(lm_score.start(), windows, u).sum()
-    later = rows.copy()
-    later[:, -1] = rng.integers(1, 6, len(rows))
-    a, b = (lm_score.forward(model, r)["scores"] for r in (rows, later))
-    assert np.allclose(a[:, :-1], b[:, :-1], atol=1e-5) and not np.allclose(a[:, -1], b[:, -1])
+    successors = rng.poisson(3, (lm_score.INPUTS, lm_score.CLASSES)) * (np.arange(lm_score.INPUTS) <= of)[:, None]
+    insides = rng.poisson(2, (lm_score.CLASSES + 1, lm_score.VOCABULARY)) * (counts > 0)
+    t = lm_score.tables(u, successors.astype(float), insides.astype(float))
+    t = lm_score.Tables(*(getattr(t, k).astype(dtype) for k in ("embed", "successor", "inside", "axes")))
+    p = {k: (v + rng.normal(0, 0.3, v.shape)).astype(dtype) for k, v in lm_score.start().items()}
+    return rng, u, t, p
+
+
+def brute_log10(p, ids, u, t, weight):
+    """Token by token, place by place."""
+    rows = [0] * lm_score.STRIDE + [i + 1 for i in ids]
+    parts = t.embed.astype(float) @ p["attend"].astype(float)
+    width, total = lm_score.WIDTH, 0.0
+    for n, i in enumerate(ids):
+        asking = lm_score.STRIDE - 1 + n
+        begin = n // lm_score.STRIDE * lm_score.STRIDE
+        marks = []
+        for place in range(begin, asking + 1):
+            q, k = parts[rows[asking]][:width], parts[rows[place]][width : 2 * width]
+            marks.append(math.exp(q @ k / width**0.5 + p["near"][0][asking - place]))
+        values = [parts[rows[place]][2 * width :] for place in range(begin, asking + 1)]
+        o = sum(m * v for m, v in zip(marks, values)) / sum(marks)
+        scores = np.append(o, 1) @ p["out"].astype(float) + t.successor[rows[asking]]
+        chance = np.exp(scores) / np.exp(scores).sum()
+        c, before = u.class_of[i], lm_score.CLASSES if n == 0 else u.class_of[ids[n - 1]]
+        total += math.log10(weight * chance[c] + (1 - weight) * u.mass[c]) + t.inside[before, i] / math.log(10)
+    return total
+
+
+def test_scores_are_those_of_brute_force():
+    rng, u, t, p = some_model(3)
+    texts = [rng.integers(0, 500, n) for n in (1, 2, 15, 16, 17, 31, 32, 33, 100, 5000)] + [np.array([lm_score.END])]
+    got = lm_score.log_probabilities(p, texts, u, t, np.array([0.0, 0.7, 1.0]))
+    for text, row in zip(texts[:9] + texts[10:], np.delete(got, 9, axis=0)):
+        assert np.allclose(row, [brute_log10(p, text, u, t, w) for w in (0.0, 0.7, 1.0)], rtol=1e-4), len(text)
+    assert got[9, 2] < 0 and lm_score.log_probabilities(p, [], u, t).shape == (0, 1)
+
+
+def test_probabilities_add_up_to_one():
+    rng, u, t, p = some_model(4)
+    assert np.allclose(np.bincount(u.class_of, weights=u.share, minlength=lm_score.CLASSES), 1) and np.isclose(u.mass.sum(), 1)
+    assert np.bincount(u.class_of, minlength=lm_score.CLASSES).min() > 0
+    inside = np.stack([np.bincount(u.class_of, weights=np.exp(row.astype(float)), minlength=lm_score.CLASSES) for row in t.inside])
+    assert np.allclose(inside, 1, atol=1e-3) and np.allclose(np.exp(t.successor.astype(float)).sum(axis=1), 1, atol=1e-4)
+    scores = lm_score.forward(p, t.embed[rng.integers(0, 400, 64)], t.successor[rng.integers(0, 400, 48)])["scores"]
+    total = lm_score.chances(scores)
+    assert np.allclose((scores / total[:, None]).sum(axis=1), 1, atol=1e-4)
+    huge = np.full((2, lm_score.CLASSES), 500, np.float32)
+    assert np.isfinite(lm_score.chances(huge)).all()
+
+
+def test_every_token_is_predicted_once_and_attention_is_causal():
+    texts = [np.arange(n, dtype="<u2") for n in (1, 15, 16, 17, 700, 5001)]
+    rows, begins = lm_score.in_line(texts)
+    seen = Counter()
+    for to, part, asking, real in lm_score.batches_of(rows):
+        assert (rows[to] == part[lm_score.STRIDE :]).all() and (rows[to.start - 1 : to.stop - 1] == asking).all()
+        seen.update((part[lm_score.STRIDE :][real] - 1).tolist())
+    assert seen == Counter(i for t in texts for i in t.tolist()) and len(begins) == len(texts)
+    rng, _, t, p = some_model(5)
+    line = rng.integers(1, 400, 8 * lm_score.STRIDE)
+    place = 4 * lm_score.STRIDE + 5
+    later = line.copy()
+    later[place] += 1
+    a, b = (lm_score.forward(p, t.embed[x], t.successor[line[lm_score.STRIDE - 1 : -1]])["scores"] for x in (line, later))
+    asks = np.arange(lm_score.STRIDE - 1, len(line) - 1)
+    changed = np.flatnonzero(~np.isclose(a, b, atol=1e-6).all(axis=1))
+    assert asks[changed].min() == place and asks[changed].max() >= place + lm_score.STRIDE  # more than 15 ids of context
 
 
 def test_gradients_match_differences():
-    rng = np.random.default_rng(9)
-    p = {k: v.astype(np.float64) for k, v in lm_score.start().items()}
-    rows = rng.integers(0, lm_score.INPUTS, (3, lm_score.WINDOW - 1))
-    target, weight = rng.integers(0, lm_score.CLASSES, (3, lm_score.STRIDE)), np.ones((3, lm_score.STRIDE))
+    rng, u, t, p = some_model(9, np.float64)
+    line = rng.integers(0, 400, 5 * lm_score.STRIDE)
+    x, known = t.embed[line], t.successor[line[lm_score.STRIDE - 1 : -1]]
+    target, real = rng.integers(0, lm_score.CLASSES, len(known)), rng.random(len(known)) < 0.8
 
     def loss():
-        s = lm_score.forward(p, rows)["scores"]
-        return -np.mean(np.take_along_axis(s - np.log(np.exp(s).sum(axis=2, keepdims=True)), target[:, :, None], 2))
-
-    g = lm_score.gradients(p, rows, target, weight)
-    for k in ("query", "key", "value", "out", "bias", "place"):
-        i = (rng.integers(0, p[k].shape[0]), rng.integers(0, p[k].shape[1]))
-        old = p[k][i]
-        p[k][i] = old + 1e-5
-        up = loss()
-        p[k][i] = old - 1e-5
-        down = loss()
-        p[k][i] = old
-        assert np.isclose((up - down) / 2e-5, g[k][i], atol=1e-6, rtol=1e-3), k
-
-
-def test_all_windows_of_all_texts_are_trained_on(spark):
-    """At the sample as it is set, each token is predicted once; copies of a text have places of their own."""
-    lengths = [1, 7, 8, 512, 513, 1500, 1500]
-    blobs = [np.arange(n).astype("<u2").tobytes() for n in lengths]
-    texts = spark.createDataFrame([(n, bytearray(b)) for n, b in zip(lengths, blobs)], "rid long, ids binary")
-    got = lm_score.pieces(texts).collect()
-    seen = Counter()
-    for r in got:
-        windows = lm_score.windows_of(np.frombuffer(r.ids, "<u2"), r.lead)
-        given, wanted = windows[:, : lm_score.CONTEXT], windows[:, lm_score.CONTEXT :]
-        seen.update(wanted[wanted >= 0].tolist())
-        before = wanted[:, :1] - np.arange(lm_score.CONTEXT, 0, -1)
-        assert (given == np.maximum(before, -1)).all()
-    assert seen == Counter(i for n in lengths for i in range(n)) and len({r.place for r in got}) == len(got)
-
-
-def test_scores_depend_on_less_frequent_ids_and_on_far_context():
-    """Rows of their own, a probability inside the class, and more than 15 ids of context."""
+        s = lm_score.forward(p, x, known)["scores"]
+        return -np.mean((s[np.arange(len(s)), target] - np.log(np.exp(s).sum(axis=1)))[real])
+
+    g = lm_score.gradients(p, x, known, target, real)
+    for k, shape in lm_score.SHAPES.items():
+        for _ in range(6):
+            i = (rng.integers(0, shape[0]), rng.integers(0, shape[1]))
+            old = p[k][i]
+            p[k][i] = old + 1e-5
+            up = loss()
+            p[k][i] = old - 1e-5
+            down = loss()
+            p[k][i] = old
+            assert np.isclose((up - down) / 2e-5, g[k][i], atol=1e-8, rtol=1e-4), (k, i)
+
+
+def test_attention_learns_what_the_last_id_does_not_tell():
+    """Ids 0, 1 and 2 in turn, each with a filler behind it: after a filler only the id before it tells what comes."""
     counts = np.zeros(lm_score.VOCABULARY)
-    counts[:2000] = 10_000 / np.arange(1, 2001)
+    counts[[0, 1, 2]], counts[3] = 100, 300
     u = lm_score.units(counts)
-    assert len(np.unique(u.row)) == lm_score.VOCABULARY and np.bincount(u.class_of, minlength=lm_score.CLASSES).min() > 0
+    texts = [np.tile([0, 3, 1, 3, 2, 3], 300).astype("<u2") for _ in range(4)]
+    rows, _ = lm_score.in_line(texts)
+    at = np.flatnonzero(rows[1:]) + 1
+    successors, insides = np.zeros((lm_score.INPUTS, lm_score.CLASSES)), np.zeros((lm_score.CLASSES + 1, lm_score.VOCABULARY))
+    np.add.at(successors, (rows[at - 1], u.class_of[rows[at] - 1]), 1)
+    t = lm_score.tables(u, successors, insides)
+    model, steps = lm_score.start(), lm_score.Adam(0.05)
+    before = lm_score.log_probabilities(model, texts, u, t).sum()
+    for _ in range(40):
+        assert lm_score.train_on(model, texts, u, t, steps) == 7200
+    after = lm_score.log_probabilities(model, texts, u, t).sum()
+    assert after > 0.5 * before
+
+
+def test_less_frequent_ids_have_rows_of_their_own_and_ids_inside_a_class_depend_on_the_one_before():
+    rng, u, t, p = some_model(6, of=2000)
+    assert len(np.unique(t.embed[1:2001], axis=0)) == 2000
     big = np.flatnonzero(np.bincount(u.class_of[:2000], minlength=lm_score.CLASSES) > 3)[-1]
+    insides = np.zeros((lm_score.CLASSES + 1, lm_score.VOCABULARY))
     first, second = np.flatnonzero(u.class_of[:2000] == big)[:2]
-    # after id 1500 comes one id of a class, after id 1501 another
-    pairs = np.array([[1500, first], [1501, second]])
-    texts = [pairs[np.random.default_rng(k).integers(0, 2, 30)].ravel() for k in range(200)]
-    rows, target, weight = lm_score.prepared(np.concatenate([lm_score.windows_of(t) for t in texts]), u)
-    model = lm_score.train_shard(rows, u.class_of[target], weight, ids=target, u=u)
+    insides[0, first], insides[1, second] = 500, 500
+    t = lm_score.tables(u, np.zeros((lm_score.INPUTS, lm_score.CLASSES)), insides)
 
     def score(*ids):
-        return lm_score.log_probabilities(model, lm_score.windows_of(np.array(ids)), u).sum()
-
-    assert score(1500, first) > score(1500, second) + 0.5 and score(1501, second) > score(1501, first) + 0.5
-    far = rows[:1].copy()
-    far[0, lm_score.CONTEXT + 20] = u.row[1990]
-    a, b = (lm_score.forward(lm_score.start(), r)["scores"][0, 50] for r in (rows[:1], far))
-    assert not np.allclose(a, b, atol=1e-6)
-
-
-def test_gradients_inside_classes_match_differences():
-    rng = np.random.default_rng(10)
-    u = lm_score.units(10_000 / np.arange(1, lm_score.VOCABULARY + 1))
-    p = {k: v.astype(np.float64) for k, v in lm_score.start().items()}
-    p["within"] += rng.normal(0, 0.3, p["within"].shape)
-    ids = rng.integers(100, 3000, (2, lm_score.STRIDE))
-    rows = rng.integers(0, 3000, (2, lm_score.WINDOW - 1))
-
-    def loss():
-        f = lm_score.forward(p, rows)
-        scores, h = f["scores"].reshape(-1, lm_score.CLASSES), f["h"].reshape(-1, lm_score.WIDTH)
-        total = 0.0
-        for s, hidden, i in zip(scores, h, ids.ravel()):
-            c = u.class_of[i]
-            own = np.flatnonzero(u.class_of == c)
-            inside = hidden @ p["within"][own].T + u.inside[own] * np.log(10)
-            total += s[c] - np.log(np.exp(s).sum()) + inside[np.searchsorted(own, i)] - np.log(np.exp(inside).sum())
-        return -total / ids.size
-
-    g = lm_score.gradients(p, rows, u.class_of[ids], np.ones(ids.shape), ids, u)
-    dense = {k: np.zeros(lm_score.SHAPES[k]) for k in lm_score.SPARSE}
-    for k in dense:
-        dense[k][g[k][0]] = g[k][1]
-    for k, i in (("within", (ids[1, 5], 3)), ("within", (u.members[u.first[u.class_of[ids[0, 0]]]], 1)), ("embed", (rows[0, 80], 2)), ("query", (1, 2)), ("value", (3, 4))):
-        old = p[k][i]
-        p[k][i] = old + 1e-5
-        up = loss()
-        p[k][i] = old - 1e-5
-        down = loss()
-        p[k][i] = old
-        assert np.isclose((up - down) / 2e-5, dense.get(k, g.get(k))[i], atol=1e-7, rtol=1e-3), k
+        return lm_score.log_probabilities(p, [np.array(ids)], u, t)[0, 0]
+
+    assert score(0, first) > score(0, second) + 0.5 and score(1, second) > score(1, first) + 0.5
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the test tables")
+def test_held_out_scores_beat_the_subword_unigram(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in lm_score.score_language_model(rows, fold() != 1, fold() == 1).collect()}
+    texts = rows.select("doc_id", "text").collect()
+    ids = dict(zip((r.doc_id for r in texts), encoded(subword.Encoder(True), [r.text for r in texts])))
+    counts = Counter({lm_score.END: 0})
+    for doc, own in ids.items():
+        if not got[doc].held_out:
+            counts.update([*own, lm_score.END])
+    total = sum(counts.values()) + 0.5 * lm_score.VOCABULARY
+    held = [d for d in ids if got[d].held_out]
+    unigram = sum(math.log10((counts[i] + 0.5) / total) for d in held for i in [*ids[d], lm_score.END])
+    tokens = sum(len(ids[d]) + 1 for d in held)
+    assert sum(got[d].score for d in held) / tokens > unigram / tokens + 0.4  # about -1.89 and -2.46
 
 
 def test_secrets_of_few_kinds_of_characters_and_within_longer_runs(make):

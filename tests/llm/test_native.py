@@ -5,7 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from spanloom.llm.chat_format import format_preferences
+from spanloom.llm.chat_format import format_preferences, pair_records
 from spanloom.llm.line_dedup import line_dedup
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -113,3 +113,15 @@ def test_pair_edges(spark):
 def test_hash_of_kept_text(make):
     row = line_dedup(make([(1, None)])).select(F.sha2("text", 256).alias("h")).first()
     assert row.h == hashlib.sha256(b"").hexdigest()
+
+
+def test_records_of_pairs(spark):
+    rows = [(1, side, 0, "user", "q") for side in ("chosen", "rejected")]
+    rows += [(1, "chosen", 1, "assistant", "good"), (1, "rejected", 1, "assistant", "bäd"), (1, "rejected", 2, "user", "why"), (1, "rejected", 3, "assistant", "so")]
+    rows += [(2, "rejected", 0, "user", "x")]
+    out = pair_records(format_preferences(spark.createDataFrame(rows, TURNS)))
+    one, two = out.orderBy("pair_id").collect()
+    assert one.prompt == "<|user|>\nq<|end|>\n" and one.chosen == "<|assistant|>\ngood<|end|>\n"
+    assert [one.chosen[a:b] for a, b in one.chosen_spans] == ["good"] and [one.rejected[a:b] for a, b in one.rejected_spans] == ["bäd", "so"]
+    assert (two.prompt, two.chosen, two.rejected, two.chosen_spans, two.rejected_spans) == ("", "", "<|user|>\nx<|end|>\n", [], [])
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and pair_records(format_preferences(spark.createDataFrame([], TURNS))).isEmpty()

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from .test_models import check_packing, reference  # noqa: F401
 from .test_native import expected_lines
@@ -56,3 +57,23 @@ def test_texts_stay_where_no_language_can_be_learned(spark, sf, make):
     rows = [(1, "a plain text", None), (2, "another one", None), (3, "12 34", None), (4, None, None)]
     kept = corpus_pipeline.keep_languages(spark, make(rows), sf)
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
+
+
+def test_columns_that_clash_with_an_operators_own_pass_unchanged(spark, sf, docs):
+    names = ("lang_pred", "score", "mixture", "_text", "row", "n_lines", "n_dropped", "component_id", "id", "rid", "c0", "item_id", "a.b")
+    current = docs.withColumns({c: F.concat(F.lit(f"{c}="), F.col("doc_id").cast("string")) for c in names})
+    columns = current.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        current = stage(spark, current, sf).cache()
+        assert current.columns == columns
+    for row in current.collect():
+        assert all(row[c] == (None if row.doc_id is None else f"{c}={row.doc_id}") for c in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, current, sf).count() >= current.count()
+
+
+def test_run_leaves_no_files_behind(spark, sf):
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    corpus_pipeline.run(spark, sf).count()
+    assert not list(folder.glob("pipeline-*"))
