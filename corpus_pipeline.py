@@ -14,7 +14,9 @@ All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import language
@@ -25,33 +27,46 @@ from spanloom.llm.line_dedup import line_dedup
 from spanloom.llm.packing import pack
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all columns as one struct, so that no operator's own columns can clash with them."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    return rows.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in columns))
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised; the model learns as op6 does."""
+    """Documents in which a language is recognised; the model learns as op6 does.
+
+    NULL texts and texts without a letter go; where no language can be learned, no other goes.
+    """
     model = language.train(docs.where(fold() != 0))
-    found = language.identify(docs, model, carry=[c for c in docs.columns if c != "doc_id"])
-    return found.where(F.col("score") > 0).select(*docs.columns)
+    found = language.identify(packed(docs), model, carry=["row"])
+    return unpacked(found.where(F.col("score") > 0), docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that others repeat; n_chars is counted anew."""
-    kept = line_dedup(docs).select(*docs.columns)
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept
+    """Documents without the lines that others repeat; n_chars is counted anew. NULL texts become empty."""
+    kept = line_dedup(packed(docs))
+    return unpacked(kept, docs.columns, text=F.col("text"), n_chars=F.char_length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; all rows of its id stay."""
+    """One document of each group of near duplicates; all rows of its id stay, and rows without an id."""
     groups = jaccard_components(docs, words=5, percent=80)
     losers = cut(groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct())
     return docs.join(small(losers), "doc_id", "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; NULL texts and rows without an id stay."""
     leaks = cut(find_leaks(docs, table(spark, sf_dir, "benchmark"), words=5, least=0.8).select("doc_id").distinct())
     return docs.join(small(leaks), "doc_id", "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences; a NULL text is its end alone."""
     return pack(docs, capacity=2048)
 
 
@@ -68,11 +83,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    The files go once the last stage has read them; it works on from its own checkpoint.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{spark.sparkContext.applicationId}-{id(docs)}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid4()}"
     for number, (name, stage) in enumerate(STAGES[:-1]):
         place = f"{folder}/{number}-{name}.parquet"
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(place)
+        stage(spark, docs, sf_dir).write.parquet(place)
         docs = spark.read.parquet(place)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    sequences = STAGES[-1][1](spark, docs, sf_dir)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return sequences
