@@ -136,3 +136,31 @@ def path_star(triples: DataFrame, predicate: str) -> DataFrame:
     ends = triples.where(F.col("p") == term(predicate))
     nodes = ends.select(F.col("s").alias("n")).union(ends.select(F.col("o").alias("n"))).distinct()
     return path_closure(triples, predicate).union(nodes.select(F.col("n").alias("start"), F.col("n").alias("end"))).distinct()
+
+
+# Property paths: every path is a DataFrame (start, end) with a row for each way of getting there.
+
+
+def step(triples: DataFrame, predicate: str, graph: str | None = None) -> DataFrame:
+    return one(triples, ("?start", predicate, "?end"), graph)
+
+
+def inverse(path: DataFrame) -> DataFrame:
+    return path.select(F.col("end").alias("start"), F.col("start").alias("end"))
+
+
+def sequence(path: DataFrame, *more: DataFrame) -> DataFrame:
+    """One path after the other: a join where one ends and the next starts."""
+    for following in more:
+        path = path.withColumnRenamed("end", "_at").join(following.withColumnRenamed("start", "_at"), "_at").select("start", "end")
+    return path
+
+
+def alternative(*paths: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, paths)
+
+
+def zero_or_one(triples: DataFrame, path: DataFrame) -> DataFrame:
+    """A path or none: every node of the triples ends at itself too; each pair once."""
+    nodes = triples.select(F.col("s").alias("start")).union(triples.select(F.col("o").alias("start"))).distinct()
+    return path.union(nodes.select("start", F.col("start").alias("end"))).distinct()
