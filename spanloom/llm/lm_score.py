@@ -20,8 +20,8 @@ END, VOCABULARY = 50_256, 50_257
 #: A window predicts STRIDE tokens, each from the STRIDE to 2 STRIDE - 1 tokens before it.
 STRIDE = 16
 REACH = 2 * STRIDE - 1
-#: Width of the model, rows of its input (each id has its own, row 0 stands before a text), output
-#: classes (the most frequent ids have their own).
+#: Width of the model (its last column is 1 throughout, for biases and sums), rows of its input (each
+#: id has its own, row 0 stands before a text), output classes (the most frequent ids have their own).
 WIDTH, INPUTS, CLASSES, OWN_CLASS = 16, VOCABULARY + 1, 64, 48
 #: Training texts are dealt into ROUNDS parts; a round trains on one of them. After all have had
 #: their round, more follow, up to PASSES times all, while one gains GAIN (log10 a token, on texts held back).
@@ -38,7 +38,7 @@ OWN_MARK = 0.3
 BATCH, LINE, SHARE = 256, 1 << 16, 1 << 18
 #: Words with their own count on every executor, at most; other words' counts come by a join.
 HEAD_WORDS = 1 << 20
-#: Words that a task counts before it passes counts on.
+#: Words that a task counts before it passes counts on, and ids that it counts at a time.
 COUNTED = 2 << 20
 #: Stands for the end of a text among the hashes of words.
 END_WORD = np.uint64(0x0E0DE0DE0DE0DE0D)
@@ -91,28 +91,37 @@ class Tables:
     embed: np.ndarray
     successor: np.ndarray
     inside: np.ndarray
-    axes: np.ndarray
 
 
 def tables(u: Units, successors: np.ndarray, insides: np.ndarray) -> Tables:
-    """From counts of (input row, next class) and of (class before, id)."""
+    """From counts of (input row, next class) and of (class before, id); ids alone in their class needn't be counted there."""
     seen = successors.sum(axis=1)
     chance = (successors + SUCCESSORS * u.mass) / (seen + SUCCESSORS)[:, None]
     lift = np.log(chance / u.mass)
     _, directions = np.linalg.eigh((lift * np.sqrt(seen)[:, None]).T @ (lift * np.sqrt(seen)[:, None]))
-    axes = directions[:, ::-1][:, :WIDTH]
-    embed = lift @ axes
+    embed = lift @ directions[:, ::-1][:, : WIDTH - 1]
     embed /= np.sqrt((embed**2 * seen[:, None]).sum() / max(1.0, seen.sum()) / WIDTH) + 1e-6
     embed += np.random.default_rng(5).normal(0, OWN_MARK, embed.shape)
+    embed = np.column_stack([embed, np.ones(len(embed))])
+    insides = np.where(u.class_of < OWN_CLASS, 0, insides)
     by_class = np.stack([np.bincount(u.class_of, weights=row, minlength=CLASSES) for row in insides])
     inside = (insides + INSIDE * u.share) / (by_class[:, u.class_of] + INSIDE)
-    return Tables(*(x.astype(np.float32) for x in (embed, np.log(chance), np.log(inside), axes)))
+    return Tables(*(x.astype(np.float32) for x in (embed, np.log(chance), np.log(inside))))
+
+
+#: Query, key and value of an embedding; a weight for each distance; classes from what is attended to.
+SHAPES = {"query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH - 1), "near": (1, REACH), "out": (WIDTH, CLASSES)}
+SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+
+
+def unflattened(flat: np.ndarray) -> dict[str, np.ndarray]:
+    parts = np.split(flat, np.cumsum([int(np.prod(s)) for s in SHAPES.values()])[:-1])
+    return {k: part.reshape(s) for (k, s), part in zip(SHAPES.items(), parts)}
 
 
-#: Query, key and value of an embedding; a weight for each distance; classes from what is attended to, and a bias.
-SHAPES = {"attend": (WIDTH, 3 * WIDTH), "near": (1, REACH), "out": (WIDTH + 1, CLASSES)}
 #: Distance of each of a window's places (rows) from the place that asks (columns), and where it lies behind.
 _DISTANCE = np.arange(STRIDE - 1, REACH)[None, :] - np.arange(REACH)[:, None]
+_BEFORE = np.maximum(_DISTANCE, 0)
 _MASK = np.where(_DISTANCE < 0, np.float32(-1e9), np.float32(0))
 
 
@@ -120,40 +129,44 @@ def start() -> dict[str, np.ndarray]:
     """A model that predicts classes by their successor counts alone; training adds attention to it."""
     rng = np.random.default_rng(7)
     p = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    p["attend"][:] = rng.normal(0, 0.3 * WIDTH**-0.5, SHAPES["attend"])
-    p["attend"][:, 2 * WIDTH :] += np.eye(WIDTH, dtype=np.float32)
+    for k in ("query", "key", "value"):
+        p[k][:] = rng.normal(0, 0.3 * WIDTH**-0.5, SHAPES[k])
+    p["value"] += np.eye(*SHAPES["value"], dtype=np.float32)
     p["near"][:] = -0.2 * np.arange(REACH)
     return p
 
 
+Parts = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def parts_of(p: dict[str, np.ndarray], x: np.ndarray) -> Parts:
+    """Query, key and value of embeddings; the value's last column is 1 and adds up weights."""
+    keep = np.eye(WIDTH, dtype=x.dtype)[:, -1:]
+    return x @ (p["query"] * x.dtype.type(WIDTH**-0.5)), x @ p["key"], x @ np.hstack([p["value"], keep])
+
+
 def windows(line: np.ndarray) -> np.ndarray:
     """Overlapping windows over the rows of ``line`` (whole strides), as a view: windows x REACH x columns."""
     step, item = line.strides
     return np.lib.stride_tricks.as_strided(line, (len(line) // STRIDE - 1, REACH, line.shape[1]), (STRIDE * step, step, item), writeable=False)
 
 
-def forward(p: dict[str, np.ndarray], x: np.ndarray, known: np.ndarray) -> dict[str, np.ndarray]:
+def forward(p: dict[str, np.ndarray], parts: Parts, known: np.ndarray) -> dict[str, np.ndarray]:
     """Class scores behind each place of a line but those of its first stride.
 
-    ``x`` are the embeddings of the line's places (or, if three times as wide, their query, key
-    and value); ``known`` the successor log probabilities of the places that ask. Attention
-    scores are kept transposed: places by place that asks.
+    ``parts`` are queries of the places that ask, keys and values of all places; ``known`` are
+    the successor log probabilities of the places that ask. Attention scores are kept
+    transposed: places by place that asks.
     """
-    parts = x if x.shape[1] == 3 * WIDTH else x @ p["attend"]
-    n = len(x) // STRIDE - 1
-    q = parts[STRIDE - 1 : -1, :WIDTH].reshape(n, STRIDE, WIDTH) * x.dtype.type(WIDTH**-0.5)
-    k = windows(np.ascontiguousarray(parts[:, WIDTH : 2 * WIDTH]))
-    v = np.ones((len(x), WIDTH + 1), x.dtype)  # the last column adds up the weights
-    v[:, :WIDTH] = parts[:, 2 * WIDTH :]
-    v = windows(v)
+    q = parts[0].reshape(-1, STRIDE, WIDTH)
+    k, v = windows(parts[1]), windows(parts[2])
     a = k @ np.ascontiguousarray(q.transpose(0, 2, 1))
-    a += p["near"][0][np.maximum(_DISTANCE, 0)] + _MASK
-    largest = a.max()
-    if largest > 60:
+    a += p["near"][0][_BEFORE] + _MASK
+    if a.max() > 60:
         a -= np.maximum(a.max(axis=1, keepdims=True), 0)
     np.exp(a, out=a)
-    o = (a.transpose(0, 2, 1) @ v).reshape(-1, WIDTH + 1)
-    total = o[:, WIDTH:].copy()
+    o = (a.transpose(0, 2, 1) @ v).reshape(-1, WIDTH)
+    total = o[:, -1:].copy()
     o /= total  # its last column is 1 and meets the bias
     scores = o @ p["out"]
     scores += known
@@ -168,30 +181,36 @@ def chances(scores: np.ndarray) -> np.ndarray:
     return scores @ np.ones(CLASSES, scores.dtype)
 
 
+def joined(windowed: np.ndarray) -> np.ndarray:
+    """What overlapping windows hold of each place of the line, added up."""
+    n = len(windowed)
+    flat, cut_ = windowed.reshape(n, -1), STRIDE * WIDTH
+    line = np.zeros((n + 1, cut_), windowed.dtype)
+    line[:-1] = flat[:, :cut_]
+    line[1:, : cut_ - WIDTH] += flat[:, cut_:]
+    return line.reshape(-1, WIDTH)
+
+
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, known: np.ndarray, target: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean loss over the places where ``real``; ``target`` are the next classes."""
-    f = forward(p, x, known)
+    """Of the mean loss over the places where ``real``; ``x`` are the embeddings of a line, ``target`` the next classes."""
+    q, k, v = parts_of(p, x)
+    f = forward(p, (q[STRIDE - 1 : -1], k, v), known)
     d, n = f["scores"], len(x) // STRIDE - 1
-    scale = (real / max(1, int(real.sum()))).astype(d.dtype)
+    scale = real.astype(d.dtype) / d.dtype.type(max(1, np.count_nonzero(real)))
     d *= (scale / chances(d))[:, None]
-    d[np.arange(len(d)), target] -= scale
+    d.reshape(-1)[np.arange(0, d.size, CLASSES) + target] -= scale
     g = {"out": f["o"].T @ d}
     do = d @ p["out"].T
     do /= f["total"]
-    do[:, WIDTH] = -np.einsum("nd,nd->n", do[:, :WIDTH], f["o"][:, :WIDTH])  # meets the ones beside the values
-    do = do.reshape(n, STRIDE, WIDTH + 1)
+    do[:, -1] -= np.einsum("nd,nd->n", do, f["o"])  # meets the ones beside the values
+    do = do.reshape(n, STRIDE, WIDTH)
     da = f["v"] @ np.ascontiguousarray(do.transpose(0, 2, 1))
     da *= f["a"]
-    dv, dk = f["a"] @ do, da @ f["q"]
-    back = np.zeros((len(x), 3 * WIDTH), x.dtype)
-    back[STRIDE - 1 : -1, :WIDTH] = (da.transpose(0, 2, 1) @ f["k"]).reshape(-1, WIDTH) * x.dtype.type(WIDTH**-0.5)
-    for at, part in ((WIDTH, dk), (2 * WIDTH, dv[:, :, :WIDTH])):
-        to = back[:, at : at + WIDTH].reshape(n + 1, STRIDE, WIDTH)
-        to[:-1] += part[:, :STRIDE]
-        to[1:, : STRIDE - 1] += part[:, STRIDE:]
-    g["attend"] = x.T @ back
-    near = da.sum(axis=0)
-    g["near"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), weights=near.ravel(), minlength=REACH)[None]
+    g["value"] = (x.T @ joined(f["a"] @ do))[:, :-1]
+    g["key"] = x.T @ joined(da @ f["q"])
+    g["query"] = x[STRIDE - 1 : -1].T @ (da.transpose(0, 2, 1) @ f["k"]).reshape(-1, WIDTH) * x.dtype.type(WIDTH**-0.5)
+    near = np.ones(n, da.dtype) @ da.reshape(n, -1)
+    g["near"] = np.bincount(_BEFORE.ravel(), weights=near, minlength=REACH).astype(da.dtype)[None]
     return g
 
 
@@ -200,15 +219,17 @@ class Adam:
 
     def __init__(self, rate: float):
         self.rate, self.t = rate, 0
-        self.mean, self.square = ({k: np.zeros(s) for k, s in SHAPES.items()} for _ in range(2))
+        self.mean, self.square = (np.zeros(SIZE, np.float32) for _ in range(2))
 
     def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> None:
         self.t += 1
-        for k in SHAPES:
-            self.mean[k] += 0.1 * (g[k] - self.mean[k])
-            self.square[k] += 0.02 * (g[k] ** 2 - self.square[k])
-            mean, square = self.mean[k] / (1 - 0.9**self.t), self.square[k] / (1 - 0.98**self.t)
-            p[k] -= (self.rate / (1 + self.t / 200) ** 0.5 * mean / (np.sqrt(square) + 1e-8)).astype(np.float32)
+        now = np.concatenate([g[k].ravel() for k in SHAPES])
+        self.mean += np.float32(0.1) * (now - self.mean)
+        self.square += np.float32(0.02) * (now * now - self.square)
+        size = self.rate / (1 + self.t / 200) ** 0.5 * (1 - 0.98**self.t) ** 0.5 / (1 - 0.9**self.t)
+        back = np.float32(size) * self.mean / (np.sqrt(self.square) + np.float32(1e-8))
+        for k, part in unflattened(back).items():
+            p[k] -= part
 
 
 def in_line(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -230,23 +251,26 @@ def batches_of(rows: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray
 
 
 def log_probabilities(
-    p: dict[str, np.ndarray], texts: list[np.ndarray], u: Units, t: Tables, weights: np.ndarray = MIXTURES[-1:], parts: np.ndarray | None = None
+    p: dict[str, np.ndarray], texts: list[np.ndarray], u: Units, t: Tables, weights: np.ndarray = MIXTURES[-1:], parts: Parts | None = None
 ) -> np.ndarray:
     """log10 probability of each text (rows) under the model mixed with the unigram by each weight (columns).
 
     ``parts`` are query, key and value of all input rows, if they are at hand.
     """
     rows, begins = in_line(texts)
-    parts = t.embed @ p["attend"] if parts is None else parts
+    q, k, v = parts_of(p, t.embed) if parts is None else parts
     class_before = np.append(CLASSES, u.class_of)
     line = np.zeros((len(rows), len(weights)))
     for to, part, asking, real in batches_of(rows):
-        scores = forward(p, parts.take(part, axis=0), t.successor.take(asking, axis=0))["scores"]
+        own = q.take(asking, axis=0), k.take(part, axis=0), v.take(part, axis=0)
+        scores = forward(p, own, t.successor.take(asking, axis=0))["scores"]
         ids = np.maximum(part[STRIDE:] - 1, 0)
         target = u.class_of[ids]
         total = chances(scores)
         chance = scores[np.arange(len(scores)), target] / total
-        inside = t.inside[class_before[asking], ids]
+        shared = np.flatnonzero(target >= OWN_CLASS)  # other ids are alone in their class
+        inside = np.zeros(len(ids))
+        inside[shared] = t.inside[class_before[asking[shared]], ids[shared]]
         for j, w in enumerate(weights):
             line[to, j] = (np.log(w * chance + (1 - w) * u.mass[target]) + inside) * real
     return np.add.reduceat(line, begins, axis=0) / np.log(10) if len(texts) else np.zeros((0, len(weights)))
@@ -261,15 +285,15 @@ def train_on(p: dict[str, np.ndarray], texts: list[np.ndarray], u: Units, t: Tab
     return sum(map(len, texts))
 
 
-def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The ids of texts, about LINE at a time."""
+def lines(batches: Iterator[pa.RecordBatch], line: int = LINE) -> Iterator[list[np.ndarray]]:
+    """The ids of texts, about ``line`` at a time."""
     held: list[np.ndarray] = []
     size = 0
     for batch in batches:
         for blob in batch.column("ids"):
             held.append(np.frombuffer(blob.as_buffer(), "<u2"))
             size += len(held[-1])
-            if size >= LINE:
+            if size >= line:
                 yield held
                 held, size = [], 0
     if held:
@@ -385,8 +409,8 @@ def summed(texts: DataFrame, cells: int, places: Callable[[np.ndarray], np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(cells, np.int32)
-        for held in lines(batches):
-            np.add.at(counts, places(in_line(held)[0]), 1)
+        for held in lines(batches, COUNTED):
+            counts += np.bincount(places(in_line(held)[0]), minlength=cells).astype(np.int32)
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found].astype(np.int64))], ["at", "n"])
 
@@ -399,12 +423,15 @@ def summed(texts: DataFrame, cells: int, places: Callable[[np.ndarray], np.ndarr
 def successor_tables(texts: DataFrame, u: Units) -> Tables:
     """Tables from all pairs of neighbours in the texts."""
     first = INPUTS * CLASSES
-    class_before = np.append(CLASSES, u.class_of)
+    class_before = np.append(CLASSES, u.class_of).astype(np.int32)
+    class_of = u.class_of.astype(np.int32)
 
     def places(rows: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(rows[1:]) + 1
-        before, ids = rows[at - 1].astype(np.int64), rows[at].astype(np.int64) - 1
-        return np.append(before * CLASSES + u.class_of[ids], first + class_before[before] * VOCABULARY + ids)
+        before, ids = rows[at - 1], rows[at] - 1
+        target = class_of[ids]
+        shared = target >= OWN_CLASS  # other ids are alone in their class
+        return np.append(before * CLASSES + target, first + class_before[before[shared]] * VOCABULARY + ids[shared])
 
     counts = summed(texts, first + (CLASSES + 1) * VOCABULARY, places)
     return tables(u, counts[:first].reshape(INPUTS, CLASSES), counts[first:].reshape(CLASSES + 1, VOCABULARY))
@@ -432,8 +459,7 @@ def train_round(texts: DataFrame, model: dict[str, np.ndarray], shared: Broadcas
         return model
     flat = np.empty(rows.num_rows, np.float32)
     flat[rows.column("at").to_numpy()] = rows.column("value").to_numpy()
-    cuts = np.cumsum([int(np.prod(s)) for s in SHAPES.values()])[:-1]
-    return {k: part.reshape(SHAPES[k]) for k, part in zip(SHAPES, np.split(flat, cuts))}
+    return unflattened(flat)
 
 
 def judge(texts: DataFrame, model: dict[str, np.ndarray], shared: Broadcast) -> np.ndarray:
@@ -441,7 +467,7 @@ def judge(texts: DataFrame, model: dict[str, np.ndarray], shared: Broadcast) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, t = shared.value
-        parts = t.embed @ model["attend"]
+        parts = parts_of(model, t.embed)
         for held in lines(batches):
             total = log_probabilities(model, held, u, t, MIXTURES, parts).sum(axis=0)
             yield pa.RecordBatch.from_arrays(
@@ -525,7 +551,7 @@ def score_language_model(docs: DataFrame, learn: Column, held_out: Column, id_co
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, t = shared.value
-        parts = t.embed @ model["attend"]
+        parts = parts_of(model, t.embed)
         names = ["doc_id", "rid", "held_out", "n_tokens", "known", "base"]
         for batch in batches:
             sums = [log_probabilities(model, held, u, t, np.array([weight]), parts)[:, 0] for held in lines(iter([batch]))]

@@ -295,24 +295,29 @@ def some_model(seed, dtype=np.float32, of=400):
     successors = rng.poisson(3, (lm_score.INPUTS, lm_score.CLASSES)) * (np.arange(lm_score.INPUTS) <= of)[:, None]
     insides = rng.poisson(2, (lm_score.CLASSES + 1, lm_score.VOCABULARY)) * (counts > 0)
     t = lm_score.tables(u, successors.astype(float), insides.astype(float))
-    t = lm_score.Tables(*(getattr(t, k).astype(dtype) for k in ("embed", "successor", "inside", "axes")))
+    t = lm_score.Tables(*(getattr(t, k).astype(dtype) for k in ("embed", "successor", "inside")))
     p = {k: (v + rng.normal(0, 0.3, v.shape)).astype(dtype) for k, v in lm_score.start().items()}
     return rng, u, t, p
 
 
+def class_scores(p, t, line, known=None):
+    q, k, v = lm_score.parts_of(p, t.embed[line])
+    asking = (line if known is None else known)[lm_score.STRIDE - 1 : -1]
+    return lm_score.forward(p, (q[lm_score.STRIDE - 1 : -1], k, v), t.successor[asking])["scores"]
+
+
 def brute_log10(p, ids, u, t, weight):
     """Token by token, place by place."""
     rows = [0] * lm_score.STRIDE + [i + 1 for i in ids]
-    parts = t.embed.astype(float) @ p["attend"].astype(float)
-    width, total = lm_score.WIDTH, 0.0
+    query, key, value = (t.embed.astype(float) @ p[k].astype(float) for k in ("query", "key", "value"))
+    total = 0.0
     for n, i in enumerate(ids):
         asking = lm_score.STRIDE - 1 + n
         begin = n // lm_score.STRIDE * lm_score.STRIDE
         marks = []
         for place in range(begin, asking + 1):
-            q, k = parts[rows[asking]][:width], parts[rows[place]][width : 2 * width]
-            marks.append(math.exp(q @ k / width**0.5 + p["near"][0][asking - place]))
-        values = [parts[rows[place]][2 * width :] for place in range(begin, asking + 1)]
+            marks.append(math.exp(query[rows[asking]] @ key[rows[place]] / lm_score.WIDTH**0.5 + p["near"][0][asking - place]))
+        values = [value[rows[place]] for place in range(begin, asking + 1)]
         o = sum(m * v for m, v in zip(marks, values)) / sum(marks)
         scores = np.append(o, 1) @ p["out"].astype(float) + t.successor[rows[asking]]
         chance = np.exp(scores) / np.exp(scores).sum()
@@ -336,7 +341,7 @@ def test_probabilities_add_up_to_one():
     assert np.bincount(u.class_of, minlength=lm_score.CLASSES).min() > 0
     inside = np.stack([np.bincount(u.class_of, weights=np.exp(row.astype(float)), minlength=lm_score.CLASSES) for row in t.inside])
     assert np.allclose(inside, 1, atol=1e-3) and np.allclose(np.exp(t.successor.astype(float)).sum(axis=1), 1, atol=1e-4)
-    scores = lm_score.forward(p, t.embed[rng.integers(0, 400, 64)], t.successor[rng.integers(0, 400, 48)])["scores"]
+    scores = class_scores(p, t, rng.integers(0, 400, 64))
     total = lm_score.chances(scores)
     assert np.allclose((scores / total[:, None]).sum(axis=1), 1, atol=1e-4)
     huge = np.full((2, lm_score.CLASSES), 500, np.float32)
@@ -356,7 +361,7 @@ def test_every_token_is_predicted_once_and_attention_is_causal():
     place = 4 * lm_score.STRIDE + 5
     later = line.copy()
     later[place] += 1
-    a, b = (lm_score.forward(p, t.embed[x], t.successor[line[lm_score.STRIDE - 1 : -1]])["scores"] for x in (line, later))
+    a, b = (class_scores(p, t, x, line) for x in (line, later))
     asks = np.arange(lm_score.STRIDE - 1, len(line) - 1)
     changed = np.flatnonzero(~np.isclose(a, b, atol=1e-6).all(axis=1))
     assert asks[changed].min() == place and asks[changed].max() >= place + lm_score.STRIDE  # more than 15 ids of context
@@ -369,7 +374,8 @@ def test_gradients_match_differences():
     target, real = rng.integers(0, lm_score.CLASSES, len(known)), rng.random(len(known)) < 0.8
 
     def loss():
-        s = lm_score.forward(p, x, known)["scores"]
+        q, k, v = lm_score.parts_of(p, x)
+        s = lm_score.forward(p, (q[lm_score.STRIDE - 1 : -1], k, v), known)["scores"]
         return -np.mean((s[np.arange(len(s)), target] - np.log(np.exp(s).sum(axis=1)))[real])
 
     g = lm_score.gradients(p, x, known, target, real)
