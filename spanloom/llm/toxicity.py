@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,20 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "natives", "foreigners"),
     ("deaf", "blind", "disabled"),
 )
-SWAPS = {term: tuple(t for t in group if t != term) for group in IDENTITY_TERMS for term in group}
+#: Terms learned besides: of the LEARNED most frequent words that COMMON of the sampled documents hold
+#: and that go with neither label, those that are each other's nearest by the words around them.
+#: There are no more than one such word for PER_TERM sampled documents of label 1, as each gets a weight.
+LEARNED, COMMON, PER_TERM = 256, 0.02, 20
+
+Swaps = dict[str, tuple[str, ...]]
+
+
+def swaps_of(groups: Iterable[Sequence[str]]) -> Swaps:
+    """For each term the others of its group."""
+    return {term: tuple(t for t in group if t != term) for group in groups for term in group}
+
+
+SWAPS = swaps_of(IDENTITY_TERMS)
 
 #: A document's words: runs of letters, digits and marks.
 WORD = re.compile(r"\w+")
@@ -40,9 +55,9 @@ def bucket(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed features of one lower-case word: itself and its stems; identity terms have no stems."""
-    if word in SWAPS:
+def word_features(word: str, swaps: Swaps = SWAPS) -> list[int]:
+    """Hashed features of one lower-case word: itself and its stems; terms that can be swapped have no stems."""
+    if word in swaps:
         return [bucket(f"={word}")]
     return [bucket(f"={word}"), *(bucket(f"^{word[:n]}") for n in STEMS if len(word) > n)]
 
@@ -51,11 +66,11 @@ def document_words(text: str | None) -> set[str]:
     return set(WORD.findall(text.lower())) if text else set()
 
 
-def swapped(words: set[str]) -> set[str] | None:
-    """The counterfactual: every identity term becomes the next of its group. None without any."""
-    if words.isdisjoint(SWAPS):
+def swapped(words: set[str], swaps: Swaps = SWAPS) -> set[str] | None:
+    """The counterfactual: every term becomes another of its group. None without any."""
+    if words.isdisjoint(swaps):
         return None
-    return {SWAPS[w][zlib.crc32(w.encode()) % len(SWAPS[w])] if w in SWAPS else w for w in words}
+    return {swaps[w][zlib.crc32(w.encode()) % len(swaps[w])] if w in swaps else w for w in words}
 
 
 def lifted(feature: int, times: int) -> int:
@@ -70,8 +85,8 @@ def levels(counts: Counter[int]) -> set[int]:
     return found
 
 
-def feature_set(words: set[str]) -> list[int]:
-    return sorted(levels(Counter(f for word in words for f in word_features(word))))
+def feature_set(words: set[str], swaps: Swaps = SWAPS) -> list[int]:
+    return sorted(levels(Counter(f for word in words for f in word_features(word, swaps))))
 
 
 @dataclass(frozen=True)
@@ -79,6 +94,7 @@ class Model:
     buckets: np.ndarray  # features with a weight, ascending
     weights: np.ndarray
     bias: float
+    swaps: Swaps = field(default_factory=lambda: SWAPS)
 
     def scorer(self) -> "Scorer":
         return Scorer(self)
@@ -91,7 +107,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
-        self.bias = model.bias
+        self.bias, self.swaps = model.bias, model.swaps
         self.seen: dict[str, tuple[int, ...]] = {}
 
     def active(self, word: str) -> tuple[int, ...]:
@@ -100,7 +116,7 @@ class Scorer:
             if len(self.seen) >= self.REMEMBER:
                 self.seen.clear()
             found = self.seen[word] = tuple(
-                f for f in word_features(word) if f in self.weight or any(lifted(f, t) in self.weight for t in SHARED)
+                f for f in word_features(word, self.swaps) if f in self.weight or any(lifted(f, t) in self.weight for t in SHARED)
             )
         return found
 
@@ -117,6 +133,7 @@ def fit(
     documents: list[np.ndarray],
     counterfactuals: list[np.ndarray | None],
     labels: np.ndarray,
+    swaps: Swaps = SWAPS,
     penalty: float = 4.0,
     min_docs: int = 5,
     evidence: float = 16.0,
@@ -129,7 +146,7 @@ def fit(
     squared change of the logit when identity terms are swapped, plus weight decay. A feature
     gets a weight if at least ``min_docs`` of the documents hold it and label 1 is so frequent
     among them that chance would do it once in exp(``evidence``) features (by Chernoff's
-    bound); features of identity terms always do, so that the penalty acts on them.
+    bound); features of terms in ``swaps`` always do, so that the penalty acts on them.
     """
     n = len(labels)
     positive, total = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
@@ -140,10 +157,9 @@ def fit(
     n1 = max(1, int(labels.sum()))
     n0 = max(1, n - n1)
     often = np.flatnonzero(total >= min_docs)
-    base, share = n1 / (n1 + n0), np.clip(positive[often] / total[often], 1e-9, 1 - 1e-9)
-    surprise = total[often] * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
-    telling = (share > base) & (surprise >= evidence)
-    terms = np.unique([bucket(f"={t}") for t in SWAPS])
+    base = n1 / (n1 + n0)
+    telling = (positive[often] > base * total[often]) & (surprise(positive[often], total[often], base) >= evidence)
+    terms = np.unique([bucket(f"={t}") for t in swaps])
     buckets = np.union1d(often[telling], terms[total[terms] > 0])
     place = np.full(BUCKETS, -1, np.int32)
     place[buckets] = np.arange(len(buckets))
@@ -177,7 +193,7 @@ def fit(
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
-    return Model(buckets, w, float(b))
+    return Model(buckets, w, float(b), swaps)
 
 
 def training_ids(labels: DataFrame, per_class: int) -> DataFrame:
@@ -188,9 +204,61 @@ def training_ids(labels: DataFrame, per_class: int) -> DataFrame:
     return cut(picked[0].unionByName(picked[1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Model:
+def surprise(positive: np.ndarray, total: np.ndarray, base: float) -> np.ndarray:
+    """Chernoff's exponent for so many positives among so many draws at the rate ``base``."""
+    share = np.clip(positive / total, 1e-9, 1 - 1e-9)
+    return total * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
+
+
+def learned_groups(sample: DataFrame, evidence: float = 8.0) -> list[tuple[str, str]]:
+    """Pairs of words of the sampled documents (text, toxic) that stand for one another.
+
+    Candidates are frequent words without a link to the label: chance would do what they show
+    more often than once in exp(``evidence``) words. Two of them make a pair if each one's
+    counts beside all other candidates are most like the other's. The driver sees the counts of
+    words that COMMON of the documents hold, and LEARNED x LEARNED counts.
+    """
+    said = map_texts(sample, lambda texts: {"words": [sorted(document_words(t)) for t in texts]}, "words array<string>", carry=["toxic"])
+    n, n1 = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < n1 < n:
+        return []
+    counts = (
+        said.select(F.explode("words").alias("word"), "toxic")
+        .groupBy("word")
+        .agg(F.count("*").alias("n"), F.sum("toxic").alias("n1"))
+        .where(F.col("n") >= max(5, COMMON * n))
+        .toPandas()
+        .sort_values(["n", "word"], ascending=[False, True])
+    )
+    neutral = counts[surprise(counts.n1.to_numpy(), counts.n.to_numpy(), n1 / n) < evidence].head(min(LEARNED, int(n1) // PER_TERM))
+    terms = neutral.word.tolist()
+    place = {word: i for i, word in enumerate(terms)}
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros((len(terms), len(terms)), np.int64)
+        for batch in batches:
+            for words in batch.column("words").to_pylist():
+                own = [place[w] for w in words if w in place]
+                met[np.ix_(own, own)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(met.size)), pa.array(met.ravel())], ["at", "n"])
+
+    rows = said.select("words").mapInArrow(beside, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    met = np.zeros(len(terms) ** 2)
+    met[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+    met = met.reshape(len(terms), len(terms))
+    np.fill_diagonal(met, 0)
+    shape = met / np.maximum(np.sqrt((met**2).sum(axis=1, keepdims=True)), 1e-9)
+    alike = shape @ shape.T
+    np.fill_diagonal(alike, -1)
+    nearest = alike.argmax(axis=1) if len(terms) else np.zeros(0, np.int64)
+    return [(terms[i], terms[j]) for i, j in enumerate(nearest) if i < j and nearest[j] == i]
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, groups: Iterable[Sequence[str]] | None = None, penalty: float = 4.0) -> Model:
     """Fit on the texts of (doc_id, text) that (doc_id, toxic) labels.
 
+    ``groups`` are the terms that may be swapped for one another; by default those of
+    IDENTITY_TERMS and those that the sample itself shows (:func:`learned_groups`).
     ``per_class`` bounds the sample of labelled ids of each class; which ids are in it depends
     on their hash alone. The sample of ids is what is broadcast, so the documents are read
     where they lie and only the sample's features move. An id with both labels counts as
@@ -200,19 +268,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Model:
 
     def features(texts: list[str | None]) -> dict[str, list]:
         words = [document_words(t) for t in texts]
-        others = [swapped(w) for w in words]
+        others = [swapped(w, swaps) for w in words]
         return {
-            "own": [np.array(feature_set(w), np.int32).tobytes() for w in words],
-            "other": [None if o is None else np.array(feature_set(o), np.int32).tobytes() for o in others],
+            "own": [np.array(feature_set(w, swaps), np.int32).tobytes() for w in words],
+            "other": [None if o is None else np.array(feature_set(o, swaps), np.int32).tobytes() for o in others],
         }
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(training_ids(labels, per_class)), "doc_id")
+    # at most 2 x per_class narrow rows are broadcast
+    sample = cut(docs.select("doc_id", "text").join(F.broadcast(training_ids(labels, per_class)), "doc_id"))
+    swaps = swaps_of([*IDENTITY_TERMS, *learned_groups(sample)] if groups is None else groups)
     rows = map_texts(sample, features, "own binary, other binary", carry=["toxic"]).toArrow().sort_by([("doc_id", "ascending")])
     if not rows.num_rows:
-        return Model(np.zeros(0, np.int64), np.zeros(0), -2.0)
+        return Model(np.zeros(0, np.int64), np.zeros(0), -2.0, swaps)
     own = [np.frombuffer(b.as_buffer(), np.int32) for b in rows.column("own")]
     other = [np.frombuffer(b.as_buffer(), np.int32) if b.is_valid else None for b in rows.column("other")]
-    return fit(own, other, rows.column("toxic").to_numpy().astype(np.int64))
+    return fit(own, other, rows.column("toxic").to_numpy().astype(np.int64), swaps, penalty)
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:

@@ -212,6 +212,39 @@ def test_the_penalty_takes_weight_from_identity_terms():
     assert weight[20.0] < 0.5 * weight[0.0] and neutral < 0.5
 
 
+def test_scores_are_the_sum_of_a_texts_features(make, spark):
+    rng = random.Random(12)
+    plain = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(60)]
+    bad = ["vile" + w for w in plain[:6]]
+    rows = [(i, " ".join(rng.choices(plain, k=30) + (rng.choices(bad, k=3) if i % 3 == 0 else []))) for i in range(150)]
+    model = toxicity.train(make(rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    values = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    texts = [t for _, t in rows] + ["", "vileabc VILEdef, vile", "x " * 3000]
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(make(list(enumerate(texts))), model).collect()}
+    for i, text in enumerate(texts):
+        counts = Counter(f for w in set(re.findall(r"\w+", text.lower())) for f in toxicity.word_features(w, model.swaps))
+        held = set(counts) | {toxicity.lifted(f, k) for f, n in counts.items() for k in (2, 4) if n >= k}
+        assert math.isclose(got[i], 1 / (1 + math.exp(-max(-30, min(30, model.bias + sum(values.get(f, 0.0) for f in held))))), abs_tol=1e-9)
+
+
+def test_words_that_stand_for_one_another_are_learned(make, spark):
+    """Two colours stand beside the same words, two beasts beside others; what goes with the label is no term."""
+    rng = random.Random(13)
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        if i % 2:
+            words = [rng.choice(["red", "blue"]), *rng.sample(["paint", "wall", "brush", "door"], 3)]
+        else:
+            words = [rng.choice(["cat", "dog"]), *rng.sample(["tail", "fur", "paw", "bark"], 3)]
+        rows.append((i, " ".join(words + ["awful"] * toxic)))
+        labels.append((i, int(toxic)))
+    sample = make(rows).select("doc_id", "text").join(spark.createDataFrame(labels, "doc_id long, toxic int"), "doc_id")
+    pairs = {frozenset(p) for p in toxicity.learned_groups(sample)}
+    assert {frozenset(("red", "blue")), frozenset(("cat", "dog"))} <= pairs and not any("awful" in p for p in pairs)
+    assert toxicity.learned_groups(sample.limit(0)) == [] and toxicity.learned_groups(sample.where("toxic = 0")) == []
+
+
 def test_toxicity_edges(make, spark):
     prior = toxicity.train(make([]), spark.createDataFrame([], "doc_id long, toxic int"))
     out = toxicity.score_toxicity(make([(1, None), (2, ""), (None, "x"), (2, "")]).withColumn("score", F.lit(9)), prior).collect()
