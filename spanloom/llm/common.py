@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, shared_folder
 
-__all__ = ["ascii_lower", "cut", "fold", "map_texts", "shared_folder", "slices", "small", "table"]
+__all__ = ["ascii_lower", "cut", "fold", "map_texts", "shared_folder", "slices", "small", "table", "with_texts"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -45,6 +45,22 @@ def ascii_lower(col: Column) -> Column:
 
 
 
+#: Rows of a batch of texts between Spark and Python, at most.
+BATCH_ROWS = 2000
+
+
+def with_texts(df: DataFrame) -> DataFrame:
+    """``df``, for a function over Arrow batches of whole texts: its session's batches get BATCH_ROWS rows at most.
+
+    Spark counts a batch by rows alone, and its default of 10,000 texts is much for an
+    executor that holds two batches of each task, in the JVM and in Python.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Parts of a batch that hold about ``size`` bytes of ``column`` each, one row at least; none of an empty batch."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -85,7 +101,7 @@ def map_texts(
                 made = work(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(_array(made[n]) for n in names)], [*shown, *names])
 
-    return source.mapInArrow(run, f"{head}, {schema}")
+    return with_texts(source).mapInArrow(run, f"{head}, {schema}")
 
 
 def _array(values: Sequence) -> pa.Array:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, small
+from .common import cut, slices, small, with_texts
 from .components import connected_components
 from .hashing import factors, hashed_words, mix, shingles
 
@@ -84,7 +84,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
         yield counted()
 
     rows = (
-        docs.select("text")
+        with_texts(docs.select("text"))
         .mapInArrow(run, "shingle long, n long")
         .groupBy("shingle")
         .agg(F.sum("n").alias("n"))
@@ -139,7 +139,7 @@ def profiles(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, cls long, typical double, heads array<long>, prefix array<long>")
+    return with_texts(docs).mapInArrow(run, f"doc_id {kind}, n long, cls long, typical double, heads array<long>, prefix array<long>")
 
 
 def overlap_counts(sets: pa.Table, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

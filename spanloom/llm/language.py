@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, slices, with_texts
 
 #: Character n-grams are hashed into this many cells.
 CELLS = 1 << 15
@@ -102,8 +102,8 @@ def train(labelled: DataFrame) -> LanguageModel:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+        for part in (part for batch in batches for part in slices(batch, "text")):
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
                 own = tables.setdefault(lang, np.zeros(CELLS, np.int64))
                 cells = grams(text)
                 if len(cells) > CELLS // 4:
@@ -118,7 +118,7 @@ def train(labelled: DataFrame) -> LanguageModel:
             )
 
     rows = (
-        labelled.select("lang", "text")
+        with_texts(labelled.select("lang", "text"))
         .where(F.col("lang").isNotNull() & F.col("text").isNotNull())
         .mapInArrow(count, "lang string, cell int, n long")
         .groupBy("lang", "cell")

@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, with_texts
 from .hashing import hashed_words
 from .subword import encoder
 
@@ -326,7 +326,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     held, size = [], 0
         yield counted()
 
-    return texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return with_texts(texts.select("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def head_of(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -397,7 +397,7 @@ def read_once(docs: DataFrame, head: tuple[np.ndarray, np.ndarray], total: int,
                 done += n
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(
+    return with_texts(docs).mapInArrow(
         run,
         f"doc_id {kind}, rid long, learn boolean, held_out boolean, n_tokens long, known long, base double, "
         "rare array<long>, times array<long>, ids binary",

@@ -14,8 +14,8 @@ import tiktoken
 
 from .hashing import BLANK, chunks, words_of
 
-#: Words that a Python worker remembers the ids of, at most.
-REMEMBER = 1 << 20
+#: Words that a Python worker remembers the ids of, at most; of too many the half used most stays.
+REMEMBER = 1 << 19
 _BLANK, _FEED = 0x20, 0x0A
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -70,14 +70,23 @@ class Encoder:
         self.same, self.remember = _LOWER if lower else _AS_IS, remember
         self.forget()
 
-    def forget(self) -> None:
-        self.keys, self.starts, self.sizes, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+    def forget(self, keep: int = 0) -> None:
+        """Forget all words but the ``keep`` ones used most."""
+        if not keep:
+            self.keys, self.starts, self.sizes, self.used = np.zeros(0, np.uint64), *(np.zeros(0, np.int32) for _ in range(3))
+            self.pool = np.zeros(0, np.uint16)
+            return
+        kept = np.sort(np.argsort(-self.used, kind="stable")[:keep])
+        starts, sizes = self.starts[kept], self.sizes[kept]
+        begins = (np.cumsum(sizes) - sizes).astype(np.int32)
+        self.pool = self.pool[np.repeat(starts - begins, sizes) + np.arange(sizes.sum())]
+        self.keys, self.starts, self.sizes, self.used = self.keys[kept], begins, sizes, self.used[kept] // 2
 
     def learn(self, keys: np.ndarray, kinds: np.ndarray, words: list[bytes]) -> None:
         """Remember the ids of words (bytes): words of one kind are encoded as one text and cut where words begin."""
         if len(self.keys) + len(keys) > self.remember:
-            self.forget()
-        starts, sizes, pools = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), [self.pool]
+            self.forget(min(self.remember // 2, len(self.keys)))
+        starts, sizes, pools = np.zeros(len(keys), np.int32), np.zeros(len(keys), np.int32), [self.pool]
         at = len(self.pool)
         for kind in (_BEHIND, _START, _NEXT_LINE):
             own = np.flatnonzero(kinds == kind)
@@ -92,7 +101,9 @@ class Encoder:
             pools.append(ids)
             at += len(ids)
         order = np.argsort(np.append(self.keys, keys), kind="stable")
-        self.keys, self.starts, self.sizes = (np.append(a, b)[order] for a, b in ((self.keys, keys), (self.starts, starts), (self.sizes, sizes)))
+        new = (keys, starts, sizes, np.zeros(len(keys), np.int32))
+        old = (self.keys, self.starts, self.sizes, self.used)
+        self.keys, self.starts, self.sizes, self.used = (np.append(a, b)[order] for a, b in zip(old, new))
         self.pool = np.concatenate(pools)
 
     def __call__(self, texts: pa.Array) -> Iterator[Encoded]:
@@ -122,8 +133,10 @@ class Encoder:
                 lost = np.flatnonzero((at < 0) & usual)
                 self.learn(keys[lost], kinds[place[lost]], [whole[b:e] for b, e in zip(begins[place[lost]].tolist(), ends[place[lost]].tolist())])
                 at = self.find(keys)
-        size = np.where(at >= 0, self.sizes[at] if len(self.keys) else 0, 0)
-        start = np.where(at >= 0, self.starts[at] if len(self.keys) else 0, 0)
+        size, start = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        there = at >= 0
+        size[there], start[there] = self.sizes[at[there]], self.starts[at[there]]
+        self.used[at[there]] += 1
         words = size[inverse]
         words[odd[text_of]] = 0
         so_far = np.append(0, np.cumsum(words))
