@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..plans.lineage import cut, shared_folder
 
@@ -90,8 +91,9 @@ def map_texts(
     shown = ["doc_id", *carry]
     source = docs.select(F.col(f"`{id_col}`").alias("c0"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry, 1)), F.col(f"`{text_col}`").alias("text"))
     kept = [f"c{i}" for i in range(len(shown))]
-    head = ", ".join(f"`{c}` {source.schema[k].dataType.simpleString()}" for c, k in zip(shown, kept))
-    names = [field.split()[0] for field in schema.replace("<", " <").split(", ")]
+    made_here = StructType.fromDDL(schema)
+    names = made_here.names
+    carried = [StructField(c, source.schema[k].dataType) for c, k in zip(shown, kept)]
     if len({*shown, *names}) < len(shown) + len(names):
         raise ValueError(f"a carried column has the name of a result column: {shown}, {names}")
 
@@ -101,7 +103,7 @@ def map_texts(
                 made = work(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(_array(made[n]) for n in names)], [*shown, *names])
 
-    return with_texts(source).mapInArrow(run, f"{head}, {schema}")
+    return with_texts(source).mapInArrow(run, StructType([*carried, *made_here.fields]))
 
 
 def _array(values: Sequence) -> pa.Array:
