@@ -112,7 +112,8 @@ def top_k(
     tile = F.xxhash64("vec_id")
 
     def dealt(rows: DataFrame, own: int, others: int, first: bool) -> DataFrame:
-        mine, each = F.pmod(tile, F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        # one type on both sides: rows of equal numbers of different types go to different tasks
+        mine, each = F.pmod(tile, F.lit(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
         return rows.select(*((mine.alias("qt"), each.alias("vt")) if first else (each.alias("qt"), mine.alias("vt"))), "vec_id", "v")
 
     # tiles are much work for few bytes, so their number says into how many tasks they go

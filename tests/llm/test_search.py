@@ -43,6 +43,21 @@ def test_top_k_with_ties_and_odd_rows(spark, monkeypatch):
     assert topk.top_k(few, F.col("vec_id") % 20 == 0).count() == 1
 
 
+def test_top_k_over_many_tasks(spark, monkeypatch):
+    """Both sides of a tile meet where Spark doesn't merge small partitions."""
+    monkeypatch.setattr(topk, "TILE_VECTORS", 40)
+    monkeypatch.setattr(topk, "TILE_QUERIES", 6)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 5)]) for i in range(260)]
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=20)
+        assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute_top(rows, 20)
+    finally:
+        spark.conf.unset(name)
+
+
 def test_reading_stops_early_and_loses_nothing():
     rng = np.random.default_rng(4)
     vectors = rng.integers(-40, 40, (4000, 8)).astype(np.float64)
