@@ -31,6 +31,8 @@ IDENTITY_TERMS = (
 #: and that go with neither label, those that are each other's nearest by the words around them.
 #: There are no more than one such word for PER_TERM sampled documents of label 1, as each gets a weight.
 LEARNED, COMMON, PER_TERM = 256, 0.02, 20
+#: Tasks that count which of these words stand beside which.
+COUNTERS = 4
 
 Swaps = dict[str, tuple[str, ...]]
 
@@ -242,7 +244,8 @@ def learned_groups(sample: DataFrame, evidence: float = 8.0) -> list[tuple[str,
                 met[np.ix_(own, own)] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(met.size)), pa.array(met.ravel())], ["at", "n"])
 
-    rows = said.select("words").mapInArrow(beside, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    # the sample is bounded, so a few tasks count it, and the cells of each are few rows
+    rows = said.select("words").coalesce(COUNTERS).mapInArrow(beside, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     met = np.zeros(len(terms) ** 2)
     met[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
     met = met.reshape(len(terms), len(terms))
