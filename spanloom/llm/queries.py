@@ -14,6 +14,7 @@ from .line_dedup import line_dedup
 from .lm_score import score_language_model
 from .packing import pack
 from .secrets import scan_secrets
+from .token_counts import count_tokens
 from .topk import top_k
 
 
@@ -78,6 +79,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_language_model(table(spark, sf_dir, "documents"), learn=fold() != 1, held_out=fold() == 1)
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_topk_search": op2_topk_search,
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
     "op10_lm_score": op10_lm_score,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE = {
