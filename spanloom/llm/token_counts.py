@@ -177,29 +177,41 @@ class Transducer:
         body = lanes(begin, np.minimum(begin + CHUNK, bounds[part + 1]), CHUNK)
         leave, tokens = self.run(entry, body)
         entry, leave, tokens = entry[:, None], leave[:, None], tokens[:, None]
+        reach = 1
         while True:
-            missing = [(i, s) for k in range(leave.shape[1]) for i, s in self._unmet(entry, leave[:, k], nth)]
-            if not missing:
+            lane, state = self._unmet(entry, leave, nth, reach)
+            if not len(lane):
                 break
-            lane, state = map(np.array, zip(*dict.fromkeys(missing)))
             out, added = self.run(state, body[:, lane])
-            # one more entry of each map; maps that need none repeat their first one
-            for i in range(int(np.bincount(lane).max())):
-                more = [entry[:, 0].copy(), leave[:, 0].copy(), tokens[:, 0].copy()]
-                own = np.array([np.flatnonzero(lane == x)[i] for x in np.unique(lane) if (lane == x).sum() > i])
-                for column, values in zip(more, (state, out, added)):
-                    column[lane[own]] = values[own]
-                entry, leave, tokens = (np.column_stack([a, b]) for a, b in zip((entry, leave, tokens), more))
+            # a column for each state that a map gets; maps that get fewer repeat their first entry
+            column = np.arange(len(lane)) - np.searchsorted(lane, lane)
+            more = [np.repeat(x[:, :1], column.max() + 1, axis=1) for x in (entry, leave, tokens)]
+            for wide, values in zip(more, (state, out, added)):
+                wide[lane, column] = values
+            entry, leave, tokens = (np.column_stack([x, y]) for x, y in zip((entry, leave, tokens), more))
+            reach *= 2
         leave, tokens = scan(entry, leave, tokens, nth)
         last = first + n - 1
         return tokens[last, 0], [self.keys[s] for s in leave[last, 0]]
 
     @staticmethod
-    def _unmet(entry: np.ndarray, leave: np.ndarray, nth: np.ndarray) -> list[tuple[int, int]]:
-        """(chunk, state) where the chunk before leaves a state that the chunk's map lacks."""
+    def _unmet(entry: np.ndarray, leave: np.ndarray, nth: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks in order, and states that their maps lack, though the chunk before leaves them.
+
+        A state that a map lacks goes to so many maps (``reach``) from there on, as what repeats itself
+        (one letter, one pattern) leaves each chunk in other states than those that were guessed.
+        """
         at = np.flatnonzero(nth)
-        lost = at[(entry[at] != leave[at - 1][:, None]).all(axis=1)]
-        return list(zip(lost.tolist(), leave[lost - 1].tolist()))
+        lost = [at[(entry[at] != leave[at - 1, k][:, None]).all(axis=1)] for k in range(leave.shape[1])]
+        pairs = np.unique(np.concatenate([np.stack([i, leave[i - 1, k]], axis=1) for k, i in enumerate(lost)]), axis=0)
+        lane = (pairs[:, :1] + np.arange(reach)).reshape(-1)
+        state = np.repeat(pairs[:, 1], reach)
+        begun = np.repeat(pairs[:, 0] - nth[pairs[:, 0]], reach)
+        inside = np.flatnonzero(lane < len(nth))
+        inside = inside[lane[inside] - nth[lane[inside]] == begun[inside]]
+        lane, state = lane[inside], state[inside]
+        new = (entry[lane] != state[:, None]).all(axis=1)
+        return tuple(np.unique(np.stack([lane[new], state[new]], axis=1), axis=0).T)
 
     def parts(self, codes: np.ndarray, bounds: np.ndarray, entries: Sequence[tuple]) -> tuple[np.ndarray, list[tuple]]:
         """As :meth:`segment`, in smaller portions where the states would be too many."""

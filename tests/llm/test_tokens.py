@@ -64,6 +64,17 @@ def test_wrong_guesses_of_entry_states_are_met(library, monkeypatch):
     assert tiny.count(texts).tolist() == wanted(library, texts)
 
 
+def test_repetitions_need_few_rounds(library, compiled, monkeypatch):
+    """Each chunk is left in another state than the look back makes expect, over hundreds of chunks."""
+    rounds = []
+    run = Transducer.run
+    monkeypatch.setattr(Transducer, "run", lambda self, entry, kinds: rounds.append(1) or run(self, entry, kinds))
+    for text in ("a" * 100_001, " " * 70_003, "-" * 50_000, "ab" * 40_000, "xyzxyzx" * 9000):
+        rounds.clear()
+        assert compiled.count([text]).tolist() == [len(library.encode(text))]
+        assert len(rounds) < 30
+
+
 def test_maps_compose_by_a_scan():
     """Three entries for each map: composed along each part, all sums are those of a walk."""
     rng = np.random.default_rng(0)
