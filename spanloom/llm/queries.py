@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from . import language, toxicity
 from .chat_format import format_preferences
-from .common import fold, table
+from .common import ascii_lower, fold, table
 from .decontaminate import find_leaks
 from .jaccard import jaccard_components
 from .line_dedup import line_dedup
 from .lm_score import score_language_model
+from .merkle import merkle_manifest, proof_text, row_digest
 from .packing import pack
 from .secrets import scan_secrets
 from .token_counts import count_tokens
@@ -79,6 +80,16 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_language_model(table(spark, sf_dir, "documents"), learn=fold() != 1, held_out=fold() == 1)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 5 divides the id's crc32, what is claimed is the row with its text's A-Z lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    names = ["doc_id", "source", "lang", "n_chars"]
+    claimed = F.when(fold() == 0, row_digest([*(F.col(n) for n in names), ascii_lower(F.col("text"))]))
+    manifest = merkle_manifest(docs, [*(F.col(n) for n in names), F.col("text")], F.col("source"), claimed=claimed)
+    proof = F.sha2(proof_text(F.col("lefts"), F.col("rights")), 256)
+    return manifest.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified", "position")
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -94,9 +105,65 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
     "op10_lm_score": op10_lm_score,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_token_counts": op13_token_counts,
 }
 
+#: CTE with one list ``crc``: the 256 entries of the reflected CRC-32 table; and the checksum of an ASCII text.
+_CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"""
+
+
+def _crc(text: str) -> str:
+    """SQL: unsigned crc32 of an ASCII text's bytes, beside the CTE ``crc``."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """Trees of up to 16 ** levels leaves: each level grouped from the one below, siblings and folds level by level."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    row = lambda text: f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+    def tree(name: str, base: str) -> list[str]:
+        """CTEs ``name``0 to ``name``N of (g, p, h) and ``name``top; ``base`` gives g, p, h."""
+        out = [f"{name}0 AS ({base})"]
+        for k in range(levels):
+            grow = f"SELECT g, p // 16 AS p, sha256(string_agg(h, '' ORDER BY p)) AS h FROM {name}{k} WHERE g IN (SELECT g FROM {name}{k} WHERE p > 0) GROUP BY g, p // 16"
+            out.append(f"{name}{k + 1} AS ({grow})")
+        tops = " UNION ALL ".join(f"SELECT g, h FROM {name}{k} WHERE g NOT IN (SELECT g FROM {name}{k} WHERE p > 0)" for k in range(levels + 1))
+        return [*out, f"{name}top AS ({tops})"]
+
+    def fold(name: str, start: str, sign: str) -> list[str]:
+        """CTEs from ``start`` (doc_id, g, p, f, proof) up the tree ``name``: ``sign`` 0 to N."""
+        out = [f"{sign}0 AS ({start})"]
+        for k in range(levels):
+            near = f"s.g = f.g AND s.p // 16 = f.p // 16 AND s.g IN (SELECT g FROM {name}{k + 1})"
+            side = lambda test: f"coalesce(string_agg(s.h, '' ORDER BY s.p) FILTER (s.p {test} f.p), '')"
+            folded = f"CASE WHEN count(s.p) = 0 THEN f.f ELSE sha256({side('<')} || f.f || {side('>')}) END"
+            out.append(
+                f"{sign}{k + 1} AS (SELECT doc_id, f.g, f.p // 16 AS p, {folded} AS f, f.proof || {side('<>')} AS proof "
+                f"FROM {sign}{k} f LEFT JOIN {name}{k} s ON {near} GROUP BY doc_id, f.g, f.p, f.f, f.proof)"
+            )
+        return out
+
+    parts = [
+        _CRC_TABLE,
+        f"d AS (SELECT doc_id, coalesce('s' || source, 'n') AS g, {row('text')} AS leaf, "
+        f"CASE WHEN {_crc('doc_id::VARCHAR')} % 5 = 0 THEN {row(low)} ELSE {row('text')} END AS bad FROM documents, crc)",
+        "l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS p FROM d)",
+        *tree("a", "SELECT g, p, leaf AS h FROM l"),
+        *tree("b", "SELECT 0 AS g, row_number() OVER (ORDER BY g) - 1 AS p, h FROM atop"),
+        *fold("a", "SELECT doc_id, g, p, bad AS f, '' AS proof FROM l", "x"),
+        *fold("b", f"SELECT doc_id, 0 AS g, o.p, f, proof FROM x{levels} JOIN (SELECT g, row_number() OVER (ORDER BY g) - 1 AS p FROM atop) o USING (g)", "y"),
+    ]
+    return (
+        f"WITH {', '.join(parts)} SELECT doc_id, leaf, t.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.h AS verified, l.p AS position "
+        f"FROM l JOIN atop t USING (g) JOIN y{levels} USING (doc_id) CROSS JOIN btop r"
+    )
+
+
 ORACLE = {
     "op1_line_dedup": r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
@@ -143,4 +210,5 @@ SELECT pair_id, part, turn, said.role AS role,
        (length(said.role) + 5)::INTEGER AS body_start, (length(said.role) + 5 + length(said.text))::INTEGER AS body_end,
        (CASE WHEN part <> 'prompt' AND said.role = 'assistant' THEN 1 ELSE 0 END)::INTEGER AS loss
 FROM p""",
+    "op12_merkle_manifest": _merkle_sql(),
 }
