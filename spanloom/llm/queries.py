@@ -15,6 +15,7 @@ from .lm_score import score_language_model
 from .merkle import merkle_manifest, proof_text, row_digest
 from .packing import pack
 from .secrets import scan_secrets
+from .spelling import spelling_variants
 from .token_counts import count_tokens
 from .topk import top_k
 
@@ -80,6 +81,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_language_model(table(spark, sf_dir, "documents"), learn=fold() != 1, held_out=fold() == 1)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), drop_every=199)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where 5 divides the id's crc32, what is claimed is the row with its text's A-Z lower-cased."""
     docs = table(spark, sf_dir, "documents")
@@ -105,6 +110,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
     "op10_lm_score": op10_lm_score,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_token_counts": op13_token_counts,
 }
@@ -115,8 +121,8 @@ _CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_re
 
 
 def _crc(text: str) -> str:
-    """SQL: unsigned crc32 of an ASCII text's bytes, beside the CTE ``crc``."""
-    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    """SQL: unsigned crc32 of a text's UTF-8 bytes, beside the CTE ``crc``."""
+    codes = f"list_transform(range(1, strlen({text}) * 2, 2), lambda i: ('0x' || substr(hex(encode({text})), i, 2))::BIGINT)"
     return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
@@ -210,5 +216,24 @@ SELECT pair_id, part, turn, said.role AS role,
        (length(said.role) + 5)::INTEGER AS body_start, (length(said.role) + 5 + length(said.text))::INTEGER AS body_end,
        (CASE WHEN part <> 'prompt' AND said.role = 'assistant' THEN 1 ELSE 0 END)::INTEGER AS loss
 FROM p""",
+    # levenshtein() goes by bytes: U+00C0 to U+00FF become ! to ` first
+    "op11_spelling_variants": f"""
+WITH RECURSIVE {_CRC_TABLE},
+t AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+o AS (SELECT id, run, count(*) AS k FROM t WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, k, {_crc("id || run")} AS h FROM o, crc),
+r AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, k FROM h),
+v AS (SELECT word, sum(k)::BIGINT AS n, length(word) AS l, translate(word, '{"".join(map(chr, range(0xC0, 0x100)))}', '{"".join(map(chr, range(33, 97))).replace("'", "''")}') AS s
+      FROM r WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM v a JOIN v b ON b.l = a.l AND a.word <> b.word WHERE levenshtein(a.s, b.s) = 1
+      UNION ALL SELECT a.word, b.word, b.n FROM v a JOIN v b ON b.l = a.l + 1 WHERE levenshtein(a.s, b.s) = 1
+      UNION ALL SELECT a.word, b.word, b.n FROM v a JOIN v b ON b.l = a.l - 1 WHERE levenshtein(a.s, b.s) = 1),
+m AS (SELECT word, count(*)::BIGINT AS n_near, min({{'x': -near_n, 'w': near}}) AS best FROM p GROUP BY word),
+f AS (SELECT v.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.x >= 5 * n THEN best.w END AS form,
+             CASE WHEN -best.x >= 5 * n THEN -best.x END AS form_n FROM v LEFT JOIN m USING (word)),
+c AS (SELECT word, word AS root, 0 AS depth FROM f UNION ALL SELECT c.word, f.form, depth + 1 FROM c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL),
+z AS (SELECT word, max_by(root, depth) AS root FROM c GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN z USING (word)""",
     "op12_merkle_manifest": _merkle_sql(),
 }
