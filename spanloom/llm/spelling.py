@@ -327,13 +327,16 @@ def near_words(words: DataFrame, cell: int = CELL, crowd: int = CROWD) -> DataFr
     """
     rows = words.select("word", "n", F.char_length("word").alias("length"), F.pmod(F.xxhash64("word"), F.lit(1 << 40)).alias("salt"))
     trees = outer_trees(rows, cell)
-    counted = rows.mapInPandas(dealer(trees, {}), _DEALT).groupBy("target", "cell").agg(F.count_if("own").alias("own"), F.count_if(~F.col("own")).alias("asked"))
+    dealt = cut(rows.mapInPandas(dealer(trees, {}), _DEALT))
+    counted = dealt.groupBy("target", "cell").agg(F.count_if("own").alias("own"), F.count_if(~F.col("own")).alias("asked"))
     room = F.greatest(F.lit(1), F.col("target") / LONG)
     slots = counted.select(
         "target", "cell", F.ceil(F.col("own") * room / (2 * cell)).alias("across"), F.ceil(F.col("asked") * room / (2 * crowd)).alias("crowd")
     )
     large = {(r["target"], r["cell"]): (max(1, r["across"]), max(1, r["crowd"])) for r in slots.where("across > 1 OR crowd > 1").collect()}
-    found = rows.mapInPandas(dealer(trees, large), _DEALT).groupBy("target", "cell", "part").applyInPandas(cell_pairs(large), "word string, n_near long, form_n long, form string")
+    if large:
+        dealt = rows.mapInPandas(dealer(trees, large), _DEALT)
+    found = dealt.groupBy("target", "cell", "part").applyInPandas(cell_pairs(large), "word string, n_near long, form_n long, form string")
     best = F.min(F.struct((-F.col("form_n")).alias("minus"), F.col("form").alias("form"))).alias("best")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best).select("word", "n_near", (-F.col("best.minus")).alias("form_n"), F.col("best.form").alias("form"))
 
