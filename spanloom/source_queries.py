@@ -99,6 +99,44 @@ def xpath_paths(spark, sf):
     return resolve.resolve_xpath(wanted, nodes).select(F.col("property_shape_iri").cast("long").alias("s_suppkey"), "status")
 
 
+# ---------------------------------------------------------------- schemas
+
+
+def part_schemas(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_uri, content): a schema for each brand with a complex type for each of its parts.
+
+    A type holds an element E; two of them; an element inside a foreign element; or one inside a
+    foreign element and one inside an element of the same local name without a namespace.
+    """
+    key, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 4
+    element = F.concat(F.lit('<xs:element name="E'), key, F.lit('" type="xs:string"/>'))
+    noted = lambda *inner: F.concat(F.lit("<xs:annotation><xs:appinfo>"), *inner, F.lit("</xs:appinfo></xs:annotation>"))
+    foreign = [F.lit('<f:w xmlns:f="urn:f">'), element, F.lit("</f:w>")]
+    listed = lambda *inner: F.concat(F.lit("<xs:sequence>"), *inner, F.lit("</xs:sequence>"))
+    body = F.when(k == 0, listed(element)).when(k == 1, listed(element, element)).when(k == 2, noted(*foreign)).otherwise(noted(*foreign, F.lit("<w>"), element, F.lit("</w>")))
+    item = F.concat(F.lit('<xs:complexType name="T'), key, F.lit('">'), body, F.lit("</xs:complexType>"))
+    types = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("xml")))), lambda x: x["xml"]), "")
+    text = F.concat(F.lit('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" targetNamespace="urn:parts">'), types, F.lit("</xs:schema>"))
+    return table(spark, sf, "part").groupBy(F.col("p_brand").alias("doc_uri")).agg(text.cast("binary").alias("content"))
+
+
+_TYPE = "'/xs:schema/xs:complexType[@name=''T' || p_partkey || ''']'"
+
+
+@query(
+    "q_schema_candidates",
+    f"""WITH t AS (SELECT p_brand AS doc_uri, p_partkey AS k, {_TYPE} AS base, 'E' || p_partkey AS e FROM part)
+SELECT doc_uri, 'complexType' AS tag, 'T' || k AS name, base AS xpath, 1 AS matches, true AS finds_itself FROM t
+UNION ALL SELECT doc_uri, 'element', e, base || '/xs:sequence/xs:element[@name=''' || e || ''']', k % 4 + 1, k % 4 = 0 FROM t, range(2) r(c) WHERE k % 4 IN (0, 1) AND c <= k % 4
+UNION ALL SELECT doc_uri, 'element', e, base || '/xs:annotation/xs:appinfo/w/xs:element[@name=''' || e || ''']', CASE WHEN k % 4 = 3 THEN 1 ELSE 0 END, c = 1
+FROM t, range(2) r(c) WHERE k % 4 = 2 AND c = 0 OR k % 4 = 3""",
+)
+def schema_candidates(spark, sf):
+    """Every named construct with its path, how many nodes that finds, and whether it is its own; kinds three and four tell these apart."""
+    nodes = cut(parse_documents(part_schemas(spark, sf)))
+    return schemas.minted_paths(nodes).select("doc_uri", "tag", "name", "xpath", "matches", "finds_itself")
+
+
 # ---------------------------------------------------------------- page regions
 
 
