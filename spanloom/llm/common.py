@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
 from ..plans.lineage import cut, shared_folder
 
@@ -25,12 +25,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has ``rows`` rows at most, else as it is.
+def small(df: DataFrame, megabytes: int = 32) -> DataFrame:
+    """``df`` with a broadcast hint if its values take so many megabytes at most, else as it is.
 
-    For narrow tables that have been cut; beyond the bound Spark joins by shuffling.
+    For tables that have been cut: all values are measured, lists and texts by their lengths.
+    Beyond the bound Spark joins by shuffling.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+    def width(field: StructField) -> Column:
+        col = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, ArrayType):
+            return F.coalesce(F.size(col), F.lit(0)) * 8 + 32
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 16 if isinstance(field.dataType, (StringType, BinaryType)) else F.lit(16)
+
+    total = df.agg(F.sum(sum((width(f) for f in df.schema), F.lit(16)).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= megabytes << 20 else df
 
 
 def fold(doc_id: str | Column = "doc_id") -> Column:

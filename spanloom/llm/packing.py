@@ -87,6 +87,8 @@ def priced(duals: np.ndarray, widths: np.ndarray, room: int) -> tuple[float, np.
 
 #: How far the duals that price patterns stay with the best ones so far.
 STEADY = 0.5
+#: Simplex steps without gain after which the rule against circles holds.
+STALL = 100
 
 
 def column_generation(demand: dict[int, int], room: int) -> list[tuple[dict[int, int], float]]:
@@ -97,7 +99,8 @@ def column_generation(demand: dict[int, int], room: int) -> list[tuple[dict[int,
     far, price new patterns; those worth more than the sequence they take enter by simplex steps.
     The program is done when no pattern is worth more than a sequence, or when its value
     rounds up to the same whole number as a lower bound: the area, or the value over the
-    largest worth. Either is a proof that no better patterns would save a sequence.
+    largest worth. Either is a proof that no better patterns would save a sequence. After STALL
+    simplex steps without gain the pattern met first enters and leaves (Bland's rule), so steps can't go in circles.
     """
     widths = np.array(sorted(demand))
     need = np.array([demand[w] for w in widths], dtype=np.float64)
@@ -106,6 +109,9 @@ def column_generation(demand: dict[int, int], room: int) -> list[tuple[dict[int,
     amount = inverse @ need
     lower = float(widths @ need) / room
     steady, pool, bound = None, np.zeros((0, len(widths))), -np.inf
+    names: dict[bytes, int] = {}  # patterns are numbered as they are met
+    basis = np.array([names.setdefault(c.tobytes(), len(names)) for c in columns.T])
+    stalled = 0
     while np.ceil(amount.sum() - 1e-6) > np.ceil(lower - 1e-6):
         duals = inverse.sum(axis=0)
         asked = duals if steady is None else STEADY * steady + (1 - STEADY) * duals
@@ -125,11 +131,18 @@ def column_generation(demand: dict[int, int], room: int) -> list[tuple[dict[int,
             entering = int(worth.argmax())
             if worth[entering] <= 1 + 1e-7:
                 break
+            if stalled > STALL:
+                good = np.flatnonzero(worth > 1 + 1e-7)
+                entering = int(min(good, key=lambda i: names.setdefault(pool[i].tobytes(), len(names))))
             direction = inverse @ pool[entering]
             moving = direction > 1e-9
             ratios = np.where(moving, amount / np.where(moving, direction, 1), np.inf)
             leaving = int(ratios.argmin())
             step = ratios[leaving]
+            if stalled > STALL:
+                leaving = int(min(np.flatnonzero(ratios <= step + 1e-12), key=basis.__getitem__))
+            stalled = stalled + 1 if step < 1e-9 else 0
+            basis[leaving] = names.setdefault(pool[entering].tobytes(), len(names))
             amount = np.maximum(amount - step * direction, 0)
             amount[leaving] = step
             pivot = inverse[leaving] / direction[leaving]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_texts
@@ -25,8 +27,9 @@ KNOWN_PART = re.compile(
     r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{128}|[0-9a-fA-F]{96}"
     r"|[0-9a-fA-F]{64}|[0-9a-fA-F]{56}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})(?![A-Za-z0-9])"
 )
-#: The fewest characters of a token span, and what separators leave of a run.
+#: The fewest characters of a token span, and what separators leave of a run; characters of a run that are encoded at a time.
 LEAST, PART = 20, re.compile(r"[A-Za-z0-9+]+")
+BLOCK = 4096
 #: Digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512 in hex) and identifiers (UUIDs, numbers, dates) are known.
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
@@ -37,35 +40,66 @@ _IS_HEX = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
 _IS_RUN = bytes(1 if re.fullmatch(r"[A-Za-z0-9+/_=-]", chr(b)) else 0 for b in range(256))
 
 
-def looks_random(run: str, max_ratio: float) -> bool:
-    """Takes many tokens for its length, and is no known digest or identifier; one letter in five is no number or time."""
-    return not KNOWN.fullmatch(run) and 5 * sum(map(str.isalpha, run)) >= len(run) and len(run) / len(vocabulary().encode_ordinary(run)) <= max_ratio
+@cache
+def _token_sizes() -> np.ndarray:
+    """Bytes of each token."""
+    return np.array([len(vocabulary().decode_single_token_bytes(i)) for i in range(vocabulary().n_vocab)])
+
+
+def token_ends(run: str) -> np.ndarray:
+    """Where the tokens of a run (ASCII) end, behind a 0; long runs are encoded by blocks of BLOCK characters."""
+    ids = [i for at in range(0, len(run), BLOCK) for i in vocabulary().encode_ordinary(run[at : at + BLOCK])]
+    return np.append(0, np.cumsum(_token_sizes()[ids]))
+
+
+def looks_random(size: int, tokens: int, letters: int, max_ratio: float) -> bool:
+    """Takes many tokens for its length; one letter in five characters is no number or time."""
+    return 5 * letters >= size and size <= max_ratio * tokens
+
+
+def stretches(run: str, max_ratio: float) -> list[tuple[int, int]]:
+    """The parts of a run that random-looking stretches cover: such are the fewest tokens, from each token on, with LEAST characters."""
+    ends = token_ends(run)
+    letters = np.append(0, np.cumsum([c.isalpha() for c in run]))
+    last = np.searchsorted(ends, ends + LEAST)
+    first = np.flatnonzero(last < len(ends))
+    last = last[first]
+    size = ends[last] - ends[first]
+    good = (5 * (letters[ends[last]] - letters[ends[first]]) >= size) & (size <= max_ratio * (last - first))
+    found: list[tuple[int, int]] = []
+    for a, b in zip(ends[first[good]].tolist(), ends[last[good]].tolist()):
+        if found and a <= found[-1][1]:
+            found[-1] = (found[-1][0], b)
+        else:
+            found.append((a, b))
+    return [(a, b) for a, b in found if not KNOWN.fullmatch(run[a:b])]
 
 
 def random_parts(run: str, max_ratio: float) -> list[tuple[int, int]]:
-    """(start, end) of what looks random in a run: all of it, parts between separators, or their stretches.
+    """(start, end) of what looks random in a run: between known digests and identifiers all of it, parts between separators, or their stretches.
 
-    If not the whole is a span, a part of LEAST characters or more that looks random is; in other
-    parts, stretches of LEAST characters that look random are joined.
+    If not the whole is a span, a part of LEAST characters or more that looks random is; of other
+    parts the random-looking stretches are. Each run is read, and each part encoded, once.
     """
-    if len(run) < LEAST or KNOWN.fullmatch(run):
-        return []
-    if m := KNOWN_PART.search(run):
-        after = [(m.end() + a, m.end() + b) for a, b in random_parts(run[m.end() :], max_ratio)]
-        return random_parts(run[: m.start()], max_ratio) + after
-    if looks_random(run, max_ratio):
-        return [(0, len(run))]
-    parts = [(m.start(), m.end()) for m in PART.finditer(run)]
-    found = [(a, b) for a, b in parts if b - a >= LEAST and looks_random(run[a:b], max_ratio)]
-    for a, b in parts:
-        if b - a > LEAST and (a, b) not in found and not KNOWN.fullmatch(run[a:b]):
-            for at in range(a, b - LEAST + 1):
-                if looks_random(run[at : at + LEAST], max_ratio):
-                    if found and found[-1][0] >= a and at <= found[-1][1]:
-                        found[-1] = (found[-1][0], at + LEAST)
-                    else:
-                        found.append((at, at + LEAST))
-    return sorted(found)
+    found: list[tuple[int, int]] = []
+    at = 0
+    for known in [*(m.span() for m in KNOWN_PART.finditer(run)), (len(run), len(run))]:
+        begin, piece = at, run[at : known[0]]
+        at = known[1]
+        if len(piece) < LEAST or KNOWN.fullmatch(piece):
+            continue
+        if looks_random(len(piece), len(token_ends(piece)) - 1, sum(map(str.isalpha, piece)), max_ratio):
+            found.append((begin, begin + len(piece)))
+            continue
+        for m in PART.finditer(piece):
+            part = m[0]
+            if len(part) < LEAST or KNOWN.fullmatch(part):
+                continue
+            if looks_random(len(part), len(token_ends(part)) - 1, sum(map(str.isalpha, part)), max_ratio):
+                found.append((begin + m.start(), begin + m.end()))
+            else:
+                found += [(begin + m.start() + a, begin + m.start() + b) for a, b in stretches(part, max_ratio)]
+    return found
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -114,8 +148,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Result: doc_id, n_assign, n_access, n_hex, n_token, base_sha256 (lower hex of the base
     spans as ``kind:start:end``, joined by commas), spans (all spans, written likewise);
     offsets count code points, ends are exclusive, order is by start, then kind. One row per
-    input row, repeated rows included; NULL and empty texts have no spans; other columns are
-    ignored. Each text is scanned in its own task's batch; nothing is shuffled.
+    input row, repeated rows included; NULL and empty texts have no spans; very long texts and runs
+    are read whole, in time that grows with their length; other columns are ignored. Each text is scanned in its own task's batch; nothing is shuffled.
     """
 
     def scan(texts: list[str | None]) -> dict[str, list]:

@@ -7,12 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Rows in a tile of vectors and of queries: what one task holds at a time.
 TILE_VECTORS, TILE_QUERIES = 4096, 2048
 #: A query's lists are read in this many steps at most.
 STEPS = 10
-#: With so few candidates left, their final scores are resolved.
-FEW = 512
+#: With so few candidates left (or twice k), their final scores are resolved.
+FEW = 64
 
 
 def quantised(vector: Column) -> Column:
@@ -22,18 +24,20 @@ def quantised(vector: Column) -> Column:
     return F.when(vector.isNotNull() & ~bad, F.transform(x, lambda v: F.floor(v * 64)))
 
 
-def aggregate_lists(query: np.ndarray, vectors: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+def aggregate_lists(query: np.ndarray, vectors: np.ndarray, order: np.ndarray, k: int, floor: float = -np.inf) -> np.ndarray:
     """Rows of ``vectors`` among which the k best for ``query`` surely are, by sequential reads.
 
     ``order[d]`` lists the rows by ascending component d; a list is read from the end where
     it helps the score most. Of every row the part of the score read so far is known; each
     list's next value bounds what an unread component can add, its last value what it must.
-    Reading stops when no more than FEW rows have an upper bound that reaches the k-th
-    largest lower bound. Bounds are floats with a margin, so rounding drops nothing.
+    Reading stops when no more than FEW rows (or 2 k) have an upper bound that reaches the k-th
+    largest lower bound, or ``floor``, a score that k rows elsewhere are known to reach. Bounds
+    are floats with a margin, so rounding drops nothing.
     """
     n, dims = vectors.shape
     used = np.flatnonzero(query)
-    if n <= max(k, FEW) or not len(used):
+    few = max(2 * k, FEW)
+    if n <= few or not len(used):
         return np.arange(n)
     weight = query[used].astype(np.float64)
     lists = order[used]
@@ -52,9 +56,9 @@ def aggregate_lists(query: np.ndarray, vectors: np.ndarray, order: np.ndarray, k
         unread[rows, np.arange(len(used))[:, None]] = 0
         at = to
         bounds = unread @ np.stack([gain[:, -1], last], axis=1).astype(np.float32)
-        lowest = np.partition(known + bounds[:, 1], n - k)[n - k]
+        lowest = max(floor, np.partition(known + bounds[:, 1], n - k)[n - k])
         rest = np.flatnonzero(known + bounds[:, 0] >= lowest - slack)
-        if len(rest) <= FEW or at == n:
+        if len(rest) <= few or at == n:
             return rest
     return rest
 
@@ -74,8 +78,8 @@ def tile_top(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFra
     real = v.astype(np.float64)
     order = np.argsort(v, axis=0, kind="stable").T.astype(np.int32)
     found = []
-    for qid, row in zip(queries.vec_id.to_numpy(), q):
-        rest = aggregate_lists(row, real, order, k + 1)  # one more, for the query's own row
+    for qid, row, floor in zip(queries.vec_id.to_numpy(), q, queries.floor.to_numpy(dtype=float, na_value=-np.inf)):
+        rest = aggregate_lists(row, real, order, k + 1, floor)  # one more, for the query's own row
         rest = rest[ids[rest] != qid]
         scores = v[rest] @ row
         best = np.lexsort((ids[rest], -scores))[:k]
@@ -98,8 +102,9 @@ def top_k(
 
     Queries and vectors are dealt into tiles by a hash of their id. A task holds one tile of
     each, at most about TILE_QUERIES and TILE_VECTORS rows whatever the table's size, reads
-    its sorted lists and returns k rows for each query; the k best of these follow from a
-    window that limits each group before its shuffle.
+    its sorted lists and returns k rows for each query. The first tile of vectors is read before
+    the others: the k-th score there is a floor below which no other tile's rows count. The
+    k best of all follow from a window that limits each group before its shuffle.
     """
     vectors = (
         embeddings.select(F.col(id_col).alias("vec_id"), quantised(F.col(vector_col)).alias("v"), is_query.alias("q"))
@@ -111,29 +116,32 @@ def top_k(
     across, down = -(-n // TILE_VECTORS) or 1, -(-n_queries // TILE_QUERIES) or 1
     tile = F.xxhash64("vec_id")
 
-    def dealt(rows: DataFrame, own: int, others: int, first: bool) -> DataFrame:
-        # one type on both sides: rows of equal numbers of different types go to different tasks
-        mine, each = F.pmod(tile, F.lit(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
-        return rows.select(*((mine.alias("qt"), each.alias("vt")) if first else (each.alias("qt"), mine.alias("vt"))), "vec_id", "v")
-
-    # tiles are much work for few bytes, so their number says into how many tasks they go
-    tasks = 4 * across * down
-    left = dealt(vectors.where("q"), down, across, True).repartition(tasks, "qt", "vt")
-    right = dealt(vectors, across, down, False).repartition(tasks, "qt", "vt")
+    mine = lambda n: F.pmod(tile, F.lit(n)).cast("int")
+    each = lambda begin, end: F.explode(F.sequence(F.lit(begin), F.lit(end - 1)))
 
     def joined(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or rows.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         return tile_top(queries, rows, k).astype("int64")
 
-    tops = (
-        left.groupBy("qt", "vt")
-        .cogroup(right.groupBy("qt", "vt"))
-        .applyInPandas(joined, "query_id long, vec_id long, score long")
-    )
+    def tops(queries: DataFrame, begin: int, end: int) -> DataFrame:
+        """The best of the tiles of vectors from ``begin`` to ``end``. Tiles are much work for few bytes: their number says into how many tasks they go."""
+        tasks = 4 * (end - begin) * down
+        # one type on both sides: rows of equal numbers of different types go to different tasks
+        left = queries.select(mine(down).alias("qt"), each(begin, end).alias("vt"), "vec_id", "v", "floor").repartition(tasks, "qt", "vt")
+        own = vectors.select(mine(across).alias("vt"), "vec_id", "v").where(F.col("vt").between(begin, end - 1))
+        right = own.select(each(0, down).alias("qt"), "vt", F.col("vec_id").alias("vec_id"), F.col("v").alias("v")).repartition(tasks, "qt", "vt")
+        return left.groupBy("qt", "vt").cogroup(right.groupBy("qt", "vt")).applyInPandas(joined, "query_id long, vec_id long, score long")
+
+    queries = vectors.where("q")
+    found = tops(queries.withColumn("floor", F.lit(None).cast("double")), 0, 1)
+    if across > 1:
+        found = cut(found)
+        floors = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
+        found = found.unionByName(tops(queries.join(floors, "vec_id", "left"), 1, across))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        tops.withColumn("rank", F.row_number().over(order))
+        found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )

@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import string
+import uuid
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -491,3 +493,44 @@ def test_secrets_of_few_kinds_of_characters_and_within_longer_runs(make):
         return any(s.startswith("token") and max(at, int(s.split(":")[1])) + 20 <= min(at + 24, int(s.split(":")[2])) for s in got[i])
 
     assert covered(3) and covered(4) and "hex:2:26" in got[4] and got[5] == got[6] == [""]
+
+
+def test_secrets_in_very_long_runs():
+    """One run of thousands of known identifiers, a text of one blob, and letters without an end."""
+    rng = random.Random(8)
+    ids = "/".join(str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(3000))
+    assert secrets.token_spans(ids, [], 1.9) == []
+    key = "".join(rng.choices(string.ascii_letters + string.digits, k=40))
+    assert secrets.token_spans(f"{ids}/{key}/{ids}", [], 1.9) == [(len(ids) + 1, 3, len(ids) + 41)] or secrets.token_spans(f"{ids}/{key}/{ids}", [], 1.9) == [(len(ids), 3, len(ids) + 42)]
+    blob = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=10_000_000))
+    assert secrets.token_spans(blob, [], 1.9) == [(0, 3, len(blob))]
+    words = "understanding" * 100_000
+    assert secrets.token_spans(words, [], 1.9) == []
+
+
+def test_secrets_recall_and_compound_words():
+    """Keys of 20 to 64 characters in four alphabets are found whole; long words joined are none."""
+    rng = random.Random(9)
+    lower = string.ascii_lowercase + string.digits
+    for alphabet in (string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_letters + string.digits, lower):
+        found = 0
+        for _ in range(300):
+            key = "".join(rng.choices(alphabet, k=rng.randint(20, 64)))
+            found += any(a <= 4 and b >= 4 + len(key) for a, _, b in secrets.token_spans(f"see {key} for", [], 1.9))
+        assert found >= 295
+    words = "international understanding configuration management organization responsibility environment builder versicherung gesellschaft".split()
+    for joint in ("", "_", "-"):
+        for _ in range(200):
+            assert secrets.token_spans(joint.join(rng.choices(words, k=4)), [], 1.9) == []
+
+
+def test_simplex_steps_without_gain_end(monkeypatch):
+    """Under the rule against circles from the first step on, programs end with as good a bound."""
+    rng = random.Random(10)
+    for _ in range(6):
+        demand = {w: rng.randint(1, 40) for w in rng.sample(range(5, 100), 25)}
+        usual = sum(n for _, n in packing.column_generation(demand, 100))
+        monkeypatch.setattr(packing, "STALL", -1)
+        ruled = sum(n for _, n in packing.column_generation(demand, 100))
+        monkeypatch.undo()
+        assert abs(np.ceil(usual - 1e-6) - np.ceil(ruled - 1e-6)) < 1

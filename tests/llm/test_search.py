@@ -1,5 +1,6 @@
 """Top-k, near duplicates and leaks against brute force."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from spanloom.llm import decontaminate, jaccard, topk
 from spanloom.llm.components import connected_components
 from spanloom.llm.hashing import shingles
+from spanloom.llm.queries import op2_topk_search
 
 
 def brute_top(rows, k):
@@ -72,6 +74,36 @@ def test_reading_stops_early_and_loses_nothing():
     assert np.median(read) <= topk.FEW
 
 
+def test_a_floor_from_elsewhere_stops_reading_sooner():
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(-40, 40, (3000, 8)).astype(np.float64)
+    order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)
+    for _ in range(20):
+        query = rng.integers(-40, 40, 8)
+        scores = vectors @ query
+        floor = np.sort(scores)[-5]
+        rest = topk.aggregate_lists(query, vectors, order, 50, float(floor))
+        assert set(np.flatnonzero(scores >= floor)) <= set(rest)
+        assert len(topk.aggregate_lists(query, vectors, order, 50, 1e9)) == 0
+
+
+def test_query_of_top_k_is_brute_force_at_sf01(spark):
+    """2000 vectors, where lists are read: all rows are those of a plain product."""
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("no test data")
+    rows = spark.read.parquet(f"{path}/embeddings.parquet").toPandas()
+    v = np.array([np.floor(64 * np.asarray(x, np.float64)) for x in rows.embedding]).astype(np.int64)
+    ids = rows.vec_id.to_numpy()
+    found = op2_topk_search(spark, path).toPandas().sort_values(["query_id", "rank"])
+    for qid, own in found.groupby("query_id"):
+        scores = v @ v[ids == qid][0]
+        order = np.lexsort((ids, -scores))
+        order = order[ids[order] != qid][:20]
+        assert own.vec_id.tolist() == ids[order].tolist() and own.score.tolist() == scores[order].tolist() and own["rank"].tolist() == list(range(1, 21))
+    assert set(found.query_id) == {i for i in ids if i % 20 == 0}
+
+
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -69,7 +69,7 @@ def rows_of(frame):
 
 
 def test_query_and_sql(spark, make, tmp_path):
-    rows = [*texts(1), (None, "wordlike " * 7), (70, None), (71, ""), (72, "x" * 5000 + " wordlike"), (3, "wordlikes " * 6), (3, "wordlikes " * 6), (5, "Ã" * 70_000 + " é"), (81, CHAIN)]
+    rows = [*texts(1), (None, "wordlike " * 7), (70, None), (71, ""), (72, "x" * 5000 + " wordlike"), (3, "wordlikes " * 6), (3, "wordlikes " * 6), (5, "Ã" * 300 + " é"), (81, CHAIN)]
     make(rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     found = rows_of(op11_spelling_variants(spark, str(tmp_path)))
     assert found == expected(counted(rows))
@@ -113,6 +113,8 @@ def test_chains_of_forms(make):
 def test_edges(spark, make, docs):
     assert rows_of(spelling_variants(make([]))) == []
     assert rows_of(spelling_variants(make([(1, None), (2, "a b c")]))) == []
+    long = [(i, "Ã" * 70_000 + "x" + "Ã" * i) for i in (3, 3, 3, 3, 3, 4, 4, 4, 4, 4)]
+    assert rows_of(spelling_variants(make(long))) == expected(counted(long, None))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     clashing = docs.selectExpr("doc_id AS n", "text AS word", "1 AS length", "2 AS id", "3 AS text")
     assert rows_of(spelling_variants(clashing, id_col="n", text_col="word", drop_every=7)) == expected(counted(rows, 7))
@@ -120,12 +122,12 @@ def test_edges(spark, make, docs):
 
 def test_trees_lose_nothing():
     rng = random.Random(4)
-    words = list({"".join(rng.choice("abcdefgé") for _ in range(7)) for _ in range(1500)})
+    words = list({"".join(rng.choice("abcdefgé") for _ in range(7)) for _ in range(900)})
     shorter = list({w[:3] + w[4:] for w in words})
     rows = letter_rows(words, 7)
     vectors = count_vectors(rows)
     tree, leaves = kd_tree(vectors, 20)
-    assert leaves > 50
+    assert leaves > 30
     homes = [(leaf.number, i) for leaf, own in search(tree, vectors, 0, 0) for i in own]
     assert sorted(i for _, i in homes) == list(range(len(words)))  # one home each
     reached = sum(len(own) * len(leaf.points) for leaf, own in search(tree, vectors, 1, 1))
