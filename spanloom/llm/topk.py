@@ -11,10 +11,14 @@ from .common import cut
 
 #: Rows in a tile of vectors and of queries: what one task holds at a time.
 TILE_VECTORS, TILE_QUERIES = 4096, 2048
-#: A query's lists are read in this many steps at most.
-STEPS = 10
+#: Shares of the lists after which bounds are compared.
+DEPTHS = (1 / 8, 1 / 4, 1 / 2, 3 / 4, 7 / 8, 1)
+#: Shares from which a tile is read at once if floors are known that a shallow reading can't reach.
+DEEP = 1 / 2
 #: With so few candidates left (or twice k), their final scores are resolved.
-FEW = 64
+FEW = 256
+#: Queries that are worked on at a time.
+TOGETHER = 512
 
 
 def quantised(vector: Column) -> Column:
@@ -24,43 +28,71 @@ def quantised(vector: Column) -> Column:
     return F.when(vector.isNotNull() & ~bad, F.transform(x, lambda v: F.floor(v * 64)))
 
 
-def aggregate_lists(query: np.ndarray, vectors: np.ndarray, order: np.ndarray, k: int, floor: float = -np.inf) -> np.ndarray:
-    """Rows of ``vectors`` among which the k best for ``query`` surely are, by sequential reads.
-
-    ``order[d]`` lists the rows by ascending component d; a list is read from the end where
-    it helps the score most. Of every row the part of the score read so far is known; each
-    list's next value bounds what an unread component can add, its last value what it must.
-    Reading stops when no more than FEW rows (or 2 k) have an upper bound that reaches the k-th
-    largest lower bound, or ``floor``, a score that k rows elsewhere are known to reach. Bounds
-    are floats with a margin, so rounding drops nothing.
+class Lists:
+    """The sorted lists of a tile of vectors, one for each component, and what has been read of them.
+
+    A list is read from the end where it helps a query's score most: from the top for
+    components that the query weighs above zero, from the bottom for others.
     """
-    n, dims = vectors.shape
-    used = np.flatnonzero(query)
-    few = max(2 * k, FEW)
-    if n <= few or not len(used):
-        return np.arange(n)
-    weight = query[used].astype(np.float64)
-    lists = order[used]
-    down = weight > 0
-    column = used[:, None]
-    known = np.zeros(n)
-    unread = np.ones((n, len(used)), dtype=np.float32)
-    last = np.where(down, vectors[lists[:, 0], used], vectors[lists[:, -1], used]) * weight
-    slack = 1e-5 * float(np.abs(weight) @ np.abs(vectors[:, used]).max(axis=0)) + 1e-9
-    at = 0
-    for step in range(1, STEPS + 1):
-        to = n * step // STEPS
-        rows = np.where(down[:, None], lists[:, n - to : n - at][:, ::-1], lists[:, at:to])
-        gain = vectors[rows, column] * weight[:, None]
-        known += np.bincount(rows.ravel(), weights=gain.ravel(), minlength=n)
-        unread[rows, np.arange(len(used))[:, None]] = 0
-        at = to
-        bounds = unread @ np.stack([gain[:, -1], last], axis=1).astype(np.float32)
-        lowest = max(floor, np.partition(known + bounds[:, 1], n - k)[n - k])
-        rest = np.flatnonzero(known + bounds[:, 0] >= lowest - slack)
-        if len(rest) <= few or at == n:
+
+    def __init__(self, vectors: np.ndarray, order: np.ndarray):
+        self.n, self.dims = vectors.shape
+        self.vectors = vectors.astype(np.float32)
+        self.sorted = np.take_along_axis(self.vectors, order.T, axis=0)
+        self.rank = np.empty((self.n, self.dims), np.int32)
+        np.put_along_axis(self.rank, order.T.astype(np.int64), np.arange(self.n, dtype=np.int32)[:, None], axis=0)
+        self.most = np.abs(vectors).max(axis=0, initial=0).astype(np.float64)
+
+    def read(self, to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """After ``to`` reads of each list, from the top and from the bottom: values seen, places unseen, and the last value of each list."""
+        top, bottom = self.rank >= self.n - to, self.rank < to
+        seen = np.concatenate([self.vectors * top, self.vectors * bottom], axis=1)
+        unseen = np.concatenate([~top, ~bottom], axis=1).astype(np.float32)
+        return seen, unseen, np.concatenate([self.sorted[self.n - to], self.sorted[to - 1]])
+
+    def candidates(self, queries: np.ndarray, k: int, floors: np.ndarray) -> list[np.ndarray]:
+        """For each query the rows among which its k best surely are, by sequential reads of all lists alike.
+
+        Of every row the part of the score read so far is known; each list's last value read
+        bounds what an unread component can add, its end what it must. Reading stops for a query
+        when no more than FEW rows (or 2 k) have an upper bound that reaches the k-th largest lower
+        bound, or its floor, a score that k rows elsewhere are known to reach. Bounds are products
+        of matrices in single precision with a margin, so rounding drops nothing.
+        """
+        few, ends = max(2 * k, FEW), np.concatenate([self.sorted[0], self.sorted[-1]]) if self.n else np.zeros(0)
+        rest: list[np.ndarray] = [np.arange(self.n)] * len(queries)
+        if self.n <= few:
             return rest
-    return rest
+        weights = queries.astype(np.float32)
+        weights = np.concatenate([np.maximum(weights, 0), np.minimum(weights, 0)], axis=1)
+        slack = 1e-4 * (np.abs(queries).astype(np.float64) @ self.most) + 1e-3
+        open_ = np.arange(len(queries))
+        for depth in DEPTHS:
+            if depth < DEEP and np.isfinite(floors[open_]).all():
+                continue
+            to = max(1, int(self.n * depth))
+            seen, unseen, last = self.read(to)
+            going = []
+            for at in range(0, len(open_), TOGETHER):
+                own = open_[at : at + TOGETHER]
+                known = weights[own] @ seen.T
+                lower = known + (weights[own] * ends) @ unseen.T
+                upper = known + (weights[own] * last) @ unseen.T
+                lowest = np.maximum(floors[own], np.partition(lower, self.n - k, axis=1)[:, self.n - k])
+                reach = upper >= (lowest - slack[own])[:, None]
+                for i, fits in zip(own.tolist(), reach):
+                    rest[i] = np.flatnonzero(fits)
+                    if len(rest[i]) > few:
+                        going.append(i)
+            open_ = np.array(going, np.int64)
+            if not len(open_):
+                break
+        return rest
+
+
+def aggregate_lists(query: np.ndarray, vectors: np.ndarray, order: np.ndarray, k: int, floor: float = -np.inf) -> np.ndarray:
+    """Rows of ``vectors`` among which the k best for one query surely are; ``order[d]`` lists the rows by ascending component d. See :class:`Lists`."""
+    return Lists(vectors, order).candidates(np.asarray(query)[None, :], k, np.array([floor]))[0]
 
 
 def tile_top(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -75,11 +107,11 @@ def tile_top(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFra
 
     q, v = matrix(queries.v), matrix(vectors.v)
     ids = vectors.vec_id.to_numpy()
-    real = v.astype(np.float64)
     order = np.argsort(v, axis=0, kind="stable").T.astype(np.int32)
+    floors = queries.floor.to_numpy(dtype=float, na_value=-np.inf)
+    rests = Lists(v, order).candidates(q, k + 1, np.where(np.isnan(floors), -np.inf, floors))  # one more, for the query's own row
     found = []
-    for qid, row, floor in zip(queries.vec_id.to_numpy(), q, queries.floor.to_numpy(dtype=float, na_value=-np.inf)):
-        rest = aggregate_lists(row, real, order, k + 1, floor)  # one more, for the query's own row
+    for qid, row, rest in zip(queries.vec_id.to_numpy(), q, rests):
         rest = rest[ids[rest] != qid]
         scores = v[rest] @ row
         best = np.lexsort((ids[rest], -scores))[:k]
