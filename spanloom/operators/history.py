@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.follow import follow
+
 TRIPLE = ["s", "p", "o", "o_dt", "o_lang"]
 
 
@@ -114,21 +116,36 @@ def union_hash(parts: DataFrame, key: str, digest: str, *order: str) -> DataFram
     return parts.groupBy(key).agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["_d"]), "|"), 256).alias("union_hash"))
 
 
-def leaves(parts: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
-    """(root, leaf) of nested references given as (ref_id, part_ref_id): parts are followed until none are unions.
+def placed_leaves(parts: DataFrame, roots: DataFrame, depth: int = 1000) -> DataFrame:
+    """(root, position, leaf) of nested references given as (ref_id, part_ref_id) and, if parts have an order, place.
+
+    Parts are followed until none are unions; leaves of a root are numbered from 0 as they stand
+    in it. A cycle is an error, as is nesting deeper than ``depth``.
+    """
+    place = F.col("place") if "place" in parts.columns else F.lit(0)
+    edges = parts.select(F.col("ref_id").alias("at"), place.alias("place"), F.col("part_ref_id").alias("to"))
+    found = follow(roots.select(F.col("ref_id").alias("root"), F.col("ref_id").alias("at")), edges, depth)
+    circle = found.where("state = 'cycle'").select("root", "at").head()
+    if circle is not None:
+        raise ValueError(f"the reference {circle.root} leads in a circle at {circle['at']}")
+    order = Window.partitionBy("root").orderBy("places", "at")
+    return found.select("root", (F.row_number().over(order) - 1).alias("position"), F.col("at").alias("leaf"))
+
+
+def leaves(parts: DataFrame, roots: DataFrame, depth: int = 1000) -> DataFrame:
+    """(root, leaf) of nested references, see :func:`placed_leaves`."""
+    return placed_leaves(parts, roots, depth).select("root", "leaf")
+
 
-    Depth is bounded; a deeper nesting is an error, as is a cycle.
+def check_references(parts: DataFrame, roots: DataFrame, checked: DataFrame, depth: int = 1000) -> DataFrame:
+    """(root, position, leaf, changed, current_status): the check of every leaf of nested references, in their order.
+
+    ``checked`` has leaf, changed, current_status of the leaves that are known; others are NOT_FOUND, and so changed.
     """
-    unions = parts.select("ref_id").distinct()
-    done = None
-    current = roots.select(F.col("ref_id").alias("root"), F.col("ref_id").alias("at"))
-    for _ in range(depth):
-        ends = current.join(unions, current["at"] == unions["ref_id"], "left_anti")
-        done = ends if done is None else done.unionByName(ends)
-        current = current.join(parts, current["at"] == parts["ref_id"]).select("root", F.col("part_ref_id").alias("at"))
-        if current.isEmpty():
-            return done.select("root", F.col("at").alias("leaf"))
-    raise ValueError(f"references nest deeper than {depth}, or in a circle")
+    status = F.coalesce("current_status", F.lit("NOT_FOUND"))
+    return placed_leaves(parts, roots, depth).join(checked.select("leaf", "changed", "current_status"), "leaf", "left").select(
+        "root", "position", "leaf", F.coalesce("changed", F.lit(True)).alias("changed"), status.alias("current_status")
+    )
 
 
 def audit_json(tables: dict[str, Column]) -> Column:

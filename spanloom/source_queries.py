@@ -8,12 +8,14 @@ changed, 5 doubled and 7 gone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry, terms
 from .model import SVG_SELECTOR, XPATH_SELECTOR
-from .operators import align, audit, drift, history, resolve, schemas
+from .operators import align, audit, drift, history, pages, resolve, schemas
 from .plans import patterns
 from .plans.lineage import cut
 from .plans.store import unchanged
@@ -137,6 +139,131 @@ def schema_candidates(spark, sf):
     return schemas.minted_paths(nodes).select("doc_uri", "tag", "name", "xpath", "matches", "finds_itself")
 
 
+def member_schemas(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_uri, content): a schema for each brand whose types come in threes of parts by key.
+
+    The first has an element and an attribute, the second extends it by an element, the third
+    extends the second by a reference to a group of two elements, declared once in each schema.
+    """
+    r = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    rows = table(spark, sf, "part").select("p_brand", "p_partkey", r.alias("r")).withColumn("before", F.lag("p_partkey").over(Window.partitionBy("p_brand").orderBy("p_partkey")))
+    key, before, k = F.col("p_partkey").cast("string"), F.col("before").cast("string"), F.col("r") % 3
+    element = F.concat(F.lit('<xs:sequence><xs:element name="a'), key, F.lit('" minOccurs="0"/></xs:sequence>'))
+    extended = lambda inner: F.concat(F.lit('<xs:complexContent><xs:extension base="p:T'), before, F.lit('">'), inner, F.lit("</xs:extension></xs:complexContent>"))
+    group = F.lit('<xs:sequence><xs:group ref="p:G" maxOccurs="unbounded"/></xs:sequence>')
+    body = F.when(k == 0, F.concat(element, F.lit('<xs:attribute name="b'), key, F.lit('"/>'))).when(k == 1, extended(element)).otherwise(extended(group))
+    item = F.concat(F.lit('<xs:complexType name="T'), key, F.lit('">'), body, F.lit("</xs:complexType>"))
+    types = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("xml")))), lambda x: x["xml"]), "")
+    head = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns:p="urn:parts" targetNamespace="urn:parts">'
+    tail = '<xs:group name="G"><xs:choice><xs:element name="g1"/><xs:element name="g2" maxOccurs="4"/></xs:choice></xs:group></xs:schema>'
+    return rows.groupBy(F.col("p_brand").alias("doc_uri")).agg(F.concat(F.lit(head), types, F.lit(tail)).cast("binary").alias("content"))
+
+
+@query(
+    "q_type_members",
+    """WITH t AS (SELECT p_brand AS doc_uri, p_partkey AS k, row_number() OVER w - 1 AS r, lag(p_partkey) OVER w AS k1, lag(p_partkey, 2) OVER w AS k2
+           FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)),
+o AS (SELECT *, CASE r % 3 WHEN 0 THEN k WHEN 1 THEN k1 ELSE k2 END AS base, CASE r % 3 WHEN 1 THEN k WHEN 2 THEN k1 END AS mid FROM t),
+m AS (SELECT doc_uri, k, 0 AS position, 'element' AS kind, 'a' || base AS member, 0 AS low, 1 AS high, 'T' || base AS owner FROM o
+      UNION ALL SELECT doc_uri, k, 1, 'attribute', 'b' || base, 1, 1, 'T' || base FROM o
+      UNION ALL SELECT doc_uri, k, 2, 'element', 'a' || mid, 0, 1, 'T' || mid FROM o WHERE mid IS NOT NULL
+      UNION ALL SELECT doc_uri, k, 3, 'element', 'g1', 1, 1, 'G' FROM o WHERE r % 3 = 2
+      UNION ALL SELECT doc_uri, k, 4, 'element', 'g2', 1, 4, 'G' FROM o WHERE r % 3 = 2)
+SELECT doc_uri, 'T' || k AS type_name, position, kind, member, low, high, owner FROM m""",
+)
+def type_members(spark, sf):
+    """Members of every type, with those of its bases and groups, in order."""
+    return schemas.type_members(cut(parse_documents(member_schemas(spark, sf))))[0].drop("pre")
+
+
+@query(
+    "q_structural_models",
+    """WITH p AS (SELECT p_size AS model, p_partkey AS k, CASE WHEN p_partkey % 3 = 2 THEN 3 ELSE 2 END AS n FROM part),
+m AS (SELECT model, count(*) AS particles, sum(ln(n)) <= ln(1024) + 1e-9 AS product, exp(sum(ln(n))) AS combinations FROM p GROUP BY model),
+d AS (SELECT a.model, sum(a.n * b.n) AS pairs FROM p a JOIN p b ON a.model = b.model AND a.k < b.k GROUP BY a.model)
+SELECT model, particles::BIGINT AS particles, coalesce(pairs, 0)::BIGINT AS pairs, true AS all_valid, true AS few FROM m LEFT JOIN d USING (model)""",
+)
+def structural_models(spark, sf):
+    """Content models of the parts of each size: pairs of options that their cases cover, and whether the cases are the product or fewer than 100."""
+    k = F.col("p_partkey")
+    high = F.when(k % 3 == 0, 1).when(k % 3 == 1, 2).otherwise(F.lit(None).cast("int"))
+    low = F.when(k % 3 == 1, 1).otherwise(0)
+    models = table(spark, sf, "part").select(F.col("p_size").alias("model"), k.alias("place"), F.concat(F.lit("e"), k.cast("string")).alias("name"), low.alias("low"), high.alias("high"))
+    cases = schemas.model_cases(models).select("model", "case_id", "place", "n", "should_be_valid")
+    options = models.select("model", F.when(F.col("place") % 3 == 2, 3).otherwise(2).alias("o"))
+    product = options.groupBy("model").agg(F.sum(F.log("o")).alias("o")).select("model", (F.col("o") <= math.log(1024) + 1e-9).alias("product"))
+    whole = F.collect_list(F.struct("place", "n"))
+    by_case = cases.groupBy("model", "case_id").agg(F.array_sort(whole).alias("c"), F.min("should_be_valid").alias("valid"))
+    pairs = by_case.select(
+        "model", F.explode(F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: b["place"] > a["place"]), lambda b: F.struct(a["place"], a["n"], b["place"], b["n"]))))).alias("p")
+    )
+    found = pairs.distinct().groupBy("model").agg(F.count("*").alias("pairs"))
+    return (
+        by_case.groupBy("model")
+        .agg(F.max(F.size("c")).cast("long").alias("particles"), F.count("*").alias("cases"), F.min("valid").alias("all_valid"))
+        .join(found, "model", "left")
+        .join(product, "model")
+        .select("model", "particles", F.coalesce("pairs", F.lit(0)).cast("long").alias("pairs"), "all_valid", (F.col("product") | (F.col("cases") < 100)).alias("few"))
+    )
+
+
+def printed_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of a printed description of the parts of each brand, five of them on a page.
+
+    Each part is a heading over two lines, a used-by entry, a table with a row of one name, the
+    name's rest on the next line, and a documentation of two lines, and the part's type under
+    ``Documentation``, which stands on the next page for the fifth.
+    """
+    r = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    rows = table(spark, sf, "part").withColumn("r", r)
+    key = F.col("p_partkey").cast("string")
+    name = F.split("p_name", " ")
+    page, top = (F.floor(F.col("r") / 5) + 1).cast("int"), (F.col("r") % 5 * 140 + 100).cast("double")
+    late = F.col("r") % 5 == 4
+    line = lambda at, *said: F.transform(F.array(*(F.struct(F.lit(float(x)).alias("x0"), t.alias("text")) for x, t in said)), lambda w: F.struct(page.alias("page"), (top + at).alias("top"), w["x0"].alias("x0"), w["text"].alias("text")))
+    under = lambda at, *said: F.transform(F.array(*(F.struct(F.lit(float(x)).alias("x0"), t.alias("text")) for x, t in said)), lambda w: F.struct((page + late.cast("int")).alias("page"), F.when(late, at / 2).otherwise(top + at).alias("top"), w["x0"].alias("x0"), w["text"].alias("text")))
+    lines = F.flatten(
+        F.array(
+            line(0, (60, F.lit("element"))), line(10, (60, F.concat(F.lit("Root/Part"), key))), line(20, (60, F.lit("Used")), (90, F.lit("by"))), line(30, (137, F.lit("element")), (180, F.lit("Other"))),
+            line(40, (62, F.lit("Name")), (150, F.lit("Type")), (200, F.lit("Use")), (250, F.lit("Documentation"))), line(50, (63, F.lit("Long"))), line(60, (63, F.concat(F.lit("er"), key)), (251, name[0])), line(70, (251, name[1])),
+            under(80, (60, F.lit("Documentation"))), under(90, (60, F.col("p_type")), (120, F.lit("of"))), under(100, (60, key)),
+        )
+    )
+    words = rows.select(F.col("p_brand").alias("doc_uri"), F.explode(lines).alias("w")).select("doc_uri", "w.*")
+    return words.withColumns({"x1": F.col("x0") + 30, "bottom": F.col("top") + 8})
+
+
+@query(
+    "q_page_sections",
+    """WITH t AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS r FROM part),
+l AS (SELECT *, (r // 5 + 1)::INTEGER AS page, (r % 5 * 140 + 100)::DOUBLE AS top, r % 5 = 4 AS late FROM t)
+SELECT p_brand AS doc_uri, 'Longer' || p_partkey AS name, 'row' AS part, p_name AS text, page, 251.0::DOUBLE AS x0, top + 60 AS top, 281.0::DOUBLE AS x1, top + 78 AS bottom FROM l
+UNION ALL SELECT p_brand, 'Part' || p_partkey, 'heading', p_type || ' of ' || p_partkey, (page + late::INTEGER)::INTEGER, 60.0, CASE WHEN late THEN 45.0 ELSE top + 90 END, 150.0, CASE WHEN late THEN 58.0 ELSE top + 108 END FROM l""",
+)
+def page_sections(spark, sf):
+    """Every documentation on the pages, by the name it belongs to, with page and box."""
+    return pages.name_occurrences(printed_parts(spark, sf))
+
+
+@query(
+    "q_check_references",
+    """WITH l AS (SELECT 'n' || c_nationkey AS root, c_custkey, o_orderkey, coalesce('o' || o_orderkey, 'c' || c_custkey) AS leaf FROM customer LEFT JOIN orders ON o_custkey = c_custkey)
+SELECT root, (row_number() OVER (PARTITION BY root ORDER BY c_custkey, o_orderkey) - 1)::INTEGER AS position, leaf,
+       o_orderkey IS NULL OR o_orderkey % 3 <> 0 AS changed, CASE WHEN o_orderkey IS NULL OR o_orderkey % 3 = 2 THEN 'NOT_FOUND' ELSE 'RESOLVED' END AS current_status FROM l""",
+)
+def check_references(spark, sf):
+    """References of nations that are unions of their customers', these of their orders': each leaf's check in order. Customers without orders are leaves nobody knows."""
+    orders, customers = table(spark, sf, "orders"), table(spark, sf, "customer")
+    name = lambda letter, col: F.concat(F.lit(letter), F.col(col).cast("string"))
+    parts = customers.select(name("n", "c_nationkey").alias("ref_id"), F.col("c_custkey").alias("place"), name("c", "c_custkey").alias("part_ref_id")).unionByName(
+        orders.select(name("c", "o_custkey").alias("ref_id"), F.col("o_orderkey").alias("place"), name("o", "o_orderkey").alias("part_ref_id"))
+    )
+    k = F.col("o_orderkey") % 3
+    checked = orders.where(k != 2).select(name("o", "o_orderkey").alias("leaf"), (k != 0).alias("changed"), F.lit("RESOLVED").alias("current_status"))
+    roots = customers.select(name("n", "c_nationkey").alias("ref_id")).distinct()
+    return history.check_references(parts, roots, checked)
+
+
 # ---------------------------------------------------------------- page regions
 
 
