@@ -26,6 +26,11 @@ def resolve_constant(document: Column, pointer: str) -> Column:
     return F.to_json(found)
 
 
+def is_pointer(text: Column) -> Column:
+    """Whether a text is a pointer: empty, or tokens behind slashes with ~ as ~0 and ~1 only. False for NULL."""
+    return F.coalesce(text.rlike(r"^(/([^~/]|~[01])*)*$"), F.lit(False))
+
+
 def at_pointer(document: str | None, pointer: str | None) -> str | None:
     """JSON text of the value at ``pointer``, or None."""
     if document is None or pointer is None or (pointer and not pointer.startswith("/")):

@@ -661,10 +661,10 @@ def property_path_star(spark, sf):
     return patterns.path_star(geo(spark, sf), "urn:in")
 
 
-@query("q_structural_cases", "SELECT p_type AS root, p_size % 3 AS low, a.n AS first, b.n AS second FROM (SELECT DISTINCT p_type, p_size FROM part WHERE p_size < 6) CROSS JOIN (SELECT unnest([0, 1, 5]) AS n) a CROSS JOIN (SELECT unnest([1, 2]) AS n) b")
+@query("q_structural_cases", "SELECT p_type AS root, p_size % 3 AS low, a.n AS first, b.n AS second FROM (SELECT DISTINCT p_type, p_size FROM part) CROSS JOIN (SELECT unnest([0, 1, 5]) AS n) a CROSS JOIN (SELECT unnest([1, 2]) AS n) b")
 def structural_cases(spark, sf):
     """Cases of a two-particle content model for every type: each particle's options, in all combinations."""
-    types = table(spark, sf, "part").where("p_size < 6").select("p_type", "p_size").distinct()
+    types = table(spark, sf, "part").select("p_type", "p_size").distinct()
     first, second = schemas.occurrence_options(0, None), schemas.occurrence_options(1, 2)
     return types.select(F.col("p_type").alias("root"), (F.col("p_size") % 3).alias("low"), F.explode(F.array(*map(F.lit, first))).alias("first")).withColumn(
         "second", F.explode(F.array(*map(F.lit, second)))

@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry, terms
-from .model import SVG_SELECTOR, XPATH_SELECTOR
-from .operators import align, audit, drift, history, pages, resolve, schemas
+from .model import JSON_SELECTOR, SVG_SELECTOR, TEXT_SELECTOR, XPATH_SELECTOR
+from .operators import align, audit, drift, history, pages, resolve, schemas, selectors
 from .plans import patterns
 from .plans.lineage import cut
-from .plans.store import unchanged
+from .plans.store import unchanged_by
 from .queries import _HASH, _TODAY, QUERIES, citations, geo, query, table, today
 from .sources.sssom import header, parse_mappings
 from .sources.xml_nodes import parse_documents
@@ -377,6 +377,66 @@ def resolve_texts(spark, sf):
     return found.select(F.col("property_shape_iri").alias("doc_id"), "status", "current_hash")
 
 
+# ---------------------------------------------------------------- selectors of any kind
+
+
+def any_citations(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers by path, customers by JSON pointer into a document of their nation, parts as whole texts, regions by a kind of their own."""
+    rows = xpath_citations(spark, sf).drop("page", "source_uri")
+    hashed = lambda text: F.concat(F.lit("sha256:"), F.sha2(text, 256))
+
+    def cited(name: str, letter: str, key: str, kind: str, value: Column, digest: Column, doc: Column) -> DataFrame:
+        id_ = F.concat(F.lit(letter + ":"), F.col(key).cast("string"))
+        return table(spark, sf, name).select(
+            id_.alias("property_shape_iri"), F.lit(kind).alias("selector_type"), value.alias("selector_value"), digest.alias("content_hash"), doc.alias("doc_uri")
+        )
+
+    pointer = F.concat(F.lit("/c"), F.col("c_custkey").cast("string"), F.lit("/name"))
+    quoted = F.concat(F.lit('"'), F.col("c_name"), F.lit('"'))
+    return (
+        rows.unionByName(cited("customer", "c", "c_custkey", JSON_SELECTOR, pointer, hashed(quoted), F.col("c_nationkey").cast("string")))
+        .unionByName(cited("part", "p", "p_partkey", TEXT_SELECTOR, F.lit(""), terms.text_hash(F.col("p_name")), F.col("p_partkey").cast("string")))
+        .unionByName(cited("region", "r", "r_regionkey", "urn:row", F.lit("name"), hashed(F.col("r_name")), F.col("r_regionkey").cast("string")))
+    )
+
+
+@query(
+    "q_selector_kinds",
+    f"""SELECT 's:' || s_suppkey AS property_shape_iri, {_AFTER} FROM supplier
+UNION ALL SELECT 'c:' || c_custkey, CASE WHEN c_custkey % 3 = 2 THEN 'NOT_FOUND' ELSE 'RESOLVED' END, c_custkey % 3 > 0,
+  CASE c_custkey % 3 WHEN 0 THEN 'sha256:' || sha256('"' || c_name || '"') WHEN 1 THEN 'sha256:' || sha256('"' || c_name || '!"') END FROM customer
+UNION ALL SELECT 'p:' || p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'NOT_FOUND' WHEN 2 THEN 'AMBIGUOUS' ELSE 'RESOLVED' END, p_partkey % 5 IN (0, 1, 2),
+  CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 2 THEN NULL WHEN 1 THEN 'sha256:' || sha256(p_name || '!') ELSE 'sha256:' || sha256(p_name) END FROM part
+UNION ALL SELECT 'r:' || r_regionkey, 'RESOLVED', false, 'sha256:' || sha256(r_name) FROM region""",
+)
+def selector_kinds(spark, sf):
+    """Drift of citations of four kinds and a fifth that is registered here, in one table."""
+    nodes = cut(parse_documents(nation_documents(suppliers_today(spark, sf))))
+    k, name = F.col("c_custkey") % 3, F.col("c_name")
+    now = table(spark, sf, "customer").where(k != 2).select(
+        F.col("c_nationkey").cast("string").alias("doc_uri"),
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("key"),
+        F.struct(F.when(k == 1, F.concat(name, F.lit("!"))).otherwise(name).alias("name"), F.lit(1).alias("a")).alias("value"),
+    )
+    json = now.groupBy("doc_uri").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "value")))).alias("content"))
+    p = F.col("p_partkey") % 5
+    texts = table(spark, sf, "part").where(p != 0).select(
+        F.col("p_partkey").cast("string").alias("doc_uri"), F.explode(F.array_repeat(F.when(p == 1, F.concat("p_name", F.lit("  !"))).otherwise(F.col("p_name")), F.when(p == 2, 2).otherwise(1))).alias("text")
+    )
+    texts = texts.withColumn("text", F.replace("text", F.lit("  !"), F.lit("!")))
+
+    def by_row(rows: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
+        held = sources["regions"].select(F.col("r_regionkey").cast("string").alias("doc_uri"), "r_name")
+        done = F.col("r_name").isNotNull()
+        return rows.join(held, "doc_uri", "left").select(
+            "property_shape_iri", F.when(done, "RESOLVED").otherwise("NOT_FOUND").alias("status"), F.col("r_name").alias("content"), F.concat(F.lit("sha256:"), F.sha2("r_name", 256)).alias("current_hash")
+        )
+
+    selectors.register("urn:row", by_row, replace=True)
+    found = selectors.check_any_drift(any_citations(spark, sf), {"nodes": nodes, "json": json, "texts": texts, "regions": table(spark, sf, "region")})
+    return found.select("property_shape_iri", "current_status", "changed", "current_hash")
+
+
 # ---------------------------------------------------------------- mapping files
 
 
@@ -489,15 +549,13 @@ def pending_corrections(spark, sf):
     return history.pending(events.select("correction"), events.where("event_id % 3 = 0").select("correction"))
 
 
-@query("q_unchanged_standards", "SELECT p_mfgr AS standard, NOT bool_or(p_size = 50) AS unchanged FROM (SELECT p_brand AS p_mfgr, p_size FROM part WHERE p_brand IN (SELECT min(p_brand) FROM part UNION SELECT max(p_brand) FROM part)) GROUP BY p_mfgr")
+@query("q_unchanged_standards", "SELECT p_brand AS standard, NOT bool_or(p_size = 50) AS unchanged FROM part GROUP BY p_brand")
 def unchanged_standards(spark, sf):
-    """Whether the first and the last standard would change if all parts of size 50 were cited anew."""
+    """Which standards would stay as they are if all parts of size 50 were cited anew."""
     rows = citations(spark, sf)
     fresh = table(spark, sf, "part").where("p_size = 50").select(F.concat(F.lit("/part["), F.col("p_partkey").cast("string"), F.lit("]")).alias("selector_value"), F.lit("new").alias("new"))
     new = rows.join(fresh, "selector_value", "left").withColumn("content_hash", F.coalesce("new", "content_hash")).select(*rows.columns)
-    ends = rows.agg(F.min("standard"), F.max("standard")).first()
-    found = [(s, unchanged(rows.where(F.col("standard") == s), new.where(F.col("standard") == s))) for s in sorted(set(ends))]
-    return spark.createDataFrame(found, "standard string, unchanged boolean")
+    return unchanged_by(rows, new, "standard")
 
 
 @query(
