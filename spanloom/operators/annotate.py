@@ -47,8 +47,8 @@ def node_shapes(citations: DataFrame) -> DataFrame:
     return citations.select("node_shape_iri", "standard", "shape_name").distinct()
 
 
-def star_triples(citations: DataFrame, graph: str = "") -> DataFrame:
-    """The triples of citations: 12 for each, 13 with a page, hints besides; a set."""
+def star_triples(citations: DataFrame, graph: str | Column = "") -> DataFrame:
+    """The triples of citations: 12 for each, 13 with a page, hints besides; a set. ``graph`` is one name, or a column of names."""
     shape, node = F.col("property_shape_iri"), F.col("node_shape_iri")
     path, note = F.concat(shape, F.lit("/path")), F.concat(shape, F.lit("/annotation"))
     target, selector = bnode(shape, "target"), bnode(shape, "selector")
@@ -80,8 +80,8 @@ def star_triples(citations: DataFrame, graph: str = "") -> DataFrame:
         triple(shape, "sh:order", F.col("sh_order"), "literal", number, keep=F.col("sh_order").isNotNull()),
         triple(shape, "dash:editor", F.col("dash_editor"), "iri", keep=F.col("dash_editor").isNotNull()),
     )
-    rows = citations.select(F.explode(F.filter(star, lambda t: t.isNotNull())).alias("t"))
-    return rows.select(F.lit(graph).alias("graph"), "t.*").dropDuplicates()
+    rows = citations.select(F.lit(graph).alias("graph"), F.explode(F.filter(star, lambda t: t.isNotNull())).alias("t"))
+    return rows.select("graph", "t.*").dropDuplicates()
 
 
 def clear_property_shapes(citations: DataFrame, shapes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ changed, 5 doubled and 7 gone.
 from __future__ import annotations
 
 import math
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from .functions import geometry, terms
 from .model import JSON_SELECTOR, SVG_SELECTOR, TEXT_SELECTOR, XPATH_SELECTOR
 from .operators import align, audit, drift, history, pages, resolve, schemas, selectors
-from .plans import patterns
-from .plans.lineage import cut
+from .plans import patterns, runs
+from .plans.lineage import cut, shared_folder
 from .plans.store import unchanged_by
 from .queries import _HASH, _TODAY, QUERIES, citations, geo, query, table, today
 from .sources.sssom import header, parse_mappings
@@ -377,6 +378,41 @@ def resolve_texts(spark, sf):
     return found.select(F.col("property_shape_iri").alias("doc_id"), "status", "current_hash")
 
 
+# ---------------------------------------------------------------- runs
+
+
+def documented_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_uri, content): a schema for each brand with an element for each part, every third documented as on the pages, every third by one letter; some elements stand on no page."""
+    key = F.col("p_partkey").cast("string")
+    said = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_type", F.lit(" of "), key)).when(F.col("p_partkey") % 3 == 1, "x")
+    note = F.when(said.isNull(), "").otherwise(F.concat(F.lit('<xs:annotation><xs:documentation xml:lang="de">'), said, F.lit("</xs:documentation></xs:annotation>")))
+    item = F.concat(F.lit('<xs:element name="Part'), key, F.lit('">'), note, F.lit("</xs:element>"), F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit('<xs:element name="Other'), key, F.lit('"/>'))).otherwise(""))
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("xml")))), lambda x: x["xml"]), "")
+    text = F.concat(F.lit('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" targetNamespace="urn:parts">'), items, F.lit("</xs:schema>"))
+    return table(spark, sf, "part").groupBy(F.col("p_brand").alias("doc_uri")).agg(text.cast("binary").alias("content"))
+
+
+@query(
+    "q_run_pipeline",
+    """WITH t AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS r FROM part)
+SELECT 'Part' || p_partkey AS name, 'attached' AS state, p_type || ' of ' || p_partkey AS text, p_brand AS doc_uri, (r // 5 + 1 + (r % 5 = 4)::INTEGER)::INTEGER AS page,
+       CASE WHEN p_partkey % 3 = 1 THEN 'length_ratio' END AS issues FROM t
+UNION ALL SELECT 'Other' || p_partkey, 'unmatched', NULL, NULL, NULL, NULL FROM t WHERE p_partkey % 5 = 0""",
+)
+def run_of_parts(spark, sf):
+    """A whole run over schemas and pages of the parts, read back from its store: states, places and issues of all constructs."""
+    documents = cut(documented_parts(spark, sf))
+    store = runs.RunStore(spark, f"{shared_folder(spark)}/runs-{uuid4()}")
+    sources = documents.select(F.col("doc_uri").alias("path"), "content")
+    runs.run_pipeline(store, "run 1", "2026-01-01T00:00:00Z", cut(parse_documents(documents)), printed_parts(spark, sf), sources)
+    states, faults, places = (store.read("run 1", k) for k in ("coverage", "issues", "provenance"))
+    return (
+        states.join(places.select("uri", "doc_uri", "page"), "uri", "left")
+        .join(faults.select("uri", F.array_join("issues", ",").alias("issues")), "uri", "left")
+        .select("name", "state", "text", "doc_uri", "page", "issues")
+    )
+
+
 # ---------------------------------------------------------------- selectors of any kind
 
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from pyspark.errors import PySparkException
 
 from spanloom.errors import PropertyShapeNotFoundError, StoreError
@@ -73,3 +74,34 @@ def test_store(spark, tmp_path, monkeypatch):
     with pytest.raises(StoreError, match="existing file"):
         CitationStore(spark, str(tmp_path / "file")).open()
     assert not unchanged(first, first.limit(1))
+
+
+def test_writes_touch_their_standards_only(spark, tmp_path):
+    """Other standards' files stay; a write that breaks before its manifest leaves the old state; a second writer is refused."""
+    place = tmp_path / "store"
+    store = CitationStore(spark, f"file://{place}").open()
+    assert store.read().count() == 0
+    store.write(citations(spark, ("A", "N", "p", "/a", "urn:x", "h1"), ("B", "N", "p", "/a", "urn:x", "h2")))
+    before = store.manifest()[1]
+    store.write(citations(spark, ("B", "N", "q", "/a", "urn:x", "h3")))
+    after = store.manifest()[1]
+    a, b = (store.read().where(F.col("standard") == k).first().standard_slug for k in "AB")
+    assert before[a] == after[a] and before[b] != after[b] and store.read().count() == 3
+
+    def broken(*_):
+        raise OSError("the machine is gone")
+
+    put, store.folder.put = store.folder.put, broken
+    with pytest.raises(OSError, match="gone"):
+        store.write(citations(spark, ("B", "N", "q", "/b", "urn:x", "h4")))
+    assert {r.content_hash for r in store.read().collect()} == {"h1", "h2", "h3"}
+    store.folder.put = lambda text, *parts: put("{}", *parts) and put(text, *parts)  # another writer takes the number
+    with pytest.raises(StoreError, match="came first"):
+        store.write(citations(spark, ("B", "N", "q", "/b", "urn:x", "h4")))
+    store.folder.put = put
+    (place / "_manifest" / "000000000003.json").unlink()
+    moved = store.read().where("content_hash = 'h1'").drop("standard_slug", "shape_slug").withColumn("standard", F.lit("B"))
+    assert store.write(moved)  # a property shape moves to another standard: both are written, one is left without rows
+    assert store.manifest()[1].keys() == {b} and store.read().count() == 3
+    store.clean()
+    assert len(list(place.rglob("*.parquet"))) == 1 and store.read().count() == 3
