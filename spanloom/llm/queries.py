@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, toxicity
-from .chat_format import format_preferences
+from .chat_format import format_preferences, pair_records
 from .common import ascii_lower, fold, table
 from .decontaminate import find_leaks
 from .jaccard import jaccard_components
@@ -67,14 +67,24 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2i (chosen) and 2i + 1 (rejected) make pair i."""
-    turns = table(spark, sf_dir, "conversations").select(
+    return format_preferences(paired_turns(spark, sf_dir))
+
+
+def op9_pair_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs as records: a prompt and two completions, with the spans that the loss counts written as begin:end."""
+    records = pair_records(format_preferences(paired_turns(spark, sf_dir)))
+    written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["begin"].cast("string"), x["end"].cast("string"))), ",")
+    return records.select("pair_id", "prompt", "chosen", "rejected", *(written(f"{side}_spans").alias(f"{side}_spans") for side in ("chosen", "rejected")))
+
+
+def paired_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(
         F.shiftright("conv_id", 1).alias("pair_id"),
         F.when(F.col("conv_id").bitwiseAND(1) == 0, "chosen").otherwise("rejected").alias("side"),
         "turn",
         "role",
         "text",
     )
-    return format_preferences(turns)
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,12 +119,25 @@ QUERIES = {
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
+    "op9_pair_records": op9_pair_records,
     "op10_lm_score": op10_lm_score,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_token_counts": op13_token_counts,
 }
 
+#: CTE ``p``: the turns of pairs by part.
+_PAIRS = r"""
+WITH t AS (SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, turn, coalesce(role, 'user') AS role,
+                  coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+u AS (SELECT pair_id, side, turn, min({'role': role, 'text': text}) AS said FROM t GROUP BY ALL),
+c AS (SELECT pair_id, turn, said FROM u WHERE side = 0), r AS (SELECT pair_id, turn, said FROM u WHERE side = 1),
+b AS (SELECT pair_id, turn, c.said AS c, r.said AS r FROM c FULL JOIN r USING (pair_id, turn)),
+f AS (SELECT pair_id, min(turn) AS fork FROM b WHERE c IS DISTINCT FROM r GROUP BY pair_id),
+p AS (SELECT pair_id, 'prompt' AS part, turn, c AS said FROM b LEFT JOIN f USING (pair_id) WHERE fork IS NULL OR turn < fork
+      UNION ALL SELECT pair_id, 'chosen', turn, c FROM b JOIN f USING (pair_id) WHERE turn >= fork AND c IS NOT NULL
+      UNION ALL SELECT pair_id, 'rejected', turn, r FROM b JOIN f USING (pair_id) WHERE turn >= fork AND r IS NOT NULL)"""
+
 #: CTE with one list ``crc``: the 256 entries of the reflected CRC-32 table; and the checksum of an ASCII text.
 _CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
     lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"""
@@ -201,21 +224,21 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, m.y AS component_id
 FROM n JOIN (SELECT x, min(y) AS y FROM r GROUP BY x) m ON n.doc_id = m.x""",
-    "op9_chat_format": r"""
-WITH t AS (SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, turn, coalesce(role, 'user') AS role,
-                  coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-u AS (SELECT pair_id, side, turn, min({'role': role, 'text': text}) AS said FROM t GROUP BY ALL),
-c AS (SELECT pair_id, turn, said FROM u WHERE side = 0), r AS (SELECT pair_id, turn, said FROM u WHERE side = 1),
-b AS (SELECT pair_id, turn, c.said AS c, r.said AS r FROM c FULL JOIN r USING (pair_id, turn)),
-f AS (SELECT pair_id, min(turn) AS fork FROM b WHERE c IS DISTINCT FROM r GROUP BY pair_id),
-p AS (SELECT pair_id, 'prompt' AS part, turn, c AS said FROM b LEFT JOIN f USING (pair_id) WHERE fork IS NULL OR turn < fork
-      UNION ALL SELECT pair_id, 'chosen', turn, c FROM b JOIN f USING (pair_id) WHERE turn >= fork AND c IS NOT NULL
-      UNION ALL SELECT pair_id, 'rejected', turn, r FROM b JOIN f USING (pair_id) WHERE turn >= fork AND r IS NOT NULL)
+    "op9_chat_format": _PAIRS + r"""
 SELECT pair_id, part, turn, said.role AS role,
        '<|' || said.role || '|>' || chr(10) || said.text || '<|end|>' || chr(10) AS rendered,
        (length(said.role) + 5)::INTEGER AS body_start, (length(said.role) + 5 + length(said.text))::INTEGER AS body_end,
        (CASE WHEN part <> 'prompt' AND said.role = 'assistant' THEN 1 ELSE 0 END)::INTEGER AS loss
 FROM p""",
+    "op9_pair_records": _PAIRS + r""",
+w AS (SELECT pair_id, part, turn, said.role AS role, '<|' || said.role || '|>' || chr(10) || said.text || '<|end|>' || chr(10) AS rendered,
+             length(said.role) + 5 AS a, length(said.role) + 5 + length(said.text) AS b FROM p),
+o AS (SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begun FROM w)
+SELECT pair_id, coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (part = 'prompt'), '') AS prompt,
+       coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (part = 'chosen'), '') AS chosen, coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (part = 'rejected'), '') AS rejected,
+       coalesce(string_agg((begun + a) || ':' || (begun + b), ',' ORDER BY turn) FILTER (part = 'chosen' AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg((begun + a) || ':' || (begun + b), ',' ORDER BY turn) FILTER (part = 'rejected' AND role = 'assistant'), '') AS rejected_spans
+FROM o GROUP BY pair_id""",
     # levenshtein() goes by bytes: U+00C0 to U+00FF become ! to ` first
     "op11_spelling_variants": f"""
 WITH RECURSIVE {_CRC_TABLE},
