@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.follow import follow
+from ..plans.lineage import cut, shared_folder
 
 TRIPLE = ["s", "p", "o", "o_dt", "o_lang"]
 
@@ -148,6 +151,34 @@ def check_references(parts: DataFrame, roots: DataFrame, checked: DataFrame, dep
     )
 
 
+def fold_references(parts: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(ref_id, document, digest) of all references: their JSON and content hash, from the leaves up.
+
+    ``parts`` has ref_id, place, part_ref_id; ``leaves`` ref_id, document (JSON text), digest. A
+    union is ``{"parts":[...]}`` of its parts in order, and its digest the sha256 of theirs, joined
+    by bars. A round folds every reference whose parts are all known; as many rounds follow as
+    references nest, each written to the shared folder. A part that is never known, or a
+    circle, is an error.
+    """
+    spark = parts.sparkSession
+    folder = f"{shared_folder(spark)}/fold-{uuid4()}"
+    columns = "ref_id string, document string, digest string"
+    leaves.select("ref_id", "document", "digest").write.parquet(folder)
+    waiting = cut(parts.select("ref_id", "place", "part_ref_id"))
+    while not waiting.isEmpty():
+        done = spark.read.schema(columns).parquet(folder).withColumnRenamed("ref_id", "part_ref_id")
+        row = F.struct("place", "part_ref_id", "document", "digest")
+        whole = waiting.join(done, "part_ref_id", "left").groupBy("ref_id").agg(F.count("*").alias("n"), F.count("document").alias("known"), F.array_sort(F.collect_list(row)).alias("rows"))
+        listed = lambda k: F.transform("rows", lambda r: r[k])
+        document = F.concat(F.lit('{"parts":['), F.array_join(listed("document"), ","), F.lit("]}"))
+        new = cut(whole.where("n = known").select("ref_id", document.alias("document"), F.sha2(F.array_join(listed("digest"), "|"), 256).alias("digest")))
+        if new.isEmpty():
+            raise ValueError(f"{waiting.first().ref_id} has parts that are unknown or lead in a circle")
+        new.write.mode("append").parquet(folder)
+        waiting = cut(waiting.join(new, "ref_id", "left_anti"))
+    return spark.read.schema(columns).parquet(folder)
+
+
 def audit_json(tables: dict[str, Column]) -> Column:
     """One JSON document of named columns, as a run's audit keeps them."""
     return F.to_json(F.struct(*[c.alias(k) for k, c in tables.items()]))

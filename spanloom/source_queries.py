@@ -265,6 +265,35 @@ def check_references(spark, sf):
     return history.check_references(parts, roots, checked)
 
 
+@query(
+    "q_reference_documents",
+    """WITH c AS (SELECT c_nationkey AS n, c_custkey AS k, '{"customer":' || c_custkey || '}' AS d, sha256(c_name) AS h FROM customer),
+p AS (SELECT n, k // 7 AS g, '{"parts":[' || string_agg(d, ',' ORDER BY k) || ']}' AS d, sha256(string_agg(h, '|' ORDER BY k)) AS h FROM c GROUP BY n, k // 7)
+SELECT 'n' || n AS ref_id, '{"parts":[' || string_agg(d, ',' ORDER BY g) || ']}' AS document, sha256(string_agg(h, '|' ORDER BY g)) AS digest FROM p GROUP BY n""",
+)
+def reference_documents(spark, sf):
+    """References of nations to groups of customers, as nested JSON with the hash of their contents."""
+    rows = table(spark, sf, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("n"), F.floor(F.col("c_custkey") / 7).alias("g"), F.col("c_custkey").alias("k"), "c_name")
+    rows = rows.withColumn("m", F.concat_ws(".", "n", F.col("g").cast("string"))).withColumn("leaf", F.concat(F.lit("c"), F.col("k").cast("string")))
+    parts = rows.select(F.col("n").alias("ref_id"), F.col("g").alias("place"), F.col("m").alias("part_ref_id")).distinct()
+    parts = parts.unionByName(rows.select(F.col("m").alias("ref_id"), F.col("k").alias("place"), F.col("leaf").alias("part_ref_id")))
+    leaves = rows.select(F.col("leaf").alias("ref_id"), F.to_json(F.struct(F.col("k").alias("customer"))).alias("document"), F.sha2("c_name", 256).alias("digest"))
+    return history.fold_references(parts, leaves).where("ref_id LIKE 'n%' AND ref_id NOT LIKE '%.%'")
+
+
+@query(
+    "q_documentation_pairs",
+    """SELECT p_brand AS doc_uri, 'Part' || p_partkey AS name, 'unmatched' AS state,
+       CASE p_partkey % 3 WHEN 0 THEN p_type || ' of ' || p_partkey ELSE 'x' END AS de FROM part WHERE p_partkey % 3 <> 2""",
+)
+def documentation_pairs(spark, sf):
+    """Constructs with a German documentation and one text on the pages: none has an English one in its schema."""
+    nodes = cut(parse_documents(documented_parts(spark, sf)))
+    found = pages.name_occurrences(printed_parts(spark, sf))
+    none = spark.createDataFrame([], "name string, issues array<string>")
+    return schemas.documentation_pairs(schemas.documentation(nodes), found, none).select("doc_uri", "name", "state", "de")
+
+
 # ---------------------------------------------------------------- page regions
 
 

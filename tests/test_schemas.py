@@ -1,9 +1,12 @@
 """Schema components, and paths that find them again."""
 
+import hashlib
+import json
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.operators import history, schemas
 from spanloom.sources.xml_nodes import parse_documents
@@ -123,3 +126,36 @@ def test_references_of_references(spark):
         history.check_references(frame, roots("w"), checked)
     with pytest.raises(ValueError, match="deeper"):
         history.check_references(frame, roots("n0"), checked, depth=5)
+
+
+def test_references_folded_from_their_leaves(spark):
+    parts = spark.createDataFrame([("u", 2, "v"), ("u", 1, "a"), ("v", 1, "b"), ("v", 2, "c"), ("w", 1, "u"), ("w", 2, "a")], "ref_id string, place int, part_ref_id string")
+    leaves = spark.createDataFrame([(k, json.dumps({"family": k}), f"h{k}") for k in "abc"], "ref_id string, document string, digest string")
+    found = {r.ref_id: (json.loads(r.document), r.digest) for r in history.fold_references(parts, leaves).collect()}
+    a, b, c = ({"family": k} for k in "abc")
+    digest = lambda *d: hashlib.sha256("|".join(d).encode()).hexdigest()
+    v = digest("hb", "hc")
+    assert found["v"] == ({"parts": [b, c]}, v) and found["u"] == ({"parts": [a, {"parts": [b, c]}]}, digest("ha", v))
+    assert found["w"] == ({"parts": [{"parts": [a, {"parts": [b, c]}]}, a]}, digest(digest("ha", v), "ha")) and len(found) == 6
+    with pytest.raises(ValueError, match="circle"):
+        history.fold_references(parts.union(spark.createDataFrame([("x", 1, "y"), ("y", 1, "x")], parts.schema)), leaves)
+
+
+def test_documentation_pairs(spark):
+    told = [("d", "A", "de", "x"), ("d", "A", "en", "y"), ("d", "B", None, "x"), ("d", "C", "de", "x"), ("d", "D", "de", "x"), ("d", "E", "en", "only")]
+    seen = [("B", "one"), ("B", "two"), ("B", "one"), ("C", "one"), ("A", "p"), ("A", "q")]
+    pairs = schemas.documentation_pairs(
+        spark.createDataFrame(told, "doc_uri string, name string, lang string, text string"), spark.createDataFrame(seen, "name string, text string"),
+        spark.createDataFrame([("A", ["empty"]), ("C", ["empty"])], "name string, issues array<string>"),
+    )
+    assert {r.name: (r.state, r.candidates, r.issues) for r in pairs.collect()} == {
+        "A": ("matched", None, ["empty"]), "B": ("ambiguous", ["one", "two"], None), "C": ("unmatched", None, None), "D": ("unmatched", None, None),
+    }
+
+
+def test_exclusive_bounds(spark):
+    null = "cast(NULL AS int)"
+    leaf = F.expr(f"struct(cast(array() AS array<string>) AS enumeration, {null} AS minLength, {null} AS maxLength, {null} AS minInclusive, 9 AS maxInclusive, {null} AS totalDigits)")
+    frame = spark.range(1).select(F.explode(schemas.boundary_values(leaf, above=F.lit(3), below=F.lit(100))).alias("v")).select("v.*")
+    assert sorted((int(r.value), r.valid) for r in frame.collect()) == [(3, False), (4, True), (9, True), (10, False)]
+    assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
