@@ -20,7 +20,7 @@ WINDOW, LOCALLY, FREQUENT, FREQUENT_KEPT = 1 << 20, 4, 48, 500_000
 #: Smallest hashes of a set by which close copies find each other first.
 HEADS = 6
 #: Shingles of a block of whole sets, rows of a block of prefix columns, and pairs worked on at a time, about.
-CELLS = 1 << 18
+CELLS = 1 << 19
 #: A prefix column of more classes is cut into strips of about so many.
 STRIP = 8192
 #: Keys of sets that a task remembers while it counts.
