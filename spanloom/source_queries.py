@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from .functions import geometry, terms
 from .model import JSON_SELECTOR, SVG_SELECTOR, TEXT_SELECTOR, XPATH_SELECTOR
-from .operators import align, audit, drift, history, pages, resolve, schemas, selectors
+from .operators import align, annotate, audit, drift, history, pages, resolve, schemas, selectors
 from .plans import patterns, runs
 from .plans.lineage import cut, shared_folder
 from .plans.store import unchanged_by
-from .queries import _HASH, _TODAY, QUERIES, citations, geo, query, table, today
+from .queries import _HASH, _PROBLEMS, _TODAY, QUERIES, citations, geo, problems, query, table, today
 from .sources.sssom import header, parse_mappings
 from .sources.xml_nodes import parse_documents
 
@@ -442,6 +442,67 @@ def run_of_parts(spark, sf):
     )
 
 
+# ---------------------------------------------------------------- reviews and proposals
+
+
+_APPROVED = "SELECT doc_id FROM labels GROUP BY doc_id HAVING bool_or(quality = 1) AND NOT bool_or(toxic = 1)"
+
+
+@query("q_review_summary", f"WITH {_PROBLEMS}, v AS ({_APPROVED}) SELECT p.* FROM p WHERE fact_key NOT IN (SELECT doc_id FROM v) AND fact_key NOT IN (SELECT doc_id FROM documents WHERE source IN ('src3', 'src7'))")
+def review_summary(spark, sf):
+    """Open problems of all documents: two families are lost and left out, approved problems are suppressed."""
+    docs = table(spark, sf, "documents")
+    revisions = docs.select(F.col("doc_id").alias("fact_key"), F.col("source").alias("family"), terms.text_hash(F.col("text")).alias("content_hash"))
+    snapshot = docs.select(F.col("source").alias("family")).distinct().where(~F.col("family").isin("src3", "src7"))
+    now = today(spark, sf).select(F.col("doc_id").alias("key"), terms.text_hash(F.col("text")).alias("current_hash"))
+    verdicts = table(spark, sf, "labels").select("doc_id", F.explode(F.array(F.when(F.col("quality") == 1, "APPROVED"), F.when(F.col("toxic") == 1, "REJECTED"))).alias("verdict"))
+    reviews = problems(spark, sf).join(verdicts.where("verdict IS NOT NULL"), F.col("fact_key") == F.col("doc_id")).select("fact_key", "drift_kind", F.col("fingerprint").alias("reviewed_fingerprint"), "verdict")
+    return drift.review_summary(revisions, snapshot, now, reviews)["open"].select("fact_key", "drift_kind", "fingerprint")
+
+
+@query(
+    "q_grouped_problems",
+    f"WITH {_PROBLEMS} SELECT source, count(*) AS n, string_agg(drift_kind || ':' || fingerprint, ',' ORDER BY drift_kind, fingerprint) AS problems FROM p JOIN documents ON doc_id = fact_key GROUP BY source",
+)
+def grouped_problems(spark, sf):
+    """The problems of each family as one sorted list."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("fact_key"), "source")
+    listed = drift.grouped(problems(spark, sf).join(docs, "fact_key"), "source")
+    written = F.array_join(F.transform("problems", lambda p: F.concat_ws(":", p["drift_kind"], p["fingerprint"])), ",")
+    return listed.select("source", F.size("problems").cast("long").alias("n"), written.alias("problems"))
+
+
+@query(
+    "q_propose",
+    """WITH c AS (SELECT 'c' || o_orderkey AS correction, o_custkey AS s, o_orderkey % 4 AS k FROM orders),
+r AS (SELECT correction FROM c WHERE k IN (1, 2) AND s IN (SELECT s FROM c WHERE k = 3))
+SELECT correction, outcome, decider, CASE WHEN outcome = 'rejected' THEN '2026-01-02' ELSE '2026-01-01' END AS generated_at FROM
+  (SELECT correction, 'approved' AS outcome, 'someone' AS decider FROM c WHERE k = 0 UNION ALL SELECT correction, 'rejected', 'system' FROM r)""",
+)
+def propose(spark, sf):
+    """Decisions after a quarter of the orders has been proposed anew: open ones on the same customer are rejected by the system."""
+    rows = table(spark, sf, "orders").select(
+        F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("correction"), F.col("o_custkey").cast("string").alias("s"), F.lit("p").alias("p"), F.lit("de").alias("o_lang"), (F.col("o_orderkey") % 4).alias("k")
+    )
+    made = lambda *k: rows.where(F.col("k").isin(*k)).drop("k")
+    decided = made(0).select("correction", F.lit("approved").alias("outcome"), F.lit("someone").alias("decider"), F.lit("2026-01-01").alias("generated_at"))
+    return history.propose(made(0, 1, 2), decided, made(3), "2026-01-02")[1]
+
+
+@query(
+    "q_annotate_svg",
+    """SELECT 'p' || p_partkey AS property_name, p_size % 7 + 1 AS page, '<svg:polygon points=''0,0 ' || p_size || ',0 ' || p_size || ',' || (p_size + 1) || ''' xmlns:svg=''http://www.w3.org/2000/svg''/>' AS selector_value FROM part""",
+)
+def annotate_regions(spark, sf):
+    """A citation of a triangle for each part."""
+    size = F.col("p_size").cast("string")
+    rows = table(spark, sf, "part").select(
+        F.lit("S").alias("standard"), F.col("p_brand").alias("shape_name"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("property_name"), (F.col("p_size") % 7 + 1).alias("page"),
+        F.concat(F.lit("0,0 "), size, F.lit(",0 "), size, F.lit(","), (F.col("p_size") + 1).cast("string")).alias("points"), F.lit("urn:doc").alias("source_uri"), F.lit("sha256:x").alias("content_hash"),
+    )
+    return annotate.annotate_svg(rows).select("property_name", "page", "selector_value")
+
+
 # ---------------------------------------------------------------- selectors of any kind
 
 
