@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry, terms
-from .model import JSON_SELECTOR, SVG_SELECTOR, TEXT_SELECTOR, XPATH_SELECTOR
+from .model import JSON_SELECTOR, SVG_SELECTOR, TEXT_SELECTOR, XPATH_SELECTOR, iri
 from .operators import align, annotate, audit, drift, history, pages, resolve, schemas, selectors
 from .plans import patterns, runs
 from .plans.lineage import cut, shared_folder
@@ -442,6 +442,24 @@ def run_of_parts(spark, sf):
     )
 
 
+@query(
+    "q_load_and_validate",
+    """SELECT 'urn:n:' || s_nationkey || ':' || s_suppkey AS subject_id, 'http://www.w3.org/2002/07/owl#Thing' AS object_id, CASE WHEN s_suppkey % 10 <> 6 THEN s_suppkey % 10 / 10.0::DOUBLE END AS confidence
+FROM supplier WHERE s_suppkey % 10 NOT IN (1, 2, 3, 4)""",
+)
+def load_and_validate(spark, sf):
+    """The mapping files of the nations without their faulty rows, written to the shared folder, loaded and held against a graph and a vocabulary."""
+    faulty = (F.col("line_num") > 100) & ((F.col("line_num") - 101) % 10).isin(1, 2, 3, 4)
+    folder = f"{shared_folder(spark)}/mappings-{uuid4()}"
+    lines = mapping_lines(spark, sf).where(~faulty).repartition("src_path").sortWithinPartitions("src_path", "line_num")
+    lines.select("src_path", "line").write.partitionBy("src_path").text(folder)
+    typed = lambda rows, kind: rows.select("s", F.lit(iri("rdf:type")).alias("p"), F.lit(iri(kind)).alias("o"))
+    shapes = table(spark, sf, "supplier").select(F.concat(F.lit("urn:n:"), F.col("s_nationkey").cast("string"), F.lit(":"), F.col("s_suppkey").cast("string")).alias("s"))
+    known = table(spark, sf, "region").select(F.lit(iri("owl:Thing")).alias("s")).distinct()
+    found = align.load_and_validate(spark, f"{folder}/*/part-*", typed(shapes, "sh:PropertyShape"), typed(known, "owl:Class"))
+    return found.select("subject_id", "object_id", "confidence")
+
+
 # ---------------------------------------------------------------- reviews and proposals
 
 
