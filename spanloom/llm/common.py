@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache
+from inspect import signature
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +16,7 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, St
 
 from ..plans.lineage import cut, shared_folder
 
-__all__ = ["ascii_lower", "cut", "fold", "map_texts", "shared_folder", "slices", "small", "table", "with_texts"]
+__all__ = ["ascii_lower", "cut", "fold", "map_texts", "shared_folder", "slices", "small", "table", "tidy", "tidy_group", "with_texts"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -71,6 +74,47 @@ def with_texts(df: DataFrame) -> DataFrame:
     return df
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    """The C library's malloc_trim, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError, TypeError):
+        return None
+
+
+def give_back() -> None:
+    """Return memory that this Python worker has freed to the machine; workers live on from task to task and from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _trim() is not None:
+        _trim()(0)
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over a task's batches, which gives memory back when it ends."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def tidy_group(work: Callable) -> Callable:
+    """``work`` over a group's tables, which gives memory back when it ends."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        try:
+            return work(*tables)
+        finally:
+            give_back()
+
+    # Spark counts the arguments of a function of groups
+    return (lambda a: run(a)) if len(signature(work).parameters) == 1 else (lambda a, b: run(a, b))
+
+
 def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Parts of a batch that hold about ``size`` bytes of ``column`` each, one row at least; none of an empty batch."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -112,7 +156,7 @@ def map_texts(
                 made = work(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(_array(made[n]) for n in names)], [*shown, *names])
 
-    return with_texts(source).mapInArrow(run, StructType([*carried, *made_here.fields]))
+    return with_texts(source).mapInArrow(tidy(run), StructType([*carried, *made_here.fields]))
 
 
 def _array(values: Sequence) -> pa.Array:

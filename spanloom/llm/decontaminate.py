@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_texts
+from .common import tidy, with_texts
 from .hashing import PUNCTUATION, hashed_words, mix, shingles
 
 #: A fingerprint has BITS bits in BLOCKS blocks. Two fingerprints within RADIUS differ by at
@@ -188,7 +188,7 @@ def find_leaks(
                     ["doc_id", "item_id", "start_word", "n_words", "similarity"],
                 )
 
-        return with_texts(source).mapInArrow(run, schema)
+        return with_texts(source).mapInArrow(tidy(run), schema)
 
     passes = [passed(Items(rows, words)) for rows in item_blocks(benchmark, item_col, item_text_col)]
     if not passes:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, small, with_texts
+from .common import cut, slices, small, tidy, tidy_group, with_texts
 from .components import connected_components
 from .hashing import factors, hashed_words, mix, shingles
 
@@ -85,7 +85,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
     rows = (
         with_texts(docs.select("text"))
-        .mapInArrow(run, "shingle long, n long")
+        .mapInArrow(tidy(run), "shingle long, n long")
         .groupBy("shingle")
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") >= FREQUENT)
@@ -139,7 +139,7 @@ def profiles(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_texts(docs).mapInArrow(run, f"doc_id {kind}, n long, cls long, typical double, heads array<long>, prefix array<long>")
+    return with_texts(docs).mapInArrow(tidy(run), f"doc_id {kind}, n long, cls long, typical double, heads array<long>, prefix array<long>")
 
 
 def overlap_counts(sets: pa.Table, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,7 +201,7 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, pe
     made = (
         docs.join(wanted, docs["doc_id"] == wanted["rep"])
         .select("cls", "blocks", "text")
-        .mapInArrow(sets, "block long, cls long, shingles binary")
+        .mapInArrow(tidy(sets), "block long, cls long, shingles binary")
     )
 
     def links(rows: pa.Table, wished: pa.Table) -> pa.Table:
@@ -209,7 +209,7 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, pe
         both, n, m = overlap_counts(rows, u, v)
         return wished.select(["u", "v"]).filter(pa.array(100 * both >= percent * (n + m - both)))
 
-    return made.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(links, "u long, v long")
+    return made.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(tidy_group(links), "u long, v long")
 
 
 def close_sizes(n: str, m: str, percent: int) -> Column:
@@ -325,7 +325,7 @@ def product_pairs(profile: DataFrame, groups: DataFrame, percent: int) -> DataFr
     suffix = F.ceil(F.greatest("n", "m") * percent / 100) - 1
     return (
         dealt.groupBy("block", "a", "b")
-        .applyInArrow(lambda block: block_product(block, percent), "u long, v long, n long, m long, shared long")
+        .applyInArrow(tidy_group(lambda block: block_product(block, percent)), "u long, v long, n long, m long, shared long")
         .groupBy("u", "v", "n", "m")
         .agg(F.sum("shared").alias("shared"))
         .where(F.col("shared") + suffix >= least_overlap(F.col("n"), F.col("m"), percent))

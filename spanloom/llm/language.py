@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, with_texts
+from .common import map_texts, slices, tidy, with_texts
 
 #: Character n-grams are hashed into this many cells.
 CELLS = 1 << 15
@@ -120,7 +120,7 @@ def train(labelled: DataFrame) -> LanguageModel:
     rows = (
         with_texts(labelled.select("lang", "text"))
         .where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .mapInArrow(count, "lang string, cell int, n long")
+        .mapInArrow(tidy(count), "lang string, cell int, n long")
         .groupBy("lang", "cell")
         .agg(F.sum("n").alias("n"))
         .toArrow()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, with_texts
+from .common import cut, tidy, with_texts
 from .subword import encoder
 
 #: The id that ends every document.
@@ -51,7 +51,7 @@ def tokenised(docs: DataFrame, capacity: int, with_ids: bool, id_col: str, text_
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return with_texts(source).mapInArrow(run, f"doc_id {kind}, {PIECES}" + ", ids array<int>" * with_ids)
+    return with_texts(source).mapInArrow(tidy(run), f"doc_id {kind}, {PIECES}" + ", ids array<int>" * with_ids)
 
 
 def knapsack(duals: np.ndarray, widths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
