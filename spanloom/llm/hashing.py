@@ -38,20 +38,23 @@ def words_of(data: np.ndarray, bounds: np.ndarray, between: np.ndarray = BLANK,
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(bounds), np.int64)
     inside = ~between[data]
-    opens = np.zeros(len(data), bool)
-    opens[bounds[:-1][bounds[:-1] < len(data)]] = True
-    opens[1:] |= ~inside[:-1]
-    opens[0] = True
-    opens &= inside
-    begins = np.flatnonzero(opens)
-    letters = np.flatnonzero(inside)
-    heads = np.flatnonzero(opens[letters])
-    sizes = np.diff(np.append(heads, len(letters)))
-    place = letters - np.repeat(begins, sizes)
-    weight = mix((np.arange(int(place.max(initial=0)) + 1, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
-    terms = _BYTE[same[data[letters]]] * (weight | np.uint64(1))[place]
-    hashes = mix(np.add.reduceat(terms, heads)) if len(heads) else np.zeros(0, np.uint64)
-    return hashes, begins, begins + sizes, np.searchsorted(begins, bounds)
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    starts, stops = bounds[:-1][bounds[:-1] < len(data)], bounds[1:][bounds[1:] > 0] - 1
+    opens[starts], closes[stops] = inside[starts], inside[stops]
+    begins, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    if not len(begins):
+        return np.zeros(0, np.uint64), begins, ends, np.zeros(len(bounds), np.int64)
+    # all bytes from the first word on are added up; those between words count nothing, whatever their place
+    kept, value = data[begins[0] :], np.where(between, np.uint64(0), _BYTE[same])
+    place = np.arange(len(kept)) - np.repeat(begins - begins[0], np.diff(np.append(begins, len(data))))
+    longest = int((ends - begins).max())
+    np.minimum(place, longest - 1, out=place)
+    weight = mix((np.arange(longest, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
+    terms = value[kept]
+    terms *= (weight | np.uint64(1))[place]
+    return mix(np.add.reduceat(terms, begins - begins[0])), begins, ends, np.searchsorted(begins, bounds)
 
 
 def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -140,9 +140,18 @@ Parts = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def parts_of(p: dict[str, np.ndarray], x: np.ndarray) -> Parts:
-    """Query, key and value of embeddings; the value's last column is 1 and adds up weights."""
-    keep = np.eye(WIDTH, dtype=x.dtype)[:, -1:]
-    return x @ (p["query"] * x.dtype.type(WIDTH**-0.5)), x @ p["key"], x @ np.hstack([p["value"], keep])
+    """Query of embeddings through the key's weights, and twice the embeddings, which stand for keys and values.
+
+    A query meets the key of x where the query through the key's weights meets x itself. Values
+    are averaged, so embeddings can be averaged and then take the value's weights once. The
+    embeddings' last column is 1 and adds up weights.
+    """
+    return x @ (p["query"] @ p["key"].T * x.dtype.type(WIDTH**-0.5)), x, x
+
+
+def value_of(p: dict[str, np.ndarray]) -> np.ndarray:
+    """What takes averaged embeddings to averaged values, beside which their last column stays."""
+    return np.hstack([p["value"], np.eye(WIDTH, dtype=p["value"].dtype)[:, -1:]])
 
 
 def windows(line: np.ndarray) -> np.ndarray:
@@ -154,13 +163,13 @@ def windows(line: np.ndarray) -> np.ndarray:
 def forward(p: dict[str, np.ndarray], parts: Parts, known: np.ndarray) -> dict[str, np.ndarray]:
     """Class scores behind each place of a line but those of its first stride.
 
-    ``parts`` are queries of the places that ask, keys and values of all places; ``known`` are
-    the successor log probabilities of the places that ask. Attention scores are kept
-    transposed: places by place that asks.
+    ``parts`` are those of ``parts_of``: the first of the places that ask, the others of all
+    places; ``known`` are the successor log probabilities of the places that ask. Attention
+    scores are kept transposed: places by place that asks.
     """
     q = parts[0].reshape(-1, STRIDE, WIDTH)
     k, v = windows(parts[1]), windows(parts[2])
-    a = k @ np.ascontiguousarray(q.transpose(0, 2, 1))
+    a = k @ q.transpose(0, 2, 1)
     a += p["near"][0][_BEFORE] + _MASK
     if a.max() > 60:
         a -= np.maximum(a.max(axis=1, keepdims=True), 0)
@@ -168,9 +177,10 @@ def forward(p: dict[str, np.ndarray], parts: Parts, known: np.ndarray) -> dict[s
     o = (a.transpose(0, 2, 1) @ v).reshape(-1, WIDTH)
     total = o[:, -1:].copy()
     o /= total  # its last column is 1 and meets the bias
-    scores = o @ p["out"]
+    out = value_of(p) @ p["out"]
+    scores = o @ out
     scores += known
-    return {"q": q, "k": k, "v": v, "a": a, "o": o, "total": total, "scores": scores}
+    return {"k": k, "v": v, "a": a, "o": o, "total": total, "out": out, "scores": scores}
 
 
 def chances(scores: np.ndarray) -> np.ndarray:
@@ -181,34 +191,25 @@ def chances(scores: np.ndarray) -> np.ndarray:
     return scores @ np.ones(CLASSES, scores.dtype)
 
 
-def joined(windowed: np.ndarray) -> np.ndarray:
-    """What overlapping windows hold of each place of the line, added up."""
-    n = len(windowed)
-    flat, cut_ = windowed.reshape(n, -1), STRIDE * WIDTH
-    line = np.zeros((n + 1, cut_), windowed.dtype)
-    line[:-1] = flat[:, :cut_]
-    line[1:, : cut_ - WIDTH] += flat[:, cut_:]
-    return line.reshape(-1, WIDTH)
-
-
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, known: np.ndarray, target: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean loss over the places where ``real``; ``x`` are the embeddings of a line, ``target`` the next classes."""
-    q, k, v = parts_of(p, x)
-    f = forward(p, (q[STRIDE - 1 : -1], k, v), known)
-    d, n = f["scores"], len(x) // STRIDE - 1
-    scale = real.astype(d.dtype) / d.dtype.type(max(1, np.count_nonzero(real)))
-    d *= (scale / chances(d))[:, None]
-    d.reshape(-1)[np.arange(0, d.size, CLASSES) + target] -= scale
-    g = {"out": f["o"].T @ d}
-    do = d @ p["out"].T
-    do /= f["total"]
-    do[:, -1] -= np.einsum("nd,nd->n", do, f["o"])  # meets the ones beside the values
-    do = do.reshape(n, STRIDE, WIDTH)
-    da = f["v"] @ np.ascontiguousarray(do.transpose(0, 2, 1))
+    asking = x[STRIDE - 1 : -1]
+    q, k, v = parts_of(p, asking)[0], x, x
+    f = forward(p, (q, k, v), known)
+    d, o, n = f["scores"], f["o"], len(x) // STRIDE - 1
+    total = chances(d)
+    # exponentials less their sum at the target; the factor that makes them gradients goes to the narrower side of a product
+    d.reshape(-1)[np.arange(0, d.size, CLASSES) + target] -= total
+    factor = (real / (total * total.dtype.type(max(1, np.count_nonzero(real)))))[:, None].astype(d.dtype)
+    both = (o * factor).T @ d  # gradient of value and out multiplied
+    g = {"out": value_of(p).T @ both, "value": (both @ p["out"].T)[:, :-1]}
+    do = d @ f["out"].T
+    do *= factor / f["total"]
+    do[:, -1] -= np.einsum("nd,nd->n", do, o)  # meets the ones that add up weights
+    da = f["v"] @ do.reshape(n, STRIDE, WIDTH).transpose(0, 2, 1)
     da *= f["a"]
-    g["value"] = (x.T @ joined(f["a"] @ do))[:, :-1]
-    g["key"] = x.T @ joined(da @ f["q"])
-    g["query"] = x[STRIDE - 1 : -1].T @ (da.transpose(0, 2, 1) @ f["k"]).reshape(-1, WIDTH) * x.dtype.type(WIDTH**-0.5)
+    both = asking.T @ (da.transpose(0, 2, 1) @ f["k"]).reshape(-1, WIDTH) * x.dtype.type(WIDTH**-0.5)  # of query and key multiplied
+    g["query"], g["key"] = both @ p["key"], both.T @ p["query"]
     near = np.ones(n, da.dtype) @ da.reshape(n, -1)
     g["near"] = np.bincount(_BEFORE.ravel(), weights=near, minlength=REACH).astype(da.dtype)[None]
     return g
@@ -255,22 +256,22 @@ def log_probabilities(
 ) -> np.ndarray:
     """log10 probability of each text (rows) under the model mixed with the unigram by each weight (columns).
 
-    ``parts`` are query, key and value of all input rows, if they are at hand.
+    ``parts`` are those of all input rows, if they are at hand.
     """
     rows, begins = in_line(texts)
-    q, k, v = parts_of(p, t.embed) if parts is None else parts
+    q = parts_of(p, t.embed)[0] if parts is None else parts[0]
     class_before = np.append(CLASSES, u.class_of)
     line = np.zeros((len(rows), len(weights)))
     for to, part, asking, real in batches_of(rows):
-        own = q.take(asking, axis=0), k.take(part, axis=0), v.take(part, axis=0)
-        scores = forward(p, own, t.successor.take(asking, axis=0))["scores"]
+        x = t.embed.take(part, axis=0)
+        scores = forward(p, (q.take(asking, axis=0), x, x), t.successor.take(asking, axis=0))["scores"]
         ids = np.maximum(part[STRIDE:] - 1, 0)
-        target = u.class_of[ids]
+        target = u.class_of.take(ids)
         total = chances(scores)
-        chance = scores[np.arange(len(scores)), target] / total
+        chance = scores.reshape(-1).take(np.arange(0, scores.size, CLASSES) + target) / total
         shared = np.flatnonzero(target >= OWN_CLASS)  # other ids are alone in their class
         inside = np.zeros(len(ids))
-        inside[shared] = t.inside[class_before[asking[shared]], ids[shared]]
+        inside[shared] = t.inside.reshape(-1).take(class_before.take(asking[shared]) * VOCABULARY + ids[shared])
         for j, w in enumerate(weights):
             line[to, j] = (np.log(w * chance + (1 - w) * u.mass[target]) + inside) * real
     return np.add.reduceat(line, begins, axis=0) / np.log(10) if len(texts) else np.zeros((0, len(weights)))

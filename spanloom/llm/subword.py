@@ -58,6 +58,18 @@ class Encoded:
     first: np.ndarray
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, where each comes first, and which one each key is."""
+    found = pa.array(keys).dictionary_encode()
+    inverse = found.indices.to_numpy()
+    index = np.empty(len(found.dictionary), np.int64)
+    index[inverse[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    order = np.argsort(found.dictionary.to_numpy())  # in order they are found sooner
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return found.dictionary.to_numpy()[order], index[order], rank[inverse]
+
+
 class Encoder:
     """Encodes each distinct word once and remembers its ids, as the vocabulary gives them for whole texts.
 
@@ -100,10 +112,11 @@ class Encoder:
             starts[own], sizes[own] = at + cuts + skip, ends - cuts - skip
             pools.append(ids)
             at += len(ids)
-        order = np.argsort(np.append(self.keys, keys), kind="stable")
+        order = np.argsort(keys)
+        among = np.searchsorted(self.keys, keys[order])
         new = (keys, starts, sizes, np.zeros(len(keys), np.int32))
         old = (self.keys, self.starts, self.sizes, self.used)
-        self.keys, self.starts, self.sizes, self.used = (np.append(a, b)[order] for a, b in zip(old, new))
+        self.keys, self.starts, self.sizes, self.used = (np.insert(a, among, b[order]) for a, b in zip(old, new))
         self.pool = np.concatenate(pools)
 
     def __call__(self, texts: pa.Array) -> Iterator[Encoded]:
@@ -116,17 +129,21 @@ class Encoder:
         text_of = np.repeat(np.arange(len(count)), count)
         before = np.where(begins == bounds[text_of], 0, data[begins - 1]) if len(begins) else begins
         kinds = np.select([before == _BLANK, before == _FEED], [_BEHIND, _NEXT_LINE], _START)
-        keys, index, inverse = np.unique(hashes ^ _KIND[kinds], return_index=True, return_inverse=True)
+        keys, index, inverse = distinct(hashes ^ _KIND[kinds])
         odd = self.odd(data, bounds)
-        usual = np.zeros(len(keys), bool)
-        usual[inverse[~odd[text_of]]] = True
+        apart = {int(i): plain_ids(data[bounds[i] : bounds[i + 1]].tobytes().decode()) for i in np.flatnonzero(odd)}
+        usual, place = np.ones(len(keys), bool), index
+        if apart:
+            own = np.flatnonzero(~odd[text_of])
+            usual[:] = False
+            usual[inverse[own]] = True
+            # a usual text has the word: of its places, one in a usual text
+            place = index.copy()
+            place[inverse[own]] = own
         at = self.find(keys)
         new = np.flatnonzero((at < 0) & usual)
         if len(new):
             whole = data.tobytes()
-            # a usual text has the word: of its places, one in a usual text
-            place = index.copy()
-            place[inverse[~odd[text_of]][::-1]] = np.flatnonzero(~odd[text_of])[::-1]
             self.learn(keys[new], kinds[place[new]], [whole[b:e] for b, e in zip(begins[place[new]].tolist(), ends[place[new]].tolist())])
             at = self.find(keys)
             if (at[usual] < 0).any():  # what was remembered before had to go
@@ -138,19 +155,21 @@ class Encoder:
         size[there], start[there] = self.sizes[at[there]], self.starts[at[there]]
         self.used[at[there]] += 1
         words = size[inverse]
-        words[odd[text_of]] = 0
+        if apart:
+            words[odd[text_of]] = 0
         so_far = np.append(0, np.cumsum(words))
         last = np.where(np.diff(bounds) > 0, data[np.maximum(bounds[1:] - 1, 0)] if len(data) else 0, 0)
         tail = ((last == _BLANK) | (last == _FEED)) & ~odd
-        apart = {int(i): plain_ids(data[bounds[i] : bounds[i + 1]].tobytes().decode()) for i in np.flatnonzero(odd)}
         lengths = np.diff(so_far[first]) + tail
         for i, ids in apart.items():
             lengths[i] = len(ids)
         cuts = np.append(0, np.cumsum(lengths))
-        ids = np.empty(cuts[-1], np.uint16)
-        shift = np.repeat(cuts[:-1] - so_far[first[:-1]], count)
-        to = np.repeat(shift, words) + np.arange(so_far[-1])
-        ids[to] = self.pool[np.repeat(start[inverse] - so_far[:-1], words) + np.arange(so_far[-1])]
+        place = np.arange(so_far[-1])
+        ids = self.pool[np.repeat(start[inverse] - so_far[:-1], words) + place]
+        if len(ids) < cuts[-1]:  # some texts have more ids than their words
+            place += np.repeat(cuts[:-1] - so_far[first[:-1]], np.diff(so_far[first]))
+            of_words, ids = ids, np.empty(cuts[-1], np.uint16)
+            ids[place] = of_words
         blank, feed = (plain_ids(c)[0] for c in " \n")
         ids[cuts[1:][tail] - 1] = np.where(last[tail] == _BLANK, blank, feed)
         for i, own in apart.items():

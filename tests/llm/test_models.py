@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spanloom.llm import language, lm_score, packing, secrets, subword, toxicity
+from spanloom.llm import hashing, language, lm_score, packing, secrets, subword, toxicity
 from spanloom.llm.common import fold
 
 # ---------------------------------------------------------------- subword ids
@@ -426,6 +426,37 @@ def test_gradients_match_differences():
             assert np.isclose((up - down) / 2e-5, g[k][i], atol=1e-8, rtol=1e-4), (k, i)
 
 
+def test_keys_and_values_cost_no_product_for_each_place():
+    """Embeddings themselves stand for keys and values, so a step's products of a place are the query's alone."""
+    _, _, t, p = some_model(10, np.float64)
+    x = t.embed[:40]
+    q, k, v = lm_score.parts_of(p, x)
+    assert k is x and v is x
+    assert np.allclose(q @ k.T, (x @ p["query"]) @ (x @ p["key"]).T / lm_score.WIDTH**0.5)
+    weights = np.random.default_rng(1).random((5, 40))
+    assert np.allclose(weights @ v @ lm_score.value_of(p), np.column_stack([weights @ (x @ p["value"]), weights.sum(axis=1)]))
+
+
+def test_words_are_told_apart_as_by_sorting():
+    keys = np.random.default_rng(2).integers(0, 50, 700).astype(np.uint64) << np.uint64(58)
+    for own in (keys, keys[:1], keys[:0]):
+        assert all(np.array_equal(a, b) for a, b in zip(subword.distinct(own), np.unique(own, return_index=True, return_inverse=True)))
+
+
+def test_words_are_where_brute_force_finds_them():
+    """Also across texts without white space between them, and with white space longer than any word."""
+    texts = ["", "ab", "Cd", " e  f" + " " * 50, "\n", "abcdefg h", "   ", "é x", ""]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    bounds = np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+    hashes, begins, ends, first = hashing.words_of(data, bounds)
+    found = [[data[b:e].tobytes().lower() for b, e in zip(begins[i:j], ends[i:j])] for i, j in zip(first, first[1:])]
+    wanted = [re.findall(rb"[^\x20\x09-\x0d]+", t.encode().lower()) for t in texts]
+    assert found == wanted
+    words = sum(wanted, [])
+    alone = [hashing.words_of(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0] for w in words]
+    assert hashes.tolist() == alone and len(set(alone)) == len(set(words))
+
+
 def test_attention_learns_what_the_last_id_does_not_tell():
     """Ids 0, 1 and 2 in turn, each with a filler behind it: after a filler only the id before it tells what comes."""
     counts = np.zeros(lm_score.VOCABULARY)
