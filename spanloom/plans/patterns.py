@@ -48,7 +48,9 @@ def match(triples: DataFrame, patterns: list[Pattern], graph: str | None = None)
     """Solutions of all patterns together: equi-joins on the variables they share.
 
     The most bound pattern comes first, and then always one that shares a variable with what
-    is there, so that no step is a product while the pattern is connected.
+    is there, so that no step is a product while the pattern is connected. Joins are sort-merge joins:
+    a pattern's size is only estimated, from compressed files before they are unfolded to
+    triples, and a side broadcast on that estimate would pass through the driver whole.
     """
     rest = sorted(patterns, key=lambda p: -_bound(p))
     plan = one(triples, rest.pop(0), graph)
@@ -58,7 +60,7 @@ def match(triples: DataFrame, patterns: list[Pattern], graph: str | None = None)
             raise ValueError("patterns share no variable")
         rest.remove(linked)
         found = one(triples, linked, graph)
-        plan = plan.join(found, [c for c in found.columns if c in plan.columns])
+        plan = plan.join(found.hint("merge"), [c for c in found.columns if c in plan.columns])
     return plan
 
 

@@ -92,3 +92,12 @@ def test_renderers():
     assert "&lt;x&gt;" in sheet and "<v>2</v>" in sheet
     with pytest.raises(KeyError):
         transform.workbook_renderer(["a"])([{}])
+
+
+def test_matches_are_not_broadcast_on_an_estimate(spark, tmp_path):
+    """Triples unfolded from a small file are not sent through the driver."""
+    path = f"{tmp_path}/cited"
+    spark.range(20000).selectExpr("concat('urn:x', id % 7) AS s", "id").write.parquet(path)
+    triples = spark.read.parquet(path).selectExpr("'' AS graph", "concat(s, '/', id) AS s", "explode(array('urn:p', 'urn:q')) AS p", "repeat(s, 50) AS o")
+    found = patterns.match(triples, [("?a", "urn:p", "?x"), ("?a", "urn:q", "?y")])
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 20000
