@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut, shared_folder
+from .lineage import cut_unsized, shared_folder
 
 _FOUND = "root string, at string, places array<long>, state string"
 
@@ -27,11 +27,11 @@ def follow(roots: DataFrame, edges: DataFrame, depth: int = 1000) -> DataFrame:
     current = roots.select("root", "at", F.array().cast("array<long>").alias("places"), F.array("at").alias("path"))
     for _ in range(depth + 1):
         state = F.when(F.col("to").isNull(), "end").when(F.array_contains("path", F.col("to")), "cycle").otherwise("on")
-        moved = cut(current.join(steps, "at", "left").withColumn("state", state))
+        moved = cut_unsized(current.join(steps, "at", "left").withColumn("state", state))
         done = moved.where("state <> 'on'")
         done.select("root", F.coalesce("to", "at").alias("at"), "places", "state").write.mode("append").parquet(folder)
         going = moved.where("state = 'on'")
         current = going.select("root", F.col("to").alias("at"), F.concat("places", F.array(F.col("place").cast("long"))).alias("places"), F.concat("path", F.array("to")).alias("path"))
         if current.isEmpty():
-            return spark.read.schema(_FOUND).parquet(folder)
+            return spark.read.schema(_FOUND).parquet(folder).hint("merge")  # the files are much smaller than their rows
     raise ValueError(f"references nest deeper than {depth}")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import history, schemas
+from spanloom.plans.lineage import cut_unsized
 from spanloom.sources.xml_nodes import parse_documents
 
 HEAD = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns:t="urn:t" targetNamespace="urn:t">'
@@ -159,3 +160,11 @@ def test_exclusive_bounds(spark):
     frame = spark.range(1).select(F.explode(schemas.boundary_values(leaf, above=F.lit(3), below=F.lit(100))).alias("v")).select("v.*")
     assert sorted((int(r.value), r.valid) for r in frame.collect()) == [(3, False), (4, True), (9, True), (10, False)]
     assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_paths_are_joined_by_what_was_measured(spark):
+    """Node tables that have been cut, with whatever small estimate, aren't planned to go through the driver."""
+    table = cut_unsized(nodes(spark, '<xs:element name="A"/>'))
+    plan = schemas.minted_paths(table)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert "Broadcast" not in schemas.type_members(table)[0]._jdf.queryExecution().executedPlan().toString()
