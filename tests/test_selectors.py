@@ -26,6 +26,18 @@ def test_json_pointers(spark):
     assert [found[i] for i in range(len(wanted))] == list(wanted.values())
 
 
+def test_json_documents_are_not_copied_to_their_citations(spark):
+    """Each document is read once, however many citations it has and in whatever batches they come."""
+    held = {d: {f"k{i}": {"v": f"{d}{i}"} for i in range(6000)} for d in ("a", "b")}
+    documents = spark.createDataFrame([*((d, json.dumps(v)) for d, v in held.items()), ("c", "{}"), ("c", "[]"), (None, "{}")], "doc_uri string, content string")
+    rows = [(f"{d}{i}", f"/k{i}/v", d) for d in ("a", "b", "c", None) for i in range(0, 6600, 2)]
+    found = selectors.resolve_json(spark.createDataFrame(rows, "property_shape_iri string, selector_value string, doc_uri string"), documents)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.property_shape_iri: (r.status, r.content) for r in found.collect()}
+    want = {"c": ("AMBIGUOUS", None), None: ("NOT_FOUND", None)}
+    assert got == {k: want.get(d, ("RESOLVED", f'"{k}"') if int(p[2:-2]) < 6000 else ("NOT_FOUND", None)) for k, p, d in rows}
+
+
 def test_registry(spark):
     rows = spark.createDataFrame([("a", "mine", "x", "x", "d"), ("b", TEXT_SELECTOR, "", "h", "d")], CITED)
     texts = spark.createDataFrame([("d", "text")], "doc_uri string, text string")
