@@ -168,3 +168,30 @@ def test_paths_are_joined_by_what_was_measured(spark):
     plan = schemas.minted_paths(table)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert "Broadcast" not in schemas.type_members(table)[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_models_have_few_cases(spark):
+    """Rows grow with the logarithm of the particles, and covered pairs are counted by blocks."""
+    rng = random.Random(3)
+    for sizes in ([3, 2, 2] * 60, [rng.randint(1, 4) for _ in range(90)], [rng.randint(1, 6) for _ in range(70)]):
+        table = schemas.covering_rows(sizes)
+        assert (table >= 0).all() and (table < np.array(sizes)).all()
+        for i in range(len(sizes)):
+            for j in range(i):
+                assert len({(a, b) for a, b in table[:, [i, j]].tolist()}) == sizes[i] * sizes[j]
+    assert len(schemas.covering_rows([2, 2, 3] * 800)) < 60
+    rows = [("a", i, f"p{i}", 0, (1, None)[i % 2]) for i in range(70)] + [("b", i, f"p{i}", 1, 3) for i in range(4)] + [("c", 1, "p", 1, 1)]
+    cases = schemas.model_cases(spark.createDataFrame(rows, "model string, place int, name string, low int, high int"), beyond=True).cache()
+    by_case = {}
+    for r in cases.collect():
+        by_case.setdefault((r.model, r.case_id), []).append((r.place, r.n, r.should_be_valid))
+    pairs = {m: {(*a[:2], *b[:2]) for k, c in by_case.items() if k[0] == m for a in c for b in c if a[0] < b[0]} for m in "abc"}
+    options, strip = schemas.OPTIONS, schemas.STRIP
+    try:
+        schemas.OPTIONS, schemas.STRIP = 7, 3
+        found = {r.model: (r.particles, r.cases, r.all_valid, r.pairs) for r in schemas.case_report(cases).collect()}
+    finally:
+        schemas.OPTIONS, schemas.STRIP = options, strip
+    assert found == {
+        m: (n, sum(k[0] == m for k in by_case), all(v for k, c in by_case.items() if k[0] == m for *_, v in c), len(pairs[m])) for m, n in (("a", 70), ("b", 4), ("c", 1))
+    }
