@@ -154,6 +154,13 @@ def test_documentation_pairs(spark):
     }
 
 
+def test_texts_of_pages_are_not_broadcast_on_an_estimate(spark):
+    told = spark.createDataFrame([("d", "A", "de", "x")], "doc_uri string, name string, lang string, text string")
+    seen = spark.createDataFrame([("A", "p")], "name string, text string")
+    plan = schemas.documentation_pairs(told, seen, spark.createDataFrame([], "name string, issues array<string>"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") <= 1 and "SortMergeJoin" in plan
+
+
 def test_exclusive_bounds(spark):
     null = "cast(NULL AS int)"
     leaf = F.expr(f"struct(cast(array() AS array<string>) AS enumeration, {null} AS minLength, {null} AS maxLength, {null} AS minInclusive, 9 AS maxInclusive, {null} AS totalDigits)")
